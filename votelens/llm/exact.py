@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from votelens.llm.common import stored
+from votelens.llm.common import free_names, stored
 
 SEGMENT = 1 << 16  # cells of the filter that travel in one row
 HASHES = 3
@@ -56,8 +56,8 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": frame["segment"].iloc[:1], "once": [once.tobytes()], "again": [again.tobytes()]})
 
 
-def repeated_filter(signatures: DataFrame, max_cells: int = 1 << 28, builders: int = 256) -> Column:
-    """A boolean column over `h`: false only for hashes that surely occur once.
+def repeated_filter(signatures: DataFrame, max_cells: int = 1 << 28, builders: int = 256) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes: false only for those that surely occur once among `signatures.h`.
 
     The first pass.  A cell counts as set when two or more rows meet it.  The filter takes 16 cells a row up to
     `max_cells` (2**28 cells are 32 MB: the proven bound of what is gathered and broadcast); beyond that its error
@@ -83,7 +83,7 @@ def repeated_filter(signatures: DataFrame, max_cells: int = 1 << 28, builders: i
             found &= (shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
         return pd.Series(found)
 
-    return maybe_repeated(F.col("h"))
+    return maybe_repeated
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -99,7 +99,7 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     repeat text and doc_id one stays.  Rows whose hash surely occurs once never shuffle.
     """
     signatures = stored(_signed(docs, doc_id, text), "signatures")
-    marked = signatures.withColumn("again", repeated_filter(signatures))
+    marked = signatures.withColumn("again", repeated_filter(signatures)(F.col("h")))
     alone = marked.where(~F.col("again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
@@ -128,19 +128,15 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     signatures = stored(_signed(docs, doc_id, text), "signatures")
     again = repeated_filter(signatures)
     keep = (
-        signatures.withColumn("again", again).where("again")
+        signatures.withColumn("again", again(F.col("h"))).where("again")
         .groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"))
         .withColumnRenamed("text_sha256", "keep_sha")
     )
-    marked = (
-        docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
-        .withColumn("h", F.xxhash64("_sha")).withColumn("_again", again).drop("h")
-    )
-    alone = marked.where(~F.col("_again"))
-    one = Window.partitionBy("_sha", doc_id).orderBy(text)
-    first = (
-        marked.where("_again")
-        .join(keep, (F.col("_sha") == F.col("keep_sha")) & F.col(doc_id).eqNullSafe(F.col("keep_id")), "left_semi")
-        .withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    )
+    sha, mark, n = free_names(docs, "_sha", "_again", "_n")
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col(text)), 256)).withColumn(mark, again(F.xxhash64(sha)))
+    alone = marked.where(~F.col(mark))
+    one = Window.partitionBy(sha, doc_id).orderBy(text)
+    repeated = marked.where(mark)
+    met = (repeated[sha] == keep["keep_sha"]) & repeated[doc_id].eqNullSafe(keep["keep_id"])
+    first = repeated.join(keep, met, "left_semi").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
     return alone.unionByName(first).select(*docs.columns)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.llm.common import stored
+from votelens.llm.common import free_names, stored
 
 # Fixed values of the scan's contract: kinds in listed order, their patterns, and the least length of what they hold.
 KINDS = ("assign", "access", "hex", "owned")
@@ -135,13 +135,14 @@ def joined(spans: Column | str) -> Column:
 
 def mask_live(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with every live span of `find_secrets` overwritten by asterisks; doc_id must be unique here."""
+    key, spans = free_names(docs, "_id", "_live")
     live = found.select(
-        F.col("doc_id").alias("_id"), F.filter("spans", lambda s: s["live"]).alias("_live")
-    ).where(F.size("_live") > 0)
+        F.col("doc_id").alias(key), F.filter("spans", lambda s: s["live"]).alias(spans)
+    ).where(F.size(spans) > 0)
 
     def masked(content, span):
         before = F.substring(content, F.lit(1), span["start"].cast("int"))
         return F.concat(before, F.repeat(F.lit("*"), (span["stop"] - span["start"]).cast("int")), F.substring(content, span["stop"].cast("int") + 1, F.length(content)))
 
-    hidden = F.aggregate(F.coalesce("_live", F.array().cast(live.schema["_live"].dataType)), F.col(text), masked)
-    return docs.join(live, docs[doc_id] == live["_id"], "left").withColumn(text, hidden).select(*docs.columns)
+    hidden = F.aggregate(F.coalesce(spans, F.array().cast(live.schema[spans].dataType)), F.col(text), masked)
+    return docs.join(live, docs[doc_id] == live[key], "left").withColumn(text, hidden).select(*docs.columns)

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from votelens.llm.common import free_names
+
 WINDOW = 6
 SPREAD = 8
 #: The labelled sample has at most so many different texts of each label: the bound of what reaches the driver.
@@ -249,4 +251,5 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with a score under one half."""
-    return scored(docs, fit(docs, labels, doc_id, text), text, "_score").where("_score < 0.5").select(*docs.columns)
+    (name,) = free_names(docs, "_score")
+    return scored(docs, fit(docs, labels, doc_id, text), text, name).where(F.col(name) < 0.5).select(*docs.columns)

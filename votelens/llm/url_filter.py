@@ -120,6 +120,8 @@ def url_scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
 def calibrated(scores: DataFrame) -> float:
     """The threshold with the least sum of both error rates over scores of known `verdict`; 0 if one verdict is missing.
 
+    It lies midway in the gap between neighbouring scores.
+
     Only a histogram of 2 * BINS + 1 rows reaches the driver.
     """
     bin_ = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") * 100))).cast("int")
@@ -129,11 +131,11 @@ def calibrated(scores: DataFrame) -> float:
     allowed, blocked = sum(r["a"] for r in rows), sum(r["b"] for r in rows)
     if not allowed or not blocked:
         return 0.0
-    best, lost, kept = (1.0, rows[0]["bin"]), 0, blocked
-    for r in rows:  # the threshold is the lower edge of this bin
+    best, lost, kept, before = (2.0, 0.0), 0, blocked, rows[0]["bin"]
+    for r in rows:  # the threshold lies midway between the bin before and this one
         error = lost / allowed + kept / blocked
-        best = min(best, (error, r["bin"]))
-        lost, kept = lost + r["a"], kept - r["b"]
+        best = min(best, (error, (before + r["bin"]) / 2))
+        lost, kept, before = lost + r["a"], kept - r["b"], r["bin"] + 1
     return best[1] / 100
 
 
