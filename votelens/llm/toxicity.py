@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -127,18 +127,34 @@ class Scorer:
 # ---------------------------------------------------------------- training
 
 
-def _toxic_windows(toxic: list[set[bytes]], odds: dict[bytes, float], least: float) -> list[bytes]:
+class _Windows:
+    """Windows of a sample as numbers, so that a text is a small array."""
+
+    def __init__(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.by_word: dict[bytes, np.ndarray] = {}
+
+    def of(self, words: bytes) -> np.ndarray:
+        parts = []
+        for word in words.split():
+            known = self.by_word.get(word)
+            if known is None:
+                known = self.by_word[word] = np.array([self.ids.setdefault(w, len(self.ids)) for w in windows_of(word)], dtype=np.int32)
+            parts.append(known)
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int32)
+
+
+def _toxic_windows(toxic: list[np.ndarray], odds: np.ndarray, least: float, names: list[bytes]) -> list[int]:
     """Windows that cover the toxic texts DEPTH times over, from the one with the most weight on texts still open."""
-    holders: dict[bytes, list[int]] = defaultdict(list)
+    holders: dict[int, list[int]] = defaultdict(list)
     for i, windows in enumerate(toxic):
-        for w in windows:
-            if w in odds:
-                holders[w].append(i)
+        for w in windows[odds[windows] > 0]:
+            holders[int(w)].append(i)
     open_ = [DEPTH] * len(toxic)
     new = {w: len(h) for w, h in holders.items()}
-    chosen: list[bytes] = []
+    chosen: list[int] = []
     while new:
-        w = max(new, key=lambda w: (new[w] * odds[w], w))
+        w = max(new, key=lambda w: (new[w] * odds[w], names[w]))
         real = sum(open_[i] > 0 for i in holders[w])
         if real < least:
             del new[w]
@@ -166,29 +182,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Model:
-    """Fits the model on the word sets of a bounded sample; without texts of both labels every score is the same."""
+def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """Fits the model on a bounded sample of texts, each given as its different words with spaces between.
+
+    Without texts of both labels every score is the same.
+    """
     if not toxic or not ordinary:
         share = 0.9 if toxic else 0.1
         return Model((), (), 0, 1, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    windows = [[set().union(*map(windows_of, words)) if words else set() for words in side] for side in (toxic, ordinary)]
-    in_toxic, in_ordinary = (Counter(w for ws in side for w in ws) for side in windows)
+    numbers = _Windows()
+    sides = [[numbers.of(words) for words in side] for side in (toxic, ordinary)]
+    names = list(numbers.ids)
+    in_toxic, in_ordinary = (np.bincount(np.concatenate(side), minlength=len(names)) for side in sides)
     least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
-    odds = {}
-    for w, n in in_toxic.items():
-        if n >= least:
-            value = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[w] + 0.5) / (len(ordinary) + 1))
-            if value >= LEAST_ODDS:
-                odds[w] = value
-    chosen = _toxic_windows(windows[0], odds, least)
+    odds = np.log((in_toxic + 0.5) / (len(toxic) + 1)) - np.log((in_ordinary + 0.5) / (len(ordinary) + 1))
+    odds[(in_toxic < least) | (odds < LEAST_ODDS)] = 0
+    chosen = _toxic_windows(sides[0], odds, least, names)
     taken = set(chosen)
-    usual = sorted((w for w in in_ordinary if w not in taken), key=lambda w: (-in_ordinary[w], w))[:ORDINARY_WINDOWS]
-    draft = Scorer(Model(tuple(chosen), tuple(reversed(usual)), 0, 0, ()))
+    usual = sorted((int(w) for w in np.flatnonzero(in_ordinary) if w not in taken), key=lambda w: (-in_ordinary[w], names[w]))[:ORDINARY_WINDOWS]
+    chosen = [names[w] for w in chosen]
+    del sides
+    draft = Scorer(Model(tuple(chosen), tuple(names[w] for w in reversed(usual)), 0, 0, ()))
     # both thresholds lie at the edge of what the chosen windows show
     shown = [draft.lengths(w) for w in chosen] or [(0, 0)]
     longest, distance = max(a for a, _ in shown), max(1, min(b - a for a, b in shown))
     scorer = Scorer(Model(draft.model.toxic, draft.model.ordinary, longest, distance, ()))
-    x = np.array([scorer.features(words) for words in [*toxic, *ordinary]])
+    x = np.array([scorer.features(set(words.split())) for words in [*toxic, *ordinary]])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     return Model(draft.model.toxic, draft.model.ordinary, longest, distance, tuple(map(float, _logistic(x, y))))
 
@@ -231,8 +250,7 @@ def fit(
     sides: dict[int, set[bytes]] = {0: set(), 1: set()}
     for row in rows:
         sides[row["label"]].add(bytes(row["words"]))
-    toxic, ordinary = ([set(w.split()) for w in sorted(sides[k])] for k in (1, 0))
-    return train(toxic, ordinary)
+    return train(sorted(sides[1]), sorted(sides[0]))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
