@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from votelens.llm.common import stored
+
 #: The fields of a record's header line, by the archive's version.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -188,8 +190,8 @@ def warc_bytes() -> Column:
     return F.concat(head.cast("binary"), body)
 
 
-def write_warc(records: DataFrame, path: str, archives: int) -> None:
-    """Writes converted records, with what they revisit, as about `archives` gzipped WARC files.
+def write_warc(records: DataFrame, path: str) -> None:
+    """Writes converted records, with what they revisit, as gzipped WARC files, one per partition.
 
     The files are written by Spark's text sink: a record is a line, and WARC's record end is the line end.
     """
@@ -246,10 +248,11 @@ def convert_archives(records: DataFrame, path: str, least_bytes: int = LEAST_REV
     """
     spark = records.sparkSession
     full = converted(records)
-    total = full.agg(F.sum("payload_bytes")).first()[0] or 0
-    archives = max(1, -(-total // ARCHIVE_BYTES))
-    wanted = max(archives, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    write_warc(full.repartition(wanted, "page_id").join(revisits(full, least_bytes), "page_id", "left"), path, wanted)
+    # what deduplication needs to know, without payloads: the archives are parsed once for it and once to be written
+    facts = stored(full.select("page_id", "record_id", "url", "warc_date", "payload_digest", "payload_bytes"), "records")
+    total = facts.agg(F.sum("payload_bytes")).first()[0] or 0
+    archives = max(-(-total // ARCHIVE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_warc(full.repartition(archives, "page_id").join(revisits(facts, least_bytes), "page_id", "left"), path)
     back = read_warc(spark, path)
     response = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     one = back.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long"))
