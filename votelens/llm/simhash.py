@@ -13,7 +13,7 @@ One side of a pair shows near indices where the other shows its decoding, so tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import permutations
 
@@ -29,6 +29,7 @@ MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the [23, 12, 7] Golay code
 RUN = 1024  # fingerprints of one key that are compared in one block
+SMALL = 16  # keys of up to so many rows give all their links
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -121,22 +122,52 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(where)
 
 
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys for pairs further apart: near indices of two segments, so any two with at most two errors in each of two of
+    the three segments share a key (always up to 5 errors that spread so, often up to about 10)."""
+    parts = [(fps >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.uint32) for low, width in SEGMENTS]
+    near = [pd.DataFrame({"row": rows, f"x{i}": indices}) for i, (_, rows, indices) in enumerate(near_indices(p) for p in parts)]
+    keys, where = [], []
+    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        both = near[i].merge(near[j], on="row")
+        keys.append(np.int64(kind) << 24 | both[f"x{i}"].to_numpy().astype(np.int64) << 12 | both[f"x{j}"].to_numpy().astype(np.int64))
+        where.append(both["row"].to_numpy())
+    return np.concatenate(keys), np.concatenate(where)
+
+
 # ---------------------------------------------------------------- links
 
+KeyMaker = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
 
-def spanning_links(fps: np.ndarray, others: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the pairs within MAX_BITS connect: at most one fewer than there are fingerprints."""
+def spanning_links(fps: np.ndarray, others: np.ndarray | None = None, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+    """Links that connect what the pairs within max_bits connect: at most one fewer than there are fingerprints.
+
+    Closer pairs are taken first, so a link is of the most alike fingerprints that it can be.
+    """
     n = len(fps)
     every = fps if others is None else np.concatenate([fps, others])
-    label = np.arange(len(every))
-    out = []
+    found = []
     for i in range(n):
         rest = every[i + 1 :] if others is None else others
-        shift = i + 1 if others is None else n
-        for j in np.flatnonzero(np.bitwise_count(rest ^ fps[i]) <= MAX_BITS) + shift:
-            if label[i] != label[j]:
-                label[label == label[j]] = label[i]
-                out.append((int(every[i]), int(every[j])))
+        bits = np.bitwise_count(rest ^ fps[i])
+        at = np.flatnonzero(bits <= max_bits)
+        found.append(np.stack([bits[at].astype(np.int64), np.full(len(at), i), at + (i + 1 if others is None else n)]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+    label = list(range(len(every)))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    out = []
+    for k in np.argsort(pairs[0], kind="stable"):
+        i, j = int(pairs[1, k]), int(pairs[2, k])
+        a, b = root(i), root(j)
+        if a != b:
+            label[b] = a
+            out.append((int(every[i]), int(every[j])))
     return out
 
 
@@ -145,63 +176,87 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(keys))
 
 
-def _link_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _links(pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(np.array(pairs, dtype=np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _link_runs(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> pd.DataFrame:
+    """Links within each key of sorted rows.  Keys of up to SMALL rows are compared all at once, row against next rows."""
+    starts, ends = _runs(keys)
+    small = np.repeat(ends - starts <= SMALL, ends - starts)
+    bits = fps.view(np.uint64)
+    parts = []
+    for shift in range(1, SMALL):
+        at = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:]) if len(keys) > shift else np.zeros(0, dtype=int)
+        if not len(at):
+            break
+        distance = np.bitwise_count(bits[at] ^ bits[at + shift])
+        at = at[(distance <= max_bits) & (distance > 0)]
+        parts.append(pd.DataFrame({"a": fps[at], "b": fps[at + shift]}))
+    pairs: list[tuple[int, int]] = []
+    for a, b in zip(starts[ends - starts > SMALL], ends[ends - starts > SMALL], strict=True):
+        pairs += spanning_links(np.unique(bits[a:b]), max_bits=max_bits)
+    return pd.concat([*parts, _links(pairs)]).drop_duplicates()
+
+
+def _link_sorted(max_bits: int):
     """Links of sorted (key, fp) rows.  Blocks of a large key are compared with each other in the next step."""
-    held_key, held_fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    block_of_key = 0
-
-    def work(keys: np.ndarray, fps: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
-        links: list[tuple[int, int]] = []
-        starts, ends = _runs(keys)
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            links += spanning_links(np.unique(fps[a:b].view(np.uint64)))
-        if links:
-            yield pd.DataFrame(np.array(links, dtype=np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"]).assign(key=None, block=None)
-
-    def whole_block(key: int, fps: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
-        yield from work(np.full(len(fps), key), fps, block)
-        yield pd.DataFrame({"a": fps, "b": fps, "key": key, "block": block})
-
-    for frame in frames:
-        held_key = np.concatenate([held_key, frame["key"].to_numpy()])
-        held_fp = np.concatenate([held_fp, frame["fp"].to_numpy()])
-        starts, ends = _runs(held_key)
-        if not len(starts):
-            continue
-        # large runs leave in blocks of RUN; the last run may go on in the next frame
-        done = starts[-1]
-        small = np.ones(done, dtype=bool)
-        for a, b in zip(starts[:-1], ends[:-1], strict=True):
-            first = block_of_key if a == 0 else 0
-            if b - a > RUN or first:
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_key, held_fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        block_of_key = 0
+
+        def whole_block(key: int, fps: np.ndarray, block: int) -> Iterator[pd.DataFrame]:
+            yield _link_runs(np.full(len(fps), key), fps, max_bits).assign(key=None, block=None)
+            yield pd.DataFrame({"a": fps, "b": fps, "key": key, "block": block})
+
+        for frame in frames:
+            held_key = np.concatenate([held_key, frame["key"].to_numpy()])
+            held_fp = np.concatenate([held_fp, frame["fp"].to_numpy()])
+            starts, ends = _runs(held_key)
+            if not len(starts):
+                continue
+            # large runs leave in blocks of RUN; the last run may go on in the next frame
+            done = starts[-1]
+            small = np.ones(done, dtype=bool)
+            large = ends[:-1] - starts[:-1] > RUN
+            if block_of_key and len(large):
+                large[0] = True
+            for a, b in zip(starts[:-1][large], ends[:-1][large], strict=True):
                 small[a:b] = False
+                first = block_of_key if a == 0 else 0
                 for k, at in enumerate(range(a, b, RUN)):
                     yield from whole_block(int(held_key[a]), held_fp[at : min(b, at + RUN)], first + k)
-        yield from work(held_key[:done][small], held_fp[:done][small], 0)
-        if done:
-            block_of_key = 0
-        held_key, held_fp = held_key[done:], held_fp[done:]
-        while len(held_key) > RUN:
-            yield from whole_block(int(held_key[0]), held_fp[:RUN], block_of_key)
-            block_of_key += 1
-            held_key, held_fp = held_key[RUN:], held_fp[RUN:]
-    if len(held_key):
+            yield _link_runs(held_key[:done][small], held_fp[:done][small], max_bits).assign(key=None, block=None)
+            if done:
+                block_of_key = 0
+            held_key, held_fp = held_key[done:], held_fp[done:]
+            while len(held_key) > RUN:
+                yield from whole_block(int(held_key[0]), held_fp[:RUN], block_of_key)
+                block_of_key += 1
+                held_key, held_fp = held_key[RUN:], held_fp[RUN:]
         if block_of_key:
             yield from whole_block(int(held_key[0]), held_fp, block_of_key)
-        else:
-            yield from work(held_key, held_fp, 0)
+        elif len(held_key):
+            yield _link_runs(held_key, held_fp, max_bits).assign(key=None, block=None)
+
+    return link
 
 
-def _link_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    sides = [np.unique(g["fp"].to_numpy().view(np.uint64)) for _, g in frame.groupby("block")]
-    links = spanning_links(*sides) if len(sides) == 2 else []
-    return pd.DataFrame(np.array(links, dtype=np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
+def _link_blocks(max_bits: int):
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [np.unique(g["fp"].to_numpy().view(np.uint64)) for _, g in frame.groupby("block")]
+        return _links(spanning_links(*sides, max_bits=max_bits) if len(sides) == 2 else [])
 
+    return link
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Links a-b between the distinct fingerprints `fp` that connect all pairs within MAX_BITS.
 
-    Within a key only the links that keep its members connected are made, never all pairs.  A key with more than RUN
+def near_links(fps: DataFrame, make_keys: KeyMaker | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links a-b between the distinct fingerprints `fp` that connect all pairs within max_bits that share a key.
+
+    The default keys are `golay_keys`, of which any two within MAX_BITS share one.
+
+    Within a large key only the links that keep its members connected are made, never all pairs.  A key with more than RUN
     fingerprints is cut into blocks; each pair of blocks is one small group of the second step.
     """
     spark = fps.sparkSession
@@ -211,14 +266,14 @@ def near_links(fps: DataFrame) -> DataFrame:
             all_fps = frame["fp"].to_numpy()
             for at in range(0, len(all_fps), 4096):
                 part = all_fps[at : at + 4096]
-                keys, rows = golay_keys(part.view(np.uint64))
+                keys, rows = (make_keys or golay_keys)(part.view(np.uint64))
                 yield pd.DataFrame({"key": keys, "fp": part[rows]})
 
     keys = fps.select("fp").distinct().mapInPandas(keyed, "key long, fp long")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stored(
         keys.repartition(partitions, "key").sortWithinPartitions("key", "fp")
-        .mapInPandas(_link_sorted, "a long, b long, key long, block int"),
+        .mapInPandas(_link_sorted(max_bits), "a long, b long, key long, block int"),
         "links",
     )
     blocks = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
@@ -227,7 +282,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     pairs = (
         blocks.join(last, "key").select("key", "block", "fp", other).where("block <> other")
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        .groupBy("key", "low", "high").applyInPandas(_link_blocks, "a long, b long")
+        .groupBy("key", "low", "high").applyInPandas(_link_blocks(max_bits), "a long, b long")
     )
     return found.where("key is null").select("a", "b").union(pairs).distinct()
 
@@ -263,6 +318,18 @@ def components(links: DataFrame) -> DataFrame:
     return labels.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
+def _grouped(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """fp, component_id (the smallest doc_id reachable over the links)."""
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = stored(components(links), "labels")
+    labelled = stored(
+        classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")),
+        "classes",
+    )
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    return labelled.join(smallest, "label").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
@@ -271,23 +338,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null text has no words; null doc_ids are never a component's id unless it has no other; repeated rows repeat.
     """
     fps = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = stored(components(near_links(fps)), "labels")
-    labelled = stored(
-        classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")),
-        "classes",
-    )
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    return fps.join(_grouped(fps, near_links(fps)), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of `docs` whose doc_id is their component's id: one document of each group stays."""
-    stays = (
-        near_duplicates(docs, doc_id, text, words).where("doc_id <=> component_id")
-        .select(F.col("doc_id").alias("_stays")).distinct()
-    )
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """fp and the hashes of the text's different shingles, for rows of fp and text."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = []
+            for text in frame["text"]:
+                parts = (text or "").encode().lower().split()
+                n = max(1, len(parts) - words + 1)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(n)), dtype=np.uint64, count=n)
+                sets.append(np.unique(hashes).view(np.int64))
+            yield pd.DataFrame({"fp": frame["fp"], "shingles": sets})
+
+    return docs.select("fp", "text").mapInPandas(work, "fp long, shingles array<long>")
+
+
+def similar_links(docs: DataFrame, fps: DataFrame, links: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The links whose two texts share enough shingles (Jaccard).  Only texts that have a link are read and shuffled."""
+    nodes = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    chosen = fps.groupBy("fp").agg(F.min("doc_id").alias("_id")).join(nodes, "fp")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(chosen, "_id").dropDuplicates(["fp"])
+    sets = stored(shingle_sets(texts, words), "shingles")
+    one, two = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return links.join(one, "a").join(two, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, verify_words: int = 5, similarity: float = 0.8, wide_bits: int = 12,
+) -> DataFrame:
+    """The rows of `docs` whose doc_id is their group's smallest: one document of each group stays.
+
+    Two kinds of links make the groups: fingerprints within MAX_BITS, as in `near_duplicates`; and fingerprints within
+    `wide_bits` that share a wide key and whose texts have a Jaccard similarity of at least `similarity` on shingles of
+    `verify_words` words.  Rows that repeat a doc_id stay together; a null doc_id stays only in a group of null doc_ids.
+    """
+    fps = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
+    close = near_links(fps)
+    wide = stored(near_links(fps, wide_keys, wide_bits), "wide")
+    similar = similar_links(docs, fps, wide, doc_id, text, verify_words, similarity)
+    groups = _grouped(fps, close.union(similar))
+    stays = fps.join(groups, "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]), "left_semi")
