@@ -87,6 +87,24 @@ def grade_request(tools: Column | bool, p: Params = DEFAULT) -> Column:
     return F.concat(*head, end)
 
 
+def verifier_request(p: Params = DEFAULT) -> Column:
+    """The text that asks a reviewer about a grader's verdict on a view."""
+    said = [
+        F.lit("\n\n## Verdict under review\nVerdict: "), F.col("grader_verdict"), F.lit("\nConfidence: "), F.col("grader_confidence").cast("string"),
+        F.lit("\nScores: "), F.col("dimension_scores"), F.lit("\nReason: "), F.col("reason"),
+        F.lit(f"\n\nTry to overturn this verdict. You may call {', '.join(EVIDENCE_TOOLS)}, {p.verifier_tool_calls} times in all, then uphold or overturn it, or flag for review."),
+    ]
+    return F.concat(grade_request(False, p), *said)
+
+
+def annotator_request() -> Column:
+    """The text that asks for the justification of a given vote."""
+    return F.concat(
+        F.lit("You compared two responses and hold that Response "), F.col("vote"), F.lit(" is better.\n\n## Question\n"), F.col("question"), F.lit("\n\n## Response A\n"), F.col("response_a"),
+        F.lit("\n\n## Response B\n"), F.col("response_b"), F.lit("\n\nSay why in two to four sentences. Name both as Response A and Response B."),
+    )
+
+
 def evidence_scope(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Tool arguments against the run's own item and annotator: error (null if in scope) and the row limit that holds."""
     error = (

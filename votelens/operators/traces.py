@@ -65,6 +65,15 @@ def tool_budget(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return requests.withColumn("n", n).withColumn("executed", F.col("n") <= budget).withColumn("forced", F.col("n") >= budget)
 
 
+def inherited_traces(grades: DataFrame) -> DataFrame:
+    """The verifier arm's traces of runs that the agent had escalated: one event, no calls, no tokens."""
+    event = F.struct(F.lit("inherited_escalation").alias("type"), F.col("reason").alias("reason"))
+    return grades.where("mode = 'agent' and escalated").select(
+        "item_id", "order_label", F.lit("verifier").alias("mode"), "rubric_version", F.to_json(F.array(event)).alias("trace"), F.lit(0).alias("n_tool_calls"),
+        F.lit(False).alias("hit_cap"), F.lit(True).alias("escalated"), F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"), F.lit(0.0).alias("latency_ms"),
+    )
+
+
 def terminal_outcome(traces: DataFrame) -> DataFrame:
     """How each run ended: outcome (verdict, review, escalation or none), reason, budget_exhausted."""
     ends = F.filter("events", lambda x: x["type"].isin("verdict", "review", "escalation", "inherited_escalation"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from votelens.operators import evaluation
 from votelens.operators import evidence as V
-from votelens.operators.preparation import order_views
+from votelens.operators.preparation import order_views, verifier_request
 from votelens.queries.evaluation import _ROUTED
-from votelens.queries.preparation import _SWAP, _VIEWS
+from votelens.params import EVIDENCE_TOOLS
+from votelens.queries.preparation import _SWAP, _VIEWS, _request
 from votelens.queries.sql import statement
 from votelens.sources.fixtures import Fixtures
 
@@ -57,12 +58,18 @@ def verify_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def verifier_requests(spark: SparkSession, sf: str) -> DataFrame:
+    f = Fixtures(spark, sf)
+    asked = V.verify_requests(f.grades(), order_views(f.items(), f.submissions()))
+    return asked.select("item_id", "order_label", verifier_request().alias("request"))
+
+
 def example_trace(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
     return V.example_trace(f.traces(), f.truth(), f.grades()).select("item_id")
 
 
-QUERIES = {q.__name__: q for q in (annotator_history, history_patterns, peer_bundle, evidence_bundle, item_dossier, verify_requests, example_trace)}
+QUERIES = {q.__name__: q for q in (annotator_history, history_patterns, peer_bundle, evidence_bundle, item_dossier, verify_requests, verifier_requests, example_trace)}
 
 _ORDERED = "(SELECT h.item_id, order_label, pos, other_id, CASE WHEN order_label = 'swapped' THEN CASE other_vote WHEN 'A' THEN 'B' ELSE 'A' END ELSE other_vote END AS vote, CASE WHEN order_label = 'swapped' THEN " + _SWAP.replace("justification", "other_text") + " ELSE other_text END AS txt FROM hist h CROSS JOIN (VALUES ('original'), ('swapped')) o(order_label))"
 _PEERS = """(SELECT item_id, order_label, string_agg(judge || ':' || CASE WHEN order_label = 'swapped' THEN CASE vote WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' ELSE vote END ELSE vote END, ',' ORDER BY judge,
@@ -81,6 +88,10 @@ ORACLES = {name: statement(sql) for name, sql in {
         LEFT JOIN (SELECT item_id, string_agg(mode || ':' || route || ':' || path, ',' ORDER BY mode) AS routes FROM {_ROUTED} GROUP BY 1) r ON r.item_id = i.item_id WHERE i.human_gold_vote = 'A'""",
     "verify_requests": f"""SELECT v.item_id, v.order_label, v.annotator_id, v.vote, g.verdict AS grader_verdict, g.confidence AS grader_confidence, g.dimension_scores, g.reason FROM grade g
         JOIN {_VIEWS} v ON v.item_id = g.item_id AND v.order_label = g.order_label WHERE g.mode = 'agent' AND NOT g.escalated""",
+    "verifier_requests": f"""SELECT item_id, order_label, {_request()} || '\n\n## Verdict under review\nVerdict: ' || grader_verdict || '\nConfidence: ' || cast(grader_confidence as varchar) || '\nScores: ' || dimension_scores
+        || '\nReason: ' || reason || '\n\nTry to overturn this verdict. You may call {", ".join(EVIDENCE_TOOLS)}, 3 times in all, then uphold or overturn it, or flag for review.' AS request
+        FROM (SELECT v.*, false AS tools, g.verdict AS grader_verdict, g.confidence AS grader_confidence, g.dimension_scores, g.reason FROM grade g
+        JOIN {_VIEWS} v ON v.item_id = g.item_id AND v.order_label = g.order_label WHERE g.mode = 'agent' AND NOT g.escalated)""",
     "example_trace": """SELECT g.item_id FROM grade g JOIN sub s ON s.item_id = g.item_id WHERE mode = 'agent' AND order_label = 'original' AND defect_type = 'SELF_CONTRADICTION'
         AND (verdict = 'reject' OR escalated) ORDER BY g.item_id LIMIT 1""",
 }.items()}

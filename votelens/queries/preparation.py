@@ -106,6 +106,10 @@ def grade_requests(spark: SparkSession, sf: str) -> DataFrame:
     return views.select("item_id", "order_label", "tools", P.grade_request(F.col("tools")).alias("request"))
 
 
+def annotator_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return order_views(spark, sf).where("order_label = 'original'").select("item_id", "annotator_id", P.annotator_request().alias("request"))
+
+
 def call_cost(spark: SparkSession, sf: str) -> DataFrame:
     calls = checks.with_cost(Fixtures(spark, sf).call_log())
     return calls.select("item_id", "order_label", "mode", "attempts", "model", "cost_micro_usd")
@@ -170,7 +174,7 @@ def run_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     raw_judgments, contract_audit, items_ordered, upsert_latest, insert_ignore, extract_items, stable_id, winner_vote, dedupe_items, sample_items,
-    swap_letters, order_views, truncate_text, norm_text, text_features, grade_requests, call_cost, hash_bucket, evidence_scope, peer_votes,
+    swap_letters, order_views, truncate_text, norm_text, text_features, grade_requests, annotator_requests, call_cost, hash_bucket, evidence_scope, peer_votes,
     load_if_empty, rewrite_slice, call_log_append, run_scoped,
 )}
 
@@ -216,6 +220,8 @@ ORACLES = {name: statement(sql) for name, sql in {
     "norm_text": r"SELECT item_id, trim(regexp_replace(lower(justification), '\s+', ' ', 'g')) AS normed FROM sub",
     "text_features": "SELECT item_id, n_words, n_a, n_b, n_words < 10 AS short FROM feat",
     "grade_requests": f"SELECT item_id, order_label, tools, {_request()} AS request FROM {_VIEWS} CROSS JOIN (VALUES (true), (false)) x(tools)",
+    "annotator_requests": f"""SELECT item_id, annotator_id, 'You compared two responses and hold that Response ' || vote || ' is better.\n\n## Question\n' || question || '\n\n## Response A\n' || response_a || '\n\n## Response B\n' || response_b
+        || '\n\nSay why in two to four sentences. Name both as Response A and Response B.' AS request FROM {_VIEWS} WHERE order_label = 'original'""",
     "call_cost": "SELECT item_id, order_label, mode, i + 1 AS attempts, CASE WHEN (tokens_in + i) % 50 = 0 THEN 'unlisted' ELSE 'grader-large' END AS model, micro AS cost_micro_usd FROM calls",
     "hash_bucket": f"SELECT item_id, {h('item_id')} AS bucket FROM sub",
     "evidence_scope": """SELECT t.item_id, order_label, mode, i, name, CASE WHEN seed % 5 = 0 THEN CASE name WHEN 'get_annotator_history' THEN 'only annotator ' || annotator_id || ' is in scope for this item'

@@ -42,7 +42,11 @@ def terminal_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return X.terminal_outcome(Fixtures(spark, sf).traces()).drop("rubric_version")
 
 
-QUERIES = {q.__name__: q for q in (tool_usage, tool_call_counts, tool_calls_by_type, trace_audit, tool_budget, trace_events, terminal_outcome)}
+def inherited_traces(spark: SparkSession, sf: str) -> DataFrame:
+    return X.inherited_traces(Fixtures(spark, sf).grades())
+
+
+QUERIES = {q.__name__: q for q in (tool_usage, tool_call_counts, tool_calls_by_type, trace_audit, tool_budget, trace_events, terminal_outcome, inherited_traces)}
 
 _ESC = "(mode <> 'single' AND seed % 13 = 0)"
 _SAID = f"CASE WHEN {_ESC} AND seed % 2 = 0 THEN '  ' ELSE 'reason ' || (seed % 7) END"
@@ -51,6 +55,8 @@ _EVENTS = f"""(SELECT r.item_id, r.order_label, r.mode, 2 * i AS pos, 'api_round
     UNION ALL SELECT item_id, order_label, mode, 2 * n_tool_calls + 1, CASE WHEN {_ESC} THEN 'escalation' ELSE 'verdict' END, NULL, {_SAID}, NULL, NULL FROM run)"""
 
 ORACLES = {name: statement(sql) for name, sql in {
+    "inherited_traces": """SELECT item_id, order_label, 'verifier' AS mode, rubric_version, '[{"type":"inherited_escalation","reason":"' || reason || '"}]' AS trace, 0 AS n_tool_calls, false AS hit_cap, true AS escalated,
+        0 AS tokens_in, 0 AS tokens_out, cast(0 as double) AS latency_ms FROM grade WHERE mode = 'agent' AND escalated""",
     "tool_usage": "SELECT count(*) AS n_runs, sum(n_tool_calls) / cast(count(*) as double) AS mean_tool_calls, count(*) FILTER (WHERE hit_cap) / cast(count(*) as double) AS cap_share FROM run WHERE mode = 'agent'",
     "tool_call_counts": "SELECT name, count(*) AS n FROM tool WHERE mode = 'agent' GROUP BY name",
     "tool_calls_by_type": "SELECT coalesce(defect_type, 'CLEAN') AS defect_type, count(*) AS n_runs, sum(n_tool_calls) / cast(count(*) as double) AS mean_tool_calls FROM run r JOIN sub s ON s.item_id = r.item_id WHERE mode = 'agent' GROUP BY 1",
