@@ -1,9 +1,9 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
 
-A text's windows are the WINDOW-byte stretches of its words (with a space on either side).  Each is compressed with both
-dictionaries; a window that the toxic dictionary holds whole shrinks to a fixed few bytes, while the ordinary one leaves
-it longer.  Two calibrated thresholds, on the toxic length and on the distance of both lengths, tell toxic windows; a
-logistic curve over their number, fitted on the labelled sample, gives the score.
+A text's windows are the stretches of its words (with a space on either side) of each length in WINDOWS.  Each is
+compressed with both dictionaries of its length; a window that the toxic dictionary holds whole shrinks to a fixed few
+bytes, while the ordinary one leaves it longer.  Two calibrated thresholds, on the toxic length and on the distance of both
+lengths, tell toxic windows; a logistic curve over their number and weight, fitted on the labelled sample, gives the score.
 
 Windows of a few bytes are below what zstandard can shorten, so each byte is written as SPREAD fixed bytes: matches then
 pay by the byte, and unmatched bytes stay as long as they are.
@@ -14,9 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from votelens.llm.common import free_names
 
-WINDOW = 6
+WINDOWS = (6, 9)
 SPREAD = 8
 #: The labelled sample has at most so many different texts of each label: the bound of what reaches the driver.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
@@ -47,7 +47,7 @@ def words_of(text: str | None) -> set[bytes]:
 
 def windows_of(word: bytes) -> list[bytes]:
     padded = b" " + word + b" "
-    return [padded[i : i + WINDOW] for i in range(len(padded) - WINDOW + 1)]
+    return [padded[i : i + n] for n in WINDOWS for i in range(len(padded) - n + 1)]
 
 
 def spread(window: bytes) -> bytes:
@@ -56,10 +56,10 @@ def spread(window: bytes) -> bytes:
 
 def _compressor(content: Iterable[bytes]) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters.from_level(
-        3, source_size=WINDOW * SPREAD, dict_size=1 << 18, strategy=zstandard.STRATEGY_BTLAZY2, min_match=6, search_log=8,
+        3, source_size=max(WINDOWS) * SPREAD, dict_size=1 << 18, strategy=zstandard.STRATEGY_BTLAZY2, min_match=6, search_log=8,
         hash_log=17, chain_log=17, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
-    data = b"".join(map(spread, content)) or CODE[0]
+    data = b"".join(spread(w) + CODE[0] for w in content) or CODE[0]  # byte 0 is in no window: none matches across two
     dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
@@ -67,30 +67,37 @@ def _compressor(content: Iterable[bytes]) -> zstandard.ZstdCompressor:
 
 @dataclass(frozen=True)
 class Model:
-    """Both dictionaries' windows, the calibrated thresholds, and the logistic curve's weights."""
+    """Both dictionaries' windows, each toxic one's weight, the calibrated thresholds, and the logistic curve's weights."""
 
     toxic: tuple[bytes, ...]
+    odds: tuple[float, ...]
     ordinary: tuple[bytes, ...]
-    longest: int  # of a toxic window's length with the toxic dictionary
-    distance: int  # the least by which the other length exceeds it
+    #: By window length: the longest that a toxic window gets with the toxic dictionary, and by how much the other exceeds it.
+    thresholds: tuple[tuple[int, int, int], ...]
     weights: tuple[float, ...]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.with_toxic, self.with_ordinary = _compressor(model.toxic), _compressor(model.ordinary)
+        self.compressors = {n: [_compressor(w for w in side if len(w) == n) for side in (model.toxic, model.ordinary)] for n in WINDOWS}
+        self.thresholds = {n: (longest, distance) for n, longest, distance in model.thresholds}
+        self.odds = dict(zip(model.toxic, model.odds, strict=True))
         self.known: dict[bytes, bool] = {}
         self.words: dict[bytes, tuple[bytes, ...]] = {}
 
     def lengths(self, window: bytes) -> tuple[int, int]:
         """Compressed with the toxic dictionary, and with the ordinary one."""
         long = spread(window)
-        return len(self.with_toxic.compress(long)), len(self.with_ordinary.compress(long))
+        with_toxic, with_ordinary = self.compressors[len(window)]
+        return len(with_toxic.compress(long)), len(with_ordinary.compress(long))
 
     def toxic_window(self, window: bytes) -> bool:
-        a, b = self.lengths(window)
-        return a <= self.model.longest and b - a >= self.model.distance
+        longest, distance = self.thresholds[len(window)]
+        with_toxic, with_ordinary = self.compressors[len(window)]
+        long = spread(window)
+        a = len(with_toxic.compress(long))
+        return a <= longest and len(with_ordinary.compress(long)) - a >= distance  # the second length is seldom needed
 
     def _hits(self, word: bytes) -> tuple[bytes, ...]:
         out = []
@@ -105,7 +112,7 @@ class Scorer:
         return tuple(out)
 
     def features(self, words: set[bytes]) -> list[float]:
-        """Toxic words, and toxic windows, each on a scale of falling returns; and the toxic share of the words."""
+        """Toxic words on a scale of falling returns; the weight of the different toxic windows; the share of toxic words."""
         known = self.words
         hit_words, hits = 0, set()
         for word in words:
@@ -117,7 +124,8 @@ class Scorer:
             if found:
                 hit_words += 1
                 hits.update(found)
-        return [1.0, math.log1p(hit_words), math.log1p(len(hits)), math.sqrt(hit_words / len(words)) if words else 0.0]
+        weight = min(30.0, sum(self.odds.get(w, LEAST_ODDS) for w in hits))
+        return [1.0, math.log1p(hit_words), weight / 5, math.sqrt(hit_words / len(words)) if words else 0.0]
 
     def score(self, words: set[bytes]) -> float:
         z = sum(w * x for w, x in zip(self.model.weights, self.features(words), strict=True))
@@ -189,7 +197,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """
     if not toxic or not ordinary:
         share = 0.9 if toxic else 0.1
-        return Model((), (), 0, 1, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
+        return Model((), (), (), tuple((n, 0, 1) for n in WINDOWS), (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
     numbers = _Windows()
     sides = [[numbers.of(words) for words in side] for side in (toxic, ordinary)]
     names = list(numbers.ids)
@@ -199,17 +207,23 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     odds[(in_toxic < least) | (odds < LEAST_ODDS)] = 0
     chosen = _toxic_windows(sides[0], odds, least, names)
     taken = set(chosen)
-    usual = sorted((int(w) for w in np.flatnonzero(in_ordinary) if w not in taken), key=lambda w: (-in_ordinary[w], names[w]))[:ORDINARY_WINDOWS]
+    often = sorted((int(w) for w in np.flatnonzero(in_ordinary > 1) if w not in taken), key=lambda w: (-in_ordinary[w], names[w]))
+    usual = [w for n in WINDOWS for w in [x for x in often if len(names[x]) == n][:ORDINARY_WINDOWS]]
+    weight = tuple(float(odds[w]) for w in chosen)
     chosen = [names[w] for w in chosen]
-    del sides
-    draft = Scorer(Model(tuple(chosen), tuple(names[w] for w in reversed(usual)), 0, 0, ()))
-    # both thresholds lie at the edge of what the chosen windows show
-    shown = [draft.lengths(w) for w in chosen] or [(0, 0)]
-    longest, distance = max(a for a, _ in shown), max(1, min(b - a for a, b in shown))
-    scorer = Scorer(Model(draft.model.toxic, draft.model.ordinary, longest, distance, ()))
+    del sides, often
+    draft = Scorer(Model(tuple(chosen), weight, tuple(names[w] for w in reversed(usual)), (), ()))
+    # the usual length of a whole match, and the least distance that the chosen windows of that length show
+    thresholds = []
+    for n in WINDOWS:
+        shown = [draft.lengths(w) for w in chosen if len(w) == n] or [(0, 0)]
+        longest = Counter(a for a, _ in shown).most_common(1)[0][0]
+        thresholds.append((n, longest, max(1, min(b - a for a, b in shown if a <= longest))))
+    fitted = Model(draft.model.toxic, weight, draft.model.ordinary, tuple(thresholds), ())
+    scorer = Scorer(fitted)
     x = np.array([scorer.features(set(words.split())) for words in [*toxic, *ordinary]])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    return Model(draft.model.toxic, draft.model.ordinary, longest, distance, tuple(map(float, _logistic(x, y))))
+    return replace(fitted, weights=tuple(map(float, _logistic(x, y))))
 
 
 # ---------------------------------------------------------------- Spark
