@@ -143,31 +143,23 @@ KeyMaker = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 def spanning_links(fps: np.ndarray, others: np.ndarray | None = None, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """Links that connect what the pairs within max_bits connect: at most one fewer than there are fingerprints.
 
-    Closer pairs are taken first, so a link is of the most alike fingerprints that it can be.
+    Closer pairs are taken first, in steps of MAX_BITS.  Each row meets all others in one vector operation, and only
+    rows that are not yet connected to it.
     """
-    n = len(fps)
     every = fps if others is None else np.concatenate([fps, others])
-    found = []
-    for i in range(n):
-        rest = every[i + 1 :] if others is None else others
-        bits = np.bitwise_count(rest ^ fps[i])
-        at = np.flatnonzero(bits <= max_bits)
-        found.append(np.stack([bits[at].astype(np.int64), np.full(len(at), i), at + (i + 1 if others is None else n)]))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
-    label = list(range(len(every)))
-
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = x = label[label[x]]
-        return x
-
+    label = np.arange(len(every))
     out = []
-    for k in np.argsort(pairs[0], kind="stable"):
-        i, j = int(pairs[1, k]), int(pairs[2, k])
-        a, b = root(i), root(j)
-        if a != b:
-            label[b] = a
-            out.append((int(every[i]), int(every[j])))
+    for most in range(MAX_BITS, max_bits + MAX_BITS, MAX_BITS):
+        for i in range(len(fps)):
+            start = i + 1 if others is None else len(fps)
+            open_ = np.flatnonzero(label[start:] != label[i]) + start
+            at = open_[np.bitwise_count(every[open_] ^ every[i]) <= min(most, max_bits)]
+            if len(at):
+                groups, first = np.unique(label[at], return_index=True)
+                out += [(int(every[i]), int(every[j])) for j in at[first]]
+                label[np.isin(label, groups)] = label[i]
+        if (label == label[0]).all():
+            break
     return out
 
 
@@ -375,14 +367,17 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of `docs` whose doc_id is their group's smallest: one document of each group stays.
 
-    Two kinds of links make the groups: fingerprints within MAX_BITS, as in `near_duplicates`; and fingerprints within
-    `wide_bits` that share a wide key and whose texts have a Jaccard similarity of at least `similarity` on shingles of
-    `verify_words` words.  Rows that repeat a doc_id stay together; a null doc_id stays only in a group of null doc_ids.
+    First groups are those of `near_duplicates`.  Their first documents then link again: fingerprints within `wide_bits`
+    that share a wide key and whose texts have a Jaccard similarity of at least `similarity` on shingles of
+    `verify_words` words.  Large groups of near copies are one document by then.  Rows that repeat a doc_id stay together; a null doc_id stays only in a group of null doc_ids.
     """
     fps = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
-    close = near_links(fps)
-    wide = stored(near_links(fps, wide_keys, wide_bits), "wide")
-    similar = similar_links(docs, fps, wide, doc_id, text, verify_words, similarity)
-    groups = _grouped(fps, close.union(similar))
-    stays = fps.join(groups, "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+
+    def first_of_group(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(_grouped(rows, links), "fp").where("doc_id <=> component_id").select("doc_id", "fp")
+
+    near = stored(first_of_group(fps, near_links(fps)).distinct(), "near")
+    wide = stored(near_links(near, wide_keys, wide_bits), "wide")
+    similar = similar_links(docs, near, wide, doc_id, text, verify_words, similarity)
+    stays = first_of_group(near, similar).select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]), "left_semi")
