@@ -13,6 +13,7 @@ One side of a pair shows near indices where the other shows its decoding, so tha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import permutations
@@ -20,7 +21,7 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votelens.llm.common import stored
@@ -30,6 +31,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the [23, 12, 7] Golay code
 RUN = 1024  # fingerprints of one key that are compared in one block
 SMALL = 16  # keys of up to so many rows give all their links
+SKETCH = 512  # bits of a set's sketch
+SAMPLE, COMMON = 5000, 10_000  # texts that tell common shingles, and at most so many of these
+EPSILON = 1e-9  # rounding of size * similarity must never raise a bound
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -122,19 +126,6 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(where)
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys for pairs further apart: near indices of two segments, so any two with at most two errors in each of two of
-    the three segments share a key (always up to 5 errors that spread so, often up to about 10)."""
-    parts = [(fps >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.uint32) for low, width in SEGMENTS]
-    near = [pd.DataFrame({"row": rows, f"x{i}": indices}) for i, (_, rows, indices) in enumerate(near_indices(p) for p in parts)]
-    keys, where = [], []
-    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = near[i].merge(near[j], on="row")
-        keys.append(np.int64(kind) << 24 | both[f"x{i}"].to_numpy().astype(np.int64) << 12 | both[f"x{j}"].to_numpy().astype(np.int64))
-        where.append(both["row"].to_numpy())
-    return np.concatenate(keys), np.concatenate(where)
-
-
 # ---------------------------------------------------------------- links
 
 KeyMaker = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -335,49 +326,181 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+# ---------------------------------------------------------------- similar texts
+#
+# An exact set-similarity join.  Order the shingles of every text by one global order; of two texts with a Jaccard similarity
+# of at least t, the first n - ceil(t n) + 1 shingles of each (n: its number of different shingles) have one in common.
+# So these prefixes as keys miss no pair.  Any order is right; shingles that a sample shows in many texts come last.
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the text's different shingles, sorted."""
+    parts = (text or "").encode().lower().split()
+    n = max(1, len(parts) - words + 1)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(n)), dtype=np.uint64, count=n)
+    return np.unique(hashes.view(np.int64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of hashes is i modulo SKETCH.  Two sets differ in at least as many members as their
+    sketches in bits, so a sketch rules out without ever missing."""
+    odd = np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """fp and the hashes of the text's different shingles, for rows of fp and text."""
+    """id and the hashes of the text's different shingles, for rows of id and text."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "shingles": [shingle_hashes(t, words) for t in frame["text"]]})
+
+    return docs.select("id", "text").mapInPandas(work, "id long, shingles array<long>")
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts in a sample of about SAMPLE, sorted, and their counts: at most COMMON.  They only order."""
+    of = max(1, docs.count() // SAMPLE)
+    sets = shingle_sets(docs.where(F.pmod("id", F.lit(of)) == 0).dropDuplicates(["id"]), words)
+    counts = sets.select(F.explode("shingles").alias("token")).groupBy("token").count().where("count > 3")
+    rows = sorted(tuple(r) for r in counts.orderBy(F.desc("count"), "token").limit(COMMON).collect())
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+
+
+def text_nodes(docs: DataFrame, words: int, verify_words: int, similarity: float) -> DataFrame:
+    """doc_id, fp, id, n, sketch and prefix (the shingles that are keys, in order), for rows of doc_id, id and text."""
+    common, counts = common_shingles(docs, verify_words)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = []
+            fps, sizes, sketches, prefixes = [], [], [], []
             for text in frame["text"]:
-                parts = (text or "").encode().lower().split()
-                n = max(1, len(parts) - words + 1)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(n)), dtype=np.uint64, count=n)
-                sets.append(np.unique(hashes).view(np.int64))
-            yield pd.DataFrame({"fp": frame["fp"], "shingles": sets})
-
-    return docs.select("fp", "text").mapInPandas(work, "fp long, shingles array<long>")
-
-
-def similar_links(docs: DataFrame, fps: DataFrame, links: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The links whose two texts share enough shingles (Jaccard).  Only texts that have a link are read and shuffled."""
-    nodes = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    chosen = fps.groupBy("fp").agg(F.min("doc_id").alias("_id")).join(nodes, "fp")
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(chosen, "_id").dropDuplicates(["fp"])
-    sets = stored(shingle_sets(texts, words), "shingles")
-    one, two = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+                hashes = shingle_hashes(text, verify_words)
+                n = len(hashes)
+                weight = np.zeros(n, dtype=np.int64)
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    weight = np.where(common[place] == hashes, counts[place], 0)
+                order = np.argsort(weight, kind="stable")
+                fps.append(fingerprint(text, words))
+                sizes.append(n)
+                sketches.append(sketch(hashes))
+                prefixes.append(hashes[order[: n - math.ceil(similarity * n - EPSILON) + 1]])
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"].astype("Int64"), "fp": np.array(fps, dtype=np.uint64).view(np.int64), "id": frame["id"],
+                "n": sizes, "sketch": sketches, "prefix": prefixes,
+            })
+
+    return docs.mapInPandas(work, "doc_id long, fp long, id long, n int, sketch binary, prefix array<long>")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """token, id, n, at (the shingle's place in the prefix), sketch: the keys that more than one text has."""
+    keys = nodes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    order = Window.partitionBy("token").orderBy("id")
+    others = (F.lag("id").over(order) != F.col("id")) | (F.lead("id").over(order) != F.col("id"))
+    shared = keys.withColumn("others", others).where("others").drop("others")
+    return shared.join(nodes.select("id", "sketch").dropDuplicates(["id"]), "id")
+
+
+def _compared(similarity: float, nearest: bool):
+    """Pairs of ids of different labels in sorted runs of (token, low, high), less those that surely are not similar."""
+
+    def pairs(frame: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        ids, label, n, at, block = (frame[c].to_numpy() for c in ("id", "label", "n", "at", "block"))
+        inside = (frame["low"] == frame["high"]).to_numpy()
+        bits = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
+        best, whose = np.full(len(frame), SKETCH + 1), np.zeros(len(frame), dtype=np.int64)
+        found = []
+        i = np.arange(len(frame))
+        for shift in range(1, len(frame)):
+            i = i[i + shift < ends[i]]
+            if not len(i):
+                break
+            x, y = i, i + shift
+            both = n[x] + n[y]
+            need = np.ceil(similarity / (1 + similarity) * both - EPSILON).astype(np.int64)  # members in common
+            fits = (label[x] != label[y]) & (inside[x] | (block[x] != block[y])) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)
+            x, y, most = x[fits], y[fits], (both - 2 * need)[fits]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            if nearest:
+                fits = (differ <= most) & (differ < best[y])
+                best[y[fits]], whose[y[fits]] = differ[fits], x[fits]
+            else:
+                fits = differ <= most
+                found.append(np.stack([ids[x[fits]], ids[y[fits]]], axis=1))
+        if nearest:
+            y = np.flatnonzero(best <= SKETCH)
+            found = [np.stack([ids[whose[y]], ids[y]], axis=1)]
+        rows = np.sort(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=1)
+        return pd.DataFrame(rows, columns=["a", "b"]).drop_duplicates()
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            run = frame[["token", "low", "high"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)]))
+            last = starts[-1]  # may go on in the next frame; a run has at most two blocks
+            yield pairs(frame[:last], np.repeat(starts[1:], np.diff(starts)))
+            held = frame[last:]
+        if held is not None:
+            yield pairs(held.reset_index(drop=True), np.full(len(held), len(held)))
+
+    return compare
+
+
+def candidate_pairs(keys: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs a-b of ids of different labels that share a key and may be similar: all, or for each text of a key the nearest.
+
+    A key is cut into blocks of RUN texts by label; each block meets itself and each other block unless all is one label.
+    """
+    spark = keys.sparkSession
+    place = F.row_number().over(Window.partitionBy("token").orderBy("label", "id"))
+    rows = stored(keys.join(labels, "id").withColumn("block", ((place - 1) / RUN).cast("int")), "keys")
+    blocks = rows.groupBy("token", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    low = blocks.select("token", F.col("block").alias("low"), F.col("least").alias("l0"), F.col("most").alias("l1"))
+    high = blocks.select("token", F.col("block").alias("high"), F.col("least").alias("h0"), F.col("most").alias("h1"))
+    meet = low.join(high, "token").where("low <= high and least(l0, h0) < greatest(l1, h1)").select("token", "low", "high")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.join(meet, "token").where("block = low or block = high")
+        .repartition(partitions, "token", "low", "high").sortWithinPartitions("token", "low", "high", "label", "id")
+        .mapInPandas(_compared(similarity, nearest), "a long, b long").distinct()
+    )
+
+
+def verified_links(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links a-b of fingerprints, of the pairs whose texts share enough shingles (Jaccard).  Only texts in a pair are shuffled."""
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stored(shingle_sets(docs.join(nodes, "id", "left_semi").dropDuplicates(["id"]), words).join(ids, "id"), "shingles")
+    one, two = (sets.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return links.join(one, "a").join(two, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    found = pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+    return stored(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(), "similar")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, verify_words: int = 5, similarity: float = 0.8, wide_bits: int = 12,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, verify_words: int = 5, similarity: float = 0.8,
 ) -> DataFrame:
     """The rows of `docs` whose doc_id is their group's smallest: one document of each group stays.
 
-    First groups are those of `near_duplicates`.  Their first documents then link again: fingerprints within `wide_bits`
-    that share a wide key and whose texts have a Jaccard similarity of at least `similarity` on shingles of
-    `verify_words` words.  Large groups of near copies are one document by then.  Rows that repeat a doc_id stay together; a null doc_id stays only in a group of null doc_ids.
+    Groups are the components of two kinds of links between all texts: fingerprints within MAX_BITS, as in
+    `near_duplicates`; and a Jaccard similarity of at least `similarity` on shingles of `verify_words` words.  No such pair
+    is left out unless its texts are in one group already: after the first kind, each text of a key tries the nearest text of
+    another group, which joins most; then all pairs of different groups that share a key are compared.  A text is known by its
+    64-bit hash.  A null doc_id stays only in a group of null doc_ids.
     """
-    fps = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
-
-    def first_of_group(rows: DataFrame, links: DataFrame) -> DataFrame:
-        return rows.join(_grouped(rows, links), "fp").where("doc_id <=> component_id").select("doc_id", "fp")
-
-    near = stored(first_of_group(fps, near_links(fps)).distinct(), "near")
-    wide = stored(near_links(near, wide_keys, wide_bits), "wide")
-    similar = similar_links(docs, near, wide, doc_id, text, verify_words, similarity)
-    stays = first_of_group(near, similar).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]), "left_semi")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("id"), F.col(text).alias("text"))
+    nodes = stored(text_nodes(texts, words, verify_words, similarity), "nodes")
+    ids = nodes.select("id", "fp").dropDuplicates(["id"])
+    links = stored(near_links(nodes), "near")
+    keys = stored(shared_keys(nodes), "shared")
+    for nearest in (True, False):
+        labels = ids.join(components(links), F.col("fp") == F.col("node"), "left").select("id", F.coalesce("label", "fp").alias("label"))
+        pairs = stored(candidate_pairs(keys, labels, similarity, nearest), "pairs")
+        links = links.union(verified_links(texts, ids, pairs, verify_words, similarity))
+    stays = nodes.join(_grouped(nodes, links), "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"), F.col("id").alias("_id")).distinct()
+    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]) & (F.xxhash64(docs[text]) == stays["_id"]), "left_semi")
