@@ -44,3 +44,22 @@ def test_crowded_keys_lose_no_similar_pair(spark, monkeypatch):
     assert kept(spark, rows) == want
     monkeypatch.setattr(simhash, "RUN", 8)
     assert kept(spark, rows) == want
+
+
+def test_every_text_of_a_group_links(spark):
+    """A chain of 3-bit links leads away from its first document; a text like the last one only must join."""
+    rng = random.Random(5)
+    chain = [sentence(rng, 300).split()]
+    while len(chain) < 26:
+        more = edited(rng, chain[-1], 1)
+        if (brute_fingerprint(" ".join(more)) ^ brute_fingerprint(" ".join(chain[-1]))).bit_count() <= 3:
+            chain.append(more)
+    texts = [" ".join(w) for w in chain]
+    fps = [brute_fingerprint(t) for t in texts]
+    while True:
+        far = " ".join(edited(rng, chain[-1], 6))
+        if all((brute_fingerprint(far) ^ f).bit_count() > 3 for f in fps):
+            break
+    assert len(shingles(far) & shingles(texts[0])) < 0.8 * len(shingles(far) | shingles(texts[0]))
+    rows = [*enumerate(texts), (100, far)]
+    assert kept(spark, rows) == brute_kept(rows) == {0}
