@@ -63,3 +63,16 @@ def test_every_text_of_a_group_links(spark):
     assert len(shingles(far) & shingles(texts[0])) < 0.8 * len(shingles(far) | shingles(texts[0]))
     rows = [*enumerate(texts), (100, far)]
     assert kept(spark, rows) == brute_kept(rows) == {0}
+
+
+def test_similar_texts_join_however_many_bits_differ(spark):
+    """Texts and the same with almost a quarter more appended, and scattered edits."""
+    rng = random.Random(3)
+    rows, bits = [], []
+    for k in range(60):
+        words = sentence(rng, rng.choice((100, 300))).split()
+        other = words + sentence(rng, len(words) * 24 // 100).split() if k % 2 else edited(rng, words, len(words) // 50)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        bits.append((brute_fingerprint(rows[-2][1]) ^ brute_fingerprint(rows[-1][1])).bit_count())
+    assert max(bits) > 12
+    assert kept(spark, rows) == brute_kept(rows) == {2 * k for k in range(60)}
