@@ -76,3 +76,13 @@ def test_similar_texts_join_however_many_bits_differ(spark):
         bits.append((brute_fingerprint(rows[-2][1]) ^ brute_fingerprint(rows[-1][1])).bit_count())
     assert max(bits) > 12
     assert kept(spark, rows) == brute_kept(rows) == {2 * k for k in range(60)}
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (sentence(rng, 300) for _ in range(4))
+    a2, b2 = (" ".join(edited(rng, t.split(), 6)) for t in (a, b))
+    assert all((brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() > 3 for x, y in ((a, a2), (b, b2)))
+    rows = [(None, a), (5, a2), (None, c), (7, d), (7, b), (3, b2)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(5, a2), (None, c), (7, d), (3, b2)}
