@@ -395,12 +395,11 @@ def text_nodes(docs: DataFrame, words: int, verify_words: int, similarity: float
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """token, id, n, at (the shingle's place in the prefix), sketch: the keys that more than one text has."""
+    """token, id, n, at (the shingle's place in the prefix): the keys that more than one text has."""
     keys = nodes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     order = Window.partitionBy("token").orderBy("id")
     others = (F.lag("id").over(order) != F.col("id")) | (F.lead("id").over(order) != F.col("id"))
-    shared = keys.withColumn("others", others).where("others").drop("others")
-    return shared.join(nodes.select("id", "sketch").dropDuplicates(["id"]), "id")
+    return keys.withColumn("others", others).where("others").drop("others")
 
 
 def _compared(similarity: float, nearest: bool):
@@ -452,7 +451,7 @@ def _compared(similarity: float, nearest: bool):
     return compare
 
 
-def candidate_pairs(keys: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+def candidate_pairs(keys: DataFrame, sketches: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """Pairs a-b of ids of different labels that share a key and may be similar: all, or for each text of a key the nearest.
 
     A key is cut into blocks of RUN texts by label; each block meets itself and each other block unless all is one label.
@@ -466,7 +465,7 @@ def candidate_pairs(keys: DataFrame, labels: DataFrame, similarity: float, neare
     meet = low.join(high, "token").where("low <= high and least(l0, h0) < greatest(l1, h1)").select("token", "low", "high")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.join(meet, "token").where("block = low or block = high")
+        rows.join(meet, "token").where("block = low or block = high").join(sketches, "id")
         .repartition(partitions, "token", "low", "high").sortWithinPartitions("token", "low", "high", "label", "id")
         .mapInPandas(_compared(similarity, nearest), "a long, b long").distinct()
     )
@@ -475,11 +474,20 @@ def candidate_pairs(keys: DataFrame, labels: DataFrame, similarity: float, neare
 def verified_links(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links a-b of fingerprints, of the pairs whose texts share enough shingles (Jaccard).  Only texts in a pair are shuffled."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(shingle_sets(docs.join(nodes, "id", "left_semi").dropDuplicates(["id"]), words).join(ids, "id"), "shingles")
-    one, two = (sets.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
-    return stored(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(), "similar")
+    texts = stored(docs.join(nodes, "id", "left_semi").dropDuplicates(["id"]).join(ids, "id"), "texts")
+
+    def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = []
+            for x, y in zip(frame["ta"], frame["tb"], strict=True):
+                one, two = shingle_hashes(x, words), shingle_hashes(y, words)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both))
+            yield frame.loc[np.array(keep, dtype=bool), ["fa", "fb"]].rename(columns={"fa": "a", "fb": "b"})
+
+    one, two = (texts.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    found = pairs.join(one, "a").join(two, "b").select("fa", "fb", "ta", "tb").mapInPandas(similar, "a long, b long")
+    return stored(found.distinct(), "similar")
 
 
 def drop_near_duplicates(
@@ -498,9 +506,10 @@ def drop_near_duplicates(
     ids = nodes.select("id", "fp").dropDuplicates(["id"])
     links = stored(near_links(nodes), "near")
     keys = stored(shared_keys(nodes), "shared")
+    sketches = nodes.select("id", "sketch").dropDuplicates(["id"])
     for nearest in (True, False):
         labels = ids.join(components(links), F.col("fp") == F.col("node"), "left").select("id", F.coalesce("label", "fp").alias("label"))
-        pairs = stored(candidate_pairs(keys, labels, similarity, nearest), "pairs")
+        pairs = stored(candidate_pairs(keys, sketches, labels, similarity, nearest), "pairs")
         links = links.union(verified_links(texts, ids, pairs, verify_words, similarity))
     stays = nodes.join(_grouped(nodes, links), "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"), F.col("id").alias("_id")).distinct()
     return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]) & (F.xxhash64(docs[text]) == stays["_id"]), "left_semi")
