@@ -329,6 +329,32 @@ def test_toxicity_never_trains_on_held_out_rows(spark):
     assert one == two
 
 
+def test_scores_match_windows_compressed_one_by_one(spark):
+    rows = toxic_corpus(600, seed=6)
+    docs = spark.createDataFrame([*(r[:2] for r in rows), (9000, "Short ZORKWIT"), (9001, "\u00e9 " * 9000)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    one, two = (toxicity.compressor(d) for d in (model.dictionaries.ordinary, model.dictionaries.ordinary + model.dictionaries.toxic))
+    for r in toxicity.scored(docs, model, name="s").where("doc_id % 20 = 0 or doc_id >= 9000").collect():
+        data = r["text"].encode().lower()
+        starts = sorted({*range(0, max(1, len(data) - 32), 8), max(0, len(data) - 32)})
+        saved = [len(one.compress(data[a : a + 32])) - len(two.compress(data[a : a + 32])) for a in starts]
+        counts = [sum(x >= level for x in saved) for level in (4, 5, 6, 7, 8)]
+        n = len(saved) + 10
+        x = [1, *np.log1p(counts), *np.sqrt(np.array(counts) / n), sum(saved) / n]
+        assert r["s"] == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.weights))), abs=1e-9)
+
+
+def test_compression_decides():
+    """A window that is in neither dictionary whole is told by what it has in common with one; training is zstandard's."""
+    rows = toxic_corpus(900, seed=8)
+    data = [[t.encode() for _, t, y in rows if y == side] for side in (1, 0)]
+    found = toxicity.train(*data)
+    assert found.toxic[:4] == b"\x37\xa4\x30\xec"  # a dictionary in zstandard's format, entropy tables and all
+    window = b"qqq xyz blastarden wvu 0123 jkjk"
+    assert len(window) == 32 and window not in found.toxic
+    assert found.distances(window)[0] >= 5 > found.distances(b"qqq xyz vastblaren wvu 0123 jkjk")[0]
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -37,8 +37,7 @@ def test_pipeline(spark, tmp_path):
     got = {r["doc_id"] for r in packed}
 
     model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    scorer = toxicity.Scorer(model)
-    left = [(i, t) for i, t in rows if scorer.score(toxicity.words_of(t)) < 0.5]
+    left = [(i, t) for i, t in rows if model.score(t) < 0.5]
     first: dict[str, int] = {}
     for i, t in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)

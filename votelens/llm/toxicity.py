@@ -1,22 +1,22 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
+"""Toxicity by compression distance: one zstandard dictionary of ordinary text, one of toxic text.
 
-A text's windows are the stretches of its words (with a space on either side) of each length in WINDOWS.  Each is
-compressed with both dictionaries of its length; a window that the toxic dictionary holds whole shrinks to a fixed few
-bytes, while the ordinary one leaves it longer.  Two calibrated thresholds, on the toxic length and on the distance of both
-lengths, tell toxic windows; a logistic curve over their number and weight, fitted on the labelled sample, gives the score.
+The ordinary dictionary is ordinary text, and what zstandard's trainer picks from more of it.  The toxic dictionary is the
+same with DICTIONARY bytes more, which the trainer picks from toxic text; so what both kinds of text share costs the same
+under either, and cancels.  Every window of the running text is compressed with both.  The distance of a window is the
+number of bytes that the toxic dictionary saves; a text's features count its windows at each distance of LEVELS, and a
+logistic curve over them gives the score.  Its weights are calibrated on texts that the dictionaries have not seen.
 
-Windows of a few bytes are below what zstandard can shorten, so each byte is written as SPREAD fixed bytes: matches then
-pay by the byte, and unmatched bytes stay as long as they are.
+Toxic texts are mostly ordinary prose.  So the trainer gets not all of it but windows: at first those that the ordinary
+dictionary leaves longer than it leaves nine of ten ordinary windows; then, ROUNDS times, those that a toxic dictionary of
+the other half of the texts shortens by REFINE bytes or more.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,208 +24,167 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.llm.common import free_names
+from votelens.llm.common import free_names, stored
 
-WINDOWS = (6, 9)
-SPREAD = 8
-#: The labelled sample has at most so many different texts of each label: the bound of what reaches the driver.
+WINDOW, STRIDE = 32, 8  # bytes of running text, so neighbouring windows overlap
+LEVELS = (4, 5, 6, 7, 8)
+#: The labelled sample has at most so many different texts of each label, and trains on at most SAMPLE_BYTES of each of
+#: these, in pieces spread evenly over the text: the bound of what reaches the driver.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
-#: A toxic text's windows are sought until each text has so many, from the strongest on.
-DEPTH = 4
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 4, 0.004, 2.3
-ORDINARY_WINDOWS = 3000
-REMEMBER = 400_000
+SAMPLE_BYTES, PIECE = 3072, 512
+BACKGROUND, TRAINED, DICTIONARY = 1 << 20, 1 << 16, 1 << 13
+NOVEL, ROUNDS, REFINE = 0.9, 2, 6
+LEAST_SAMPLES = 50  # of fewer windows no dictionary is trained
+TOXIC_WEIGHT = 2.0  # a toxic text that is missed counts as so many ordinary ones that are not
+AT_ONCE = 1 << 15  # windows that are compressed in one call
 
-WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-CODE = [hashlib.sha256(bytes([b])).digest()[:SPREAD] for b in range(256)]
+# ---------------------------------------------------------------- windows and distances
 
 
-def words_of(text: str | None) -> set[bytes]:
-    """The different words of a whole text; A-Z in lower case."""
-    return set(WORDS.findall((text or "").encode().lower()))
+def text_bytes(text: str | None) -> bytes:
+    """The whole text with A-Z in lower case; null is empty."""
+    return (text or "").encode("utf-8", "replace").lower()
 
 
-def windows_of(word: bytes) -> list[bytes]:
-    padded = b" " + word + b" "
-    return [padded[i : i + n] for n in WINDOWS for i in range(len(padded) - n + 1)]
+def window_places(length: int) -> np.ndarray:
+    """(start, length) of each window; the last one ends with the text, and a shorter text is one window."""
+    if length <= WINDOW:
+        return np.array([[0, length]] if length else np.zeros((0, 2)), dtype=np.uint64)
+    starts = np.append(np.arange(0, length - WINDOW, STRIDE), length - WINDOW)
+    return np.stack([starts, np.full(len(starts), WINDOW)], axis=1).astype(np.uint64)
 
 
-def spread(window: bytes) -> bytes:
-    return b"".join([CODE[b] for b in window])
-
-
-def _compressor(content: Iterable[bytes]) -> zstandard.ZstdCompressor:
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """Compresses windows with a dictionary's bytes as what came before; matches have six bytes or more."""
     parameters = zstandard.ZstdCompressionParameters.from_level(
-        3, source_size=max(WINDOWS) * SPREAD, dict_size=1 << 18, strategy=zstandard.STRATEGY_BTLAZY2, min_match=6, search_log=8,
-        hash_log=17, chain_log=17, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        5, source_size=WINDOW, dict_size=len(dictionary), min_match=6,
+        write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
-    data = b"".join(spread(w) + CODE[0] for w in content) or CODE[0]  # byte 0 is in no window: none matches across two
-    dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    dictionary.precompute_compress(compression_params=parameters)
-    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
+    loaded = zstandard.ZstdCompressionDict(dictionary or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    loaded.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(dict_data=loaded, compression_params=parameters)
+
+
+def compressed_lengths(with_: zstandard.ZstdCompressor, data: bytes, places: np.ndarray) -> np.ndarray:
+    parts = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(places), AT_ONCE):
+        some = np.ascontiguousarray(places[at : at + AT_ONCE])
+        low = int(some[0, 0])
+        view = data[low : int(some[-1].sum())]
+        some[:, 0] -= np.uint64(low)
+        done = with_.multi_compress_to_buffer(zstandard.BufferWithSegments(view, some.tobytes()), threads=1)
+        parts.append(np.fromiter((len(done[i]) for i in range(len(done))), dtype=np.int64, count=len(done)))
+    return np.concatenate(parts)
 
 
 @dataclass(frozen=True)
-class Model:
-    """Both dictionaries' windows, each toxic one's weight, the calibrated thresholds, and the logistic curve's weights."""
+class Dictionaries:
+    ordinary: bytes
+    toxic: bytes  # what the toxic dictionary has besides
 
-    toxic: tuple[bytes, ...]
-    odds: tuple[float, ...]
-    ordinary: tuple[bytes, ...]
-    #: By window length: the longest that a toxic window gets with the toxic dictionary, and by how much the other exceeds it.
-    thresholds: tuple[tuple[int, int, int], ...]
-    weights: tuple[float, ...]
+    @cached_property
+    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+        return compressor(self.ordinary), compressor(self.ordinary + self.toxic)
+
+    def __getstate__(self) -> dict:
+        return {"ordinary": self.ordinary, "toxic": self.toxic}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
 
+    def distances(self, data: bytes) -> np.ndarray:
+        """Of each window, its length under the ordinary dictionary less that under the toxic one."""
+        places = window_places(len(data))
+        one, two = self.compressors
+        return compressed_lengths(one, data, places) - compressed_lengths(two, data, places)
+
+
+def features(distances: np.ndarray) -> np.ndarray:
+    """The count and the share of windows at each level, and the mean distance; all zero without windows."""
+    n = len(distances) + 10
+    at = np.array([(distances >= level).sum() for level in LEVELS], dtype=np.float64)
+    return np.concatenate([[1.0], np.log1p(at), np.sqrt(at / n), [distances.sum() / n]])
+
+
+@dataclass(frozen=True)
+class Model:
+    dictionaries: Dictionaries
+    weights: tuple[float, ...]
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        self.compressors = {n: [_compressor(w for w in side if len(w) == n) for side in (model.toxic, model.ordinary)] for n in WINDOWS}
-        self.thresholds = {n: (longest, distance) for n, longest, distance in model.thresholds}
-        self.odds = dict(zip(model.toxic, model.odds, strict=True))
-        self.known: dict[bytes, bool] = {}
-        self.words: dict[bytes, tuple[bytes, ...]] = {}
-
-    def lengths(self, window: bytes) -> tuple[int, int]:
-        """Compressed with the toxic dictionary, and with the ordinary one."""
-        long = spread(window)
-        with_toxic, with_ordinary = self.compressors[len(window)]
-        return len(with_toxic.compress(long)), len(with_ordinary.compress(long))
-
-    def toxic_window(self, window: bytes) -> bool:
-        longest, distance = self.thresholds[len(window)]
-        with_toxic, with_ordinary = self.compressors[len(window)]
-        long = spread(window)
-        a = len(with_toxic.compress(long))
-        return a <= longest and len(with_ordinary.compress(long)) - a >= distance  # the second length is seldom needed
-
-    def _hits(self, word: bytes) -> tuple[bytes, ...]:
-        out = []
-        for window in windows_of(word):
-            hit = self.known.get(window)
-            if hit is None:
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                hit = self.known[window] = self.toxic_window(window)
-            if hit:
-                out.append(window)
-        return tuple(out)
-
-    def features(self, words: set[bytes]) -> list[float]:
-        """Toxic words on a scale of falling returns; the weight of the different toxic windows; the share of toxic words."""
-        known = self.words
-        hit_words, hits = 0, set()
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                found = known[word] = self._hits(word)
-            if found:
-                hit_words += 1
-                hits.update(found)
-        weight = min(30.0, sum(self.odds.get(w, LEAST_ODDS) for w in hits))
-        return [1.0, math.log1p(hit_words), weight / 5, math.sqrt(hit_words / len(words)) if words else 0.0]
-
-    def score(self, words: set[bytes]) -> float:
-        z = sum(w * x for w, x in zip(self.model.weights, self.features(words), strict=True))
+    def score(self, text: str | None) -> float:
+        z = float(np.dot(self.weights, features(self.dictionaries.distances(text_bytes(text)))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 # ---------------------------------------------------------------- training
 
 
-class _Windows:
-    """Windows of a sample as numbers, so that a text is a small array."""
-
-    def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.by_word: dict[bytes, np.ndarray] = {}
-
-    def of(self, words: bytes) -> np.ndarray:
-        parts = []
-        for word in words.split():
-            known = self.by_word.get(word)
-            if known is None:
-                known = self.by_word[word] = np.array([self.ids.setdefault(w, len(self.ids)) for w in windows_of(word)], dtype=np.int32)
-            parts.append(known)
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int32)
-
-
-def _toxic_windows(toxic: list[np.ndarray], odds: np.ndarray, least: float, names: list[bytes]) -> list[int]:
-    """Windows that cover the toxic texts DEPTH times over, from the one with the most weight on texts still open."""
-    holders: dict[int, list[int]] = defaultdict(list)
-    for i, windows in enumerate(toxic):
-        for w in windows[odds[windows] > 0]:
-            holders[int(w)].append(i)
-    open_ = [DEPTH] * len(toxic)
-    new = {w: len(h) for w, h in holders.items()}
-    chosen: list[int] = []
-    while new:
-        w = max(new, key=lambda w: (new[w] * odds[w], names[w]))
-        real = sum(open_[i] > 0 for i in holders[w])
-        if real < least:
-            del new[w]
-        elif real < new[w]:
-            new[w] = real
-        else:
-            chosen.append(w)
-            del new[w]
-            for i in holders[w]:
-                open_[i] -= 1
-    return chosen
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a ridge-regularised logistic regression, by Newton's method."""
+def sample_of(text: str | None) -> bytes:
+    """At most SAMPLE_BYTES of a text, in pieces that are spread evenly over it."""
+    data = text_bytes(text)
+    if len(data) <= SAMPLE_BYTES:
+        return data
+    starts = np.linspace(0, len(data) - PIECE, SAMPLE_BYTES // PIECE).astype(int)
+    return b"".join(data[at : at + PIECE] for at in starts)
+
+
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """zstandard's own dictionary of the samples; none of too few."""
+    if len(samples) < LEAST_SAMPLES:
+        return b""
+    return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+
+
+def _picked(texts: list[bytes], lengths, least: float) -> list[bytes]:
+    """The texts' whole windows for which `lengths` gives `least` or more."""
+    found = []
+    for data in texts:
+        places = window_places(len(data))
+        for at in np.flatnonzero(lengths(data, places) >= least):
+            if int(places[at, 1]) == WINDOW:
+                found.append(data[int(places[at, 0]) : int(places[at].sum())])
+    return found
+
+
+def train(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
+    """Both dictionaries, of samples of texts."""
+    background, rest = ordinary[0::2], ordinary[1::2]
+    each = max(PIECE, -(-BACKGROUND // max(1, len(background))))
+    pieces = [data[at : at + PIECE] for data in background for at in range(0, len(data), PIECE)]
+    prose = b"".join(data[:each] for data in background)[:BACKGROUND] + trained(pieces, TRAINED, 32, 8)
+    plain = compressor(prose)
+    left = [compressed_lengths(plain, data, window_places(len(data))) for data in rest] or [np.zeros(1)]
+    usual = float(np.quantile(np.concatenate(left), NOVEL)) + 1
+    halves = (toxic[0::2], toxic[1::2])
+    samples = [_picked(half, lambda data, places: compressed_lengths(plain, data, places), usual) for half in halves]
+    for _ in range(ROUNDS):
+        other = [compressor(prose + trained(samples[1 - i], DICTIONARY, 16, 6)) for i in (0, 1)]
+        samples = [
+            _picked(half, lambda data, places, i=i: compressed_lengths(plain, data, places) - compressed_lengths(other[i], data, places), REFINE)
+            for i, half in enumerate(halves)
+        ]
+    return Dictionaries(prose, trained(samples[0] + samples[1], DICTIONARY, 16, 6))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a ridge-regularised logistic regression on standardised columns, by Newton's method."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean[0], spread[0] = 0.0, 1.0
+    x = (x - mean) / spread
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
+    w = w / spread
+    w[0] -= float(mean @ w)
     return w
 
 
-def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """Fits the model on a bounded sample of texts, each given as its different words with spaces between.
-
-    Without texts of both labels every score is the same.
-    """
-    if not toxic or not ordinary:
-        share = 0.9 if toxic else 0.1
-        return Model((), (), (), tuple((n, 0, 1) for n in WINDOWS), (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    numbers = _Windows()
-    sides = [[numbers.of(words) for words in side] for side in (toxic, ordinary)]
-    names = list(numbers.ids)
-    in_toxic, in_ordinary = (np.bincount(np.concatenate(side), minlength=len(names)) for side in sides)
-    least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
-    odds = np.log((in_toxic + 0.5) / (len(toxic) + 1)) - np.log((in_ordinary + 0.5) / (len(ordinary) + 1))
-    odds[(in_toxic < least) | (odds < LEAST_ODDS)] = 0
-    chosen = _toxic_windows(sides[0], odds, least, names)
-    taken = set(chosen)
-    often = sorted((int(w) for w in np.flatnonzero(in_ordinary > 1) if w not in taken), key=lambda w: (-in_ordinary[w], names[w]))
-    usual = [w for n in WINDOWS for w in [x for x in often if len(names[x]) == n][:ORDINARY_WINDOWS]]
-    weight = tuple(float(odds[w]) for w in chosen)
-    chosen = [names[w] for w in chosen]
-    del sides, often
-    draft = Scorer(Model(tuple(chosen), weight, tuple(names[w] for w in reversed(usual)), (), ()))
-    # the usual length of a whole match, and the least distance that the chosen windows of that length show
-    thresholds = []
-    for n in WINDOWS:
-        shown = [draft.lengths(w) for w in chosen if len(w) == n] or [(0, 0)]
-        longest = Counter(a for a, _ in shown).most_common(1)[0][0]
-        thresholds.append((n, longest, max(1, min(b - a for a, b in shown if a <= longest))))
-    fitted = Model(draft.model.toxic, weight, draft.model.ordinary, tuple(thresholds), ())
-    scorer = Scorer(fitted)
-    x = np.array([scorer.features(set(words.split())) for words in [*toxic, *ordinary]])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    return replace(fitted, weights=tuple(map(float, _logistic(x, y))))
-
-
 # ---------------------------------------------------------------- Spark
 
 
@@ -234,6 +193,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_toxic: int, max_ordinary: int
+) -> tuple[DataFrame, dict[int, int]]:
+    """The sampled texts (_label, _hash, _text, _fold), and how many different labelled texts there are of each label.
+
+    Different texts are known by their hash, which is taken before labels are joined: no text moves but the sample's.
+    """
+    hashed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash")).where(~held_out(F.col("_id")))
+    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_label in (0, 1) and _id is not null")
+    known = stored(hashed.join(marks, "_id").groupBy("_label", "_hash").agg(F.count(F.lit(1)).alias("rows")), "labelled")
+    total = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("_label") == value).orderBy("_hash").limit(most) for value, most in ((1, max_toxic), (0, max_ordinary))]
+    picked = parts[0].union(parts[1]).select("_label", "_hash")  # a text that has both labels is in both
+    texts = docs.where(~held_out(F.col(doc_id))).select(F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    found = texts.join(F.broadcast(picked), "_hash").groupBy("_label", "_hash").agg(F.first("_text").alias("_text"))
+    return stored(found.withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), "_hash"), F.lit(2)).cast("int")), "sample"), total
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY,
@@ -241,30 +218,38 @@ def fit(
     """Trains on a bounded sample of the labelled rows that are not held out.
 
     The sample is the first `max_toxic` and `max_ordinary` different texts of each label in the order of a hash of the
-    text; only their sets of different words reach the driver.
+    text.  Dictionaries of either half of it give the other half's distances, on which the curve is fitted; then all of
+    the sample trains the dictionaries that are used.  Without texts of both labels every score is the same.
     """
-    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).where("_label in (0, 1) and _id is not null")
-    known = (
-        docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(~held_out(F.col("_id")))
-        .join(marks, "_id").select("_id", "_label", F.xxhash64("_text").alias("_hash"))
-        .groupBy("_label", "_hash").agg(F.min("_id").alias("_id"))
-    )
-    picked = None
-    for value, most in ((1, max_toxic), (0, max_ordinary)):
-        part = known.where(F.col("_label") == value).orderBy("_hash").limit(most).select("_id", "_label")
-        picked = part if picked is None else picked.union(part)
-    ids = docs.sparkSession.createDataFrame(picked.collect(), "_id long, _label int")  # at most the two bounds
+    sample, total = labelled_sample(docs, labels, doc_id, text, label, max_toxic, max_ordinary)
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"label": frame["_label"], "fold": frame["_fold"], "h": frame["_hash"], "data": [sample_of(t) for t in frame["_text"]]})
+
+    rows = sample.mapInPandas(pieces, "label int, fold int, h long, data binary").collect()  # at most both bounds of SAMPLE_BYTES
+    rows.sort(key=lambda r: (r["h"], r["label"]))
+
+    def side(value: int, fold: int | None = None) -> list[bytes]:
+        return [bytes(r["data"]) for r in rows if r["label"] == value and fold in (None, r["fold"])]
+
+    if not side(1) or not side(0):
+        share = 0.9 if side(1) else 0.1
+        return Model(Dictionaries(b"", b""), (math.log(share / (1 - share)), *[0.0] * (2 * len(LEVELS) + 1)))
+    apart = docs.sparkSession.sparkContext.broadcast([train(side(1, 1 - f), side(0, 1 - f)) for f in (0, 1)])
 
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"label": frame["_label"], "words": [b" ".join(sorted(words_of(t))) for t in frame["_text"]]})
+            found = [features(apart.value[fold].distances(text_bytes(t))) for fold, t in zip(frame["_fold"], frame["_text"], strict=True)]
+            yield pd.DataFrame({"label": frame["_label"], "h": frame["_hash"], "x": found})
 
-    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
-    rows = chosen.select("_label", "_text").mapInPandas(words, "label int, words binary").collect()
-    sides: dict[int, set[bytes]] = {0: set(), 1: set()}
-    for row in rows:
-        sides[row["label"]].add(bytes(row["words"]))
-    return train(sorted(sides[1]), sorted(sides[0]))
+    facts = sample.mapInPandas(seen, "label int, h long, x array<double>").collect()  # a few numbers for each sampled text
+    facts.sort(key=lambda r: (r["h"], r["label"]))
+    x, y = np.array([r["x"] for r in facts]), np.array([float(r["label"]) for r in facts])
+    counts = {value: (y == value).sum() for value in (0, 1)}
+    weight = np.where(y == 1, TOXIC_WEIGHT * total[1] / counts[1], total[0] / counts[0])
+    weight *= len(y) / weight.sum()
+    return Model(train(side(1), side(0)), tuple(map(float, logistic(x, y, weight))))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -272,9 +257,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series([scorer.score(words_of(t)) for t in texts], dtype="float64")
+            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
     # the annotations are read as types, so they are given here and not above
     work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
