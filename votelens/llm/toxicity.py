@@ -3,8 +3,9 @@
 The ordinary dictionary is ordinary text, and what zstandard's trainer picks from more of it.  The toxic dictionary is the
 same with DICTIONARY bytes more, which the trainer picks from toxic text; so what both kinds of text share costs the same
 under either, and cancels.  Every window of the running text is compressed with both.  The distance of a window is the
-number of bytes that the toxic dictionary saves; a text's features count its windows at each distance of LEVELS, and a
-logistic curve over them gives the score.  Its weights are calibrated on texts that the dictionaries have not seen.
+number of bytes that the toxic dictionary saves; a text's features tell its windows at each distance of LEVELS, against what
+ordinary text shows there, and a logistic curve over them gives the score.  Both are calibrated on texts that the
+dictionaries have not seen.
 
 Toxic texts are mostly ordinary prose.  So the trainer gets not all of it but windows: at first those that the ordinary
 dictionary leaves longer than it leaves nine of ten ordinary windows; then, ROUNDS times, those that a toxic dictionary of
@@ -99,20 +100,29 @@ class Dictionaries:
         return compressed_lengths(one, data, places) - compressed_lengths(two, data, places)
 
 
-def features(distances: np.ndarray) -> np.ndarray:
-    """The count and the share of windows at each level, and the mean distance; all zero without windows."""
-    n = len(distances) + 10
-    at = np.array([(distances >= level).sum() for level in LEVELS], dtype=np.float64)
-    return np.concatenate([[1.0], np.log1p(at), np.sqrt(at / n), [distances.sum() / n]])
+def counts(distances: np.ndarray) -> np.ndarray:
+    """The number of windows, of those at each level, and the sum of the distances."""
+    return np.array([len(distances), *[(distances >= level).sum() for level in LEVELS], distances.sum()], dtype=np.float64)
+
+
+def features(found: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Of rows of `counts`: for each level by how many deviations its windows exceed what ordinary text shows (`rates`), which
+    does not grow with a text's length, on two scales; the share of its windows; and the mean distance."""
+    n, at = found[:, :1], found[:, 1:-1]
+    excess = (at - rates * n) / np.sqrt(rates * n + 1)
+    scales = [np.sign(excess) * np.log1p(np.abs(excess)), np.minimum(excess, 20) / 5, np.sqrt(at / (n + 10))]
+    return np.concatenate([np.ones_like(n), *scales, found[:, -1:] / (n + 10)], axis=1)
 
 
 @dataclass(frozen=True)
 class Model:
     dictionaries: Dictionaries
+    rates: tuple[float, ...]  # the share of ordinary text's windows at each level
     weights: tuple[float, ...]
 
     def score(self, text: str | None) -> float:
-        z = float(np.dot(self.weights, features(self.dictionaries.distances(text_bytes(text)))))
+        found = counts(self.dictionaries.distances(text_bytes(text)))
+        z = float((features(found[None, :], np.array(self.rates)) @ np.array(self.weights))[0])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -235,21 +245,23 @@ def fit(
 
     if not side(1) or not side(0):
         share = 0.9 if side(1) else 0.1
-        return Model(Dictionaries(b"", b""), (math.log(share / (1 - share)), *[0.0] * (2 * len(LEVELS) + 1)))
+        return Model(Dictionaries(b"", b""), (0.0,) * len(LEVELS), (math.log(share / (1 - share)), *[0.0] * (3 * len(LEVELS) + 1)))
     apart = docs.sparkSession.sparkContext.broadcast([train(side(1, 1 - f), side(0, 1 - f)) for f in (0, 1)])
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [features(apart.value[fold].distances(text_bytes(t))) for fold, t in zip(frame["_fold"], frame["_text"], strict=True)]
+            found = [counts(apart.value[fold].distances(text_bytes(t))) for fold, t in zip(frame["_fold"], frame["_text"], strict=True)]
             yield pd.DataFrame({"label": frame["_label"], "h": frame["_hash"], "x": found})
 
     facts = sample.mapInPandas(seen, "label int, h long, x array<double>").collect()  # a few numbers for each sampled text
     facts.sort(key=lambda r: (r["h"], r["label"]))
     x, y = np.array([r["x"] for r in facts]), np.array([float(r["label"]) for r in facts])
-    counts = {value: (y == value).sum() for value in (0, 1)}
-    weight = np.where(y == 1, TOXIC_WEIGHT * total[1] / counts[1], total[0] / counts[0])
+    usual = x[y == 0].sum(axis=0)
+    rates = usual[1:-1] / max(1.0, usual[0])
+    weight = np.where(y == 1, TOXIC_WEIGHT * total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
     weight *= len(y) / weight.sum()
-    return Model(train(side(1), side(0)), tuple(map(float, logistic(x, y, weight))))
+    weights = logistic(features(x, rates), y, weight)
+    return Model(train(side(1), side(0)), tuple(map(float, rates)), tuple(map(float, weights)))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
