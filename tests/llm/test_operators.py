@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from votelens.llm import chat, decontaminate, exact, packing, secrets, sharding, simhash, toxicity, url_filter, warc
+from votelens.llm import chat, common, decontaminate, exact, packing, secrets, sharding, simhash, toxicity, url_filter, warc
 from votelens.llm.common import free_names
 
 from .corpus import SCHEMA, documents, sentence
@@ -459,17 +459,48 @@ def test_warc_round_trip(spark, tmp_path):
         again = len(data) >= 1000 and key is not None and key != first
         want[key, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", first if again else None] += 1
     assert got == want
+    digests = Counter(r["payload_digest"] for r in warc.read_warc(spark, f"file://{tmp_path}/out").where("record_type = 'response'").collect())
+    assert set(digests) == {hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows}  # every payload is in the archive
     nothing = warc.convert_archives(warc.parse_arc(warc.to_arc(pages.limit(0))), f"file://{tmp_path}/none")
     assert nothing.count() == 0
 
 
+def test_a_repeated_page_id_keeps_both_payloads(spark, tmp_path):
+    a, b = "a" * 1500, "b" * 1500
+    pages = spark.createDataFrame([(1, "u1", a), (2, "u2", a), (1, "u3", b), (None, "n", b), (None, "n", b)], "page_id long, url string, html string")
+    back = warc.convert_archives(warc.parse_arc(warc.to_arc(pages)), f"file://{tmp_path}/out").collect()
+    digest = {h: hashlib.sha1(h.encode()).hexdigest() for h in (a, b)}
+    assert Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in back) == Counter(
+        [(1, digest[a], "revisit", 2), (2, digest[a], "response", None), (1, digest[b], "response", None), *[(None, digest[b], "response", None)] * 2]
+    )
+
+
+def test_each_record_is_a_gzip_member(spark, tmp_path):
+    import io
+    import zlib as z
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * 10 * i) for i in range(20)], "page_id long, url string, html string")
+    warc.convert_archives(warc.parse_arc(warc.to_arc(pages)), f"file://{tmp_path}/out").collect()
+    seen = 0
+    for path in sorted((tmp_path / "out").glob("part-*")):
+        data = path.read_bytes()
+        while data:
+            member = z.decompressobj(31)
+            text = member.decompress(data)
+            data = member.unused_data
+            if text:
+                assert text.startswith(b"WARC/1.1") and text.endswith(b"\r\n\r\n") and len(list(warc.read_warc_stream(io.BytesIO(text)))) == 1
+                seen += 1
+    assert seen == 20
+
+
 # ---------------------------------------------------------------- 9
 
 
 @pytest.mark.parametrize("cells", [1 << 28, exact.SEGMENT])
 def test_exact_duplicates(spark, docs, none, monkeypatch, cells):
     whole = exact.repeated_filter
-    monkeypatch.setattr(exact, "repeated_filter", lambda s: whole(s, cells, 2))
+    monkeypatch.setattr(exact, "repeated_filter", lambda s, most: whole(s, min(most, cells), 2))
     got = exact.duplicate_groups(docs).collect()
     assert len(got) == len(ROWS)
     norm = {}
@@ -502,6 +533,14 @@ def test_filter_flags_every_repeat(spark):
     assert sum(r["again"] for r in marked) < 1000 + 100
 
 
+def test_large_groups_join_without_meeting_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for k in range(8) for i in range(k)] + [(None, 9)], "key int, i int")
+    groups = rows.where("key is not null").groupBy("key").agg({"i": "count", "*": "count"}).toDF("key", "size", "n")
+    got = common.join_groups(rows, groups, "key", "n", 29)
+    assert Counter((r["key"], r["i"], r["size"]) for r in got.collect()) == Counter((k, i, k) for k in range(8) for i in range(k))
+
+
 # ---------------------------------------------------------------- 10
 
 

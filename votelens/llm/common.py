@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`); where that is unset, as in tests, a new one."""
+    """The folder that driver and executors share (`spark.checkpoint.dir`).
+
+    Where that is unset, a new local one, but only if the executors are threads of the driver: other machines would not see it.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _own_dirs:
         _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="votelens-")
     return _own_dirs[sc.applicationId]
@@ -37,10 +43,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(temporary(spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """The same path, whose files go when the Spark application ends."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+#: Groups of more rows than this, and than a hundred-thousandth of all rows, are joined by a broadcast.
+HOT_ROWS, HOT_GROUPS = 256, 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows.join(groups, key), where `groups` has one row per key and `n`, how many of the `total` rows have it.
+
+    The rows of large groups stay where they are: their groups are broadcast, of which there are at most
+    total / (total / HOT_GROUPS), that is HOT_GROUPS.  So no task of the shuffled rest meets a large key.  Both inputs are
+    read twice: pass stored tables.
+    """
+    most = max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col(n) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(n) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
