@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votelens.llm import chat, decontaminate, exact, packing, secrets, sharding, simhash, toxicity, url_filter, warc
-from votelens.llm.common import shared_dir, table
+from votelens.llm.common import shared_dir, table, temporary
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.to_arc(table(spark, sf_dir, "pages"))
-    return warc.convert_archives(warc.parse_arc(archives), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    path = temporary(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.convert_archives(warc.parse_arc(archives), path)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents")).withColumn("law", F.lit("key"))
+    found = sharding.assign_shards(table(spark, sf_dir, "documents")).withColumn("law", F.lit("key"))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelens.llm.common import stored
+from votelens.llm.common import join_groups, stored
 
 #: The fields of a record's header line, by the archive's version.
 ARC_FIELDS = {
@@ -153,17 +153,18 @@ def converted(records: DataFrame) -> DataFrame:
 
 
 def revisits(records: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """page_id and the record it revisits: refers_to_id, refers_to_url, refers_to_date.
+    """page_id, payload_digest and the record it revisits: refers_to_id, refers_to_url, refers_to_date.
 
-    Of equal payloads of at least `least_bytes` the one with the largest page_id is the response.  Sums are partial
-    before the shuffle, and only ids and digests move.
+    Of equal payloads of at least `least_bytes` the one with the largest page_id is the response.  `records` is a stored
+    table of ids and digests: no payload moves, and copies of one payload never gather in one task.
     """
-    ids = records.where(F.col("payload_bytes") >= least_bytes).select(
-        "page_id", "payload_digest", F.struct("page_id", "record_id", "url", "warc_date").alias("record")
-    )
-    kept = ids.groupBy("payload_digest").agg(F.max("record").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return ids.join(kept, "payload_digest").where("page_id < kept.page_id").select(
-        "page_id", F.col("kept.record_id").alias("refers_to_id"), F.col("kept.url").alias("refers_to_url"),
+    ids = records.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    kept = ids.groupBy("payload_digest").agg(
+        F.max(F.struct("page_id", "record_id", "url", "warc_date")).alias("kept"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1")
+    copies = join_groups(ids.select("page_id", "payload_digest"), stored(kept, "payloads"), "payload_digest", "n", ids.count())
+    return copies.where("page_id < kept.page_id").select(
+        "page_id", "payload_digest", F.col("kept.record_id").alias("refers_to_id"), F.col("kept.url").alias("refers_to_url"),
         F.col("kept.warc_date").alias("refers_to_date"),
     ).distinct()
 
@@ -191,12 +192,19 @@ def warc_bytes() -> Column:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes converted records, with what they revisit, as gzipped WARC files, one per partition.
+    """Writes converted records, with what they revisit, as WARC files, one per partition; each record is a gzip member.
 
-    The files are written by Spark's text sink: a record is a line, and WARC's record end is the line end.
+    The files are written by Spark's text sink: a record is a line.  Its separator, which can't be empty, is a gzip member
+    without content, which readers pass over.
     """
-    rows = records.select(warc_bytes().cast("string").alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"value": [gzip.compress(bytes(record) + b"\r\n\r\n", 6, mtime=0) for record in frame["record"]]})
+
+    rows = records.select(warc_bytes().alias("record")).mapInPandas(members, "value binary").select(F.col("value").cast("string"))
+    separator = gzip.compress(b"", mtime=0).decode("latin-1")
+    rows.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
 def read_warc_stream(stream: BinaryIO) -> Iterator[dict]:
@@ -243,8 +251,9 @@ def convert_archives(records: DataFrame, path: str, least_bytes: int = LEAST_REV
     """ARC records to WARC files under `path`, and what these say when read back.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id of the response, else null).
-    Payloads shuffle once, by page_id, so copies of one payload spread over all tasks.  Records without a page_id are
-    always responses; an empty table gives no record.
+    Payloads shuffle once, by page_id and digest, so copies of one payload spread over all tasks.  Records without a page_id
+    are always responses, and spread by their place; of records that repeat a page_id, each payload counts by itself.  An
+    empty table gives no record.
     """
     spark = records.sparkSession
     full = converted(records)
@@ -252,10 +261,15 @@ def convert_archives(records: DataFrame, path: str, least_bytes: int = LEAST_REV
     facts = stored(full.select("page_id", "record_id", "url", "warc_date", "payload_digest", "payload_bytes"), "records")
     total = facts.agg(F.sum("payload_bytes")).first()[0] or 0
     archives = max(-(-total // ARCHIVE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    write_warc(full.repartition(archives, "page_id").join(revisits(facts, least_bytes), "page_id", "left"), path)
-    back = read_warc(spark, path)
-    response = back.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
+    place = F.when(F.col("page_id").isNull(), F.concat(F.lit("-"), F.monotonically_increasing_id())).otherwise(F.col("page_id").cast("string"))
+    again = revisits(facts, least_bytes).withColumn("place", F.col("page_id").cast("string")).drop("page_id")
+    spread = full.withColumn("place", place).repartition(archives, "place", "payload_digest")
+    write_warc(spread.join(again, ["place", "payload_digest"], "left"), path)
+    back = stored(read_warc(spark, path), "archived")
     one = back.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long"))
-    two = back.where("refers_to_id is not null").join(response, "refers_to_id", "left")
+    two = back.where("refers_to_id is not null")
+    response = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
+    named = two.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n")).join(response, "refers_to_id")
+    copies = join_groups(two, stored(named, "responses"), "refers_to_id", "n", two.count())
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return one.select(*columns).union(two.select(*columns))
+    return one.select(*columns).union(copies.select(*columns))
