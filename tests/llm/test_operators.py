@@ -131,13 +131,43 @@ def test_secrets(spark, none):
         want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
         want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
         assert [(s["start"], s["kind"], s["stop"]) for s in r["spans"] if s["kind"] < 3] == sorted(want)
-        owned = [text[s["start"] : s["stop"]] for s in r["spans"] if s["kind"] == 3]
-        assert owned == ([live] if r["doc_id"] == 6 else [])
+        owned = {(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == 3}
+        values = {m.span(2) for m in assign.finditer(text) if len(m[2]) >= 6} | {m.span() for s in want if s[1] for m in [re.compile(".*", re.S).match(text, s[0], s[2])]}
+        assert owned == (values | ({(4, 4 + len(live))} if live in text else set()))  # all these texts have owners of their own
+        assert len(r["spans"]) == len(want) + len(owned)
     assert secrets.find_secrets(none).count() == 0
     hidden = {r["doc_id"]: r["text"] for r in secrets.mask_live(docs.dropDuplicates(["doc_id"]), secrets.find_secrets(docs).dropDuplicates(["doc_id"])).collect()}
     assert hidden[6] == "see " + "*" * len(live) + " here" and copied in hidden[7] and hidden[3] is None
 
 
+def test_ownership_over_a_table(spark):
+    """Values in one or several texts and sources, some in copies of one text, against counts by hand."""
+    rng = random.Random(12)
+    values = ["".join(rng.choice("0123456789abcdefXYZ") for _ in range(24)) + "9z" for _ in range(40)]
+    rows = []
+    for i in range(400):
+        v = rng.choice(values[: rng.choice((3, 40))])
+        rows.append((i, f"{sentence(rng, 3)} {rng.choice(['', 'token = ', 'api_key:', 'secret='])}{v} {sentence(rng, 2)}", f"s{rng.randint(0, 3)}" if values.index(v) % 3 else "s0"))
+    only = "Lm5" * 8 + "q"
+    rows += [(500 + k, f"password={only} same text", f"s{k}") for k in range(4)]
+    where = defaultdict(lambda: (set(), set()))
+    found = {}
+    for i, text, source in rows:
+        base = secrets.base_spans(text)
+        found[i] = [(s[3], s[4]) for s in base + secrets.candidate_spans(text, base)]
+        for a, b in found[i]:
+            where[text[a:b]][0].add(text)
+            where[text[a:b]][1].add(source)
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    live = lambda v: len(where[v][0]) == 1 or len(where[v][1]) == 1
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        want = {(a, b) for a, b in found[r["doc_id"]] if live(texts[r["doc_id"]][a:b])}
+        assert {(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == 3} == want
+        assert all((s["repositories"], s["owners"]) == tuple(map(len, where[texts[r["doc_id"]][s["start"] : s["stop"]]])) for s in r["spans"] if s["kind"] in (2, 3))
+    assert len({live(v) for v in where}) == 2 and live(only)
+
+
 # ---------------------------------------------------------------- 3
 
 
