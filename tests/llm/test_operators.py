@@ -280,7 +280,7 @@ def test_url_models_match_brute_force_and_tell_apart(spark):
         for i in range(len(address) + 1):
             for k in range(4):
                 counts[v][padded[i + 3 - k : i + 4]] += 1
-    for gram in ratios:
+    def ratio(gram):
         p = {}
         for v in ("allow", "block"):
             x = 1 / 256
@@ -290,7 +290,84 @@ def test_url_models_match_brute_force_and_tell_apart(spark):
                 if same:
                     x = (counts[v][tail] + len(same) * x) / (sum(same) + len(same))
             p[v] = x
-        assert ratios[gram] == pytest.approx(np.log(p["allow"]) - np.log(p["block"]))
+        return np.log(p["allow"]) - np.log(p["block"])
+
+    for gram in ratios:
+        assert ratios[gram] / url_filter.UNIT == pytest.approx(ratio(gram), abs=1e-6)
+
+
+def brute_url_verdicts(urls):
+    """Verdicts of different URLs, from rules, or else from models of characters that are counted and smoothed by hand."""
+
+    def fitting(url):
+        _, there, rest = url.partition("://")
+        host = re.split("[/?#]", rest)[0].lower() if there else ""
+        path = re.split("[?#]", rest[len(host) :])[0] if there else ""
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.rule)).verdict if fits else None
+
+    address = {u: u.partition("://")[2] if "://" in u else u for u in urls}
+    rule = {u: fitting(u) for u in urls}
+    tails = {v: [Counter() for _ in range(4)] for v in ("allow", "block")}
+    total, kinds = ({v: [Counter() for _ in range(4)] for v in tails} for _ in range(2))
+    trains = {u for u in urls if rule[u] and xxhash64_signed(u) % 5}
+    for u in trains:
+        padded = "\x02" * 3 + address[u] + "\x03"
+        for i in range(3, len(padded)):
+            for k in range(4):
+                tail, v = padded[i - k : i + 1], rule[u]
+                kinds[v][k][tail[:-1]] += tails[v][k][tail] == 0
+                tails[v][k][tail] += 1
+                total[v][k][tail[:-1]] += 1
+
+    def score(u):
+        padded = "\x02" * 3 + address[u] + "\x03"
+        out = 0
+        for i in range(3, len(padded)):
+            logs = []
+            for v in ("allow", "block"):
+                x = 1 / 256
+                for k in range(4):
+                    tail = padded[i - k : i + 1]
+                    n, t = total[v][k][tail[:-1]], kinds[v][k][tail[:-1]]
+                    x = (tails[v][k][tail] + t * x) / (n + t) if n else x
+                logs.append(np.log(x))
+            out += round((logs[0] - logs[1]) * url_filter.UNIT)
+        return out / (len(padded) - 3) / url_filter.UNIT
+
+    known = [(score(u), rule[u]) for u in urls if rule[u] and u not in trains]
+    bins = sorted({max(-1000, min(1000, int(np.floor(s * 100)))) for s, _ in known})
+    errors = []
+    for k, low in enumerate(bins):
+        before = bins[k - 1] + 1 if k else low
+        of = lambda v: [int(np.floor(s * 100)) for s, w in known if w == v]
+        lost, kept = (np.mean([b < low for b in of("allow")]), np.mean([b >= low for b in of("block")]))
+        errors.append((lost + kept, (before + low) / 2))
+    threshold = min(errors)[1] / 100
+    return {u: rule[u] or ("allow" if score(u) >= threshold else "block") for u in urls}, {u: score(u) for u in urls if not rule[u]}
+
+
+def xxhash64_signed(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64))
+
+
+def test_url_verdicts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(15)
+    urls = [f"http://{sentence(rng, 1)}.net/de/{sentence(rng, 2).replace(' ', '-')}" for _ in range(120)]
+    urls += [f"http://www.{sentence(rng, 1)}.org/es/{rng.randint(0, 9999)}" for _ in range(120)]
+    urls += [f"https://{sentence(rng, 1)}.info/{rng.choice(['p', 'q'])}/{rng.choice([sentence(rng, 1), str(rng.randint(0, 999))])}" for _ in range(60)] + ["", "no scheme"]
+    urls = sorted(set(urls))
+    want, scores = brute_url_verdicts(urls)
+    rows = [(i, u) for i, u in enumerate(urls + urls[:40] + urls[:1] * 30)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows)
+    where = dict(rows)
+    for r in got:
+        assert r["verdict"] == want[where[r["page_id"]]]
+        assert (r["score"] is None) == (where[r["page_id"]] not in scores)
+        assert r["score"] is None or r["score"] == pytest.approx(scores[where[r["page_id"]]], abs=1e-5)
+    assert {want[u] for u in scores} == {"allow", "block"}
 
 
 # ---------------------------------------------------------------- 5

@@ -12,13 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.llm.common import LOWER, UPPER, stored
+from votelens.llm.common import LOWER, UPPER, join_groups, stored
 
 ORDER = 3
 ALPHABET = 256
 START, STOP = "\x02", "\x03"
-#: A gram table up to this number of rows is broadcast (under 64 bytes each: under 13 MB); a larger one is joined by a shuffle.
-BROADCAST_GRAMS = 200_000
+UNIT = 1 << 20  # log ratios are whole multiples of 1 / UNIT, so that their sums don't depend on the order
 BINS = 1000  # of the calibration's histogram on either side of zero, 0.01 wide
 
 
@@ -76,29 +75,36 @@ def grams(address: Column) -> Column:
 
 
 def gram_ratios(urls: DataFrame) -> DataFrame:
-    """gram, ratio (log of its last character's probability if allowed over that if blocked).
+    """gram, ratio (log of its last character's probability if allowed over that if blocked, in units of 1 / UNIT), and n (how
+    often all URLs have it).
 
     `urls` has address and training (allow, block or null).  Every URL's grams are counted over the whole corpus, with
-    partial sums before the shuffle; the tables after that have a row per gram at most.
+    partial sums before the shuffle; the tables after that have a row per gram and order at most.
     """
     seen = urls.select("training", F.explode(grams(F.col("address"))).alias("gram"))
     counts = stored(
-        seen.groupBy("gram").agg(F.count_if(F.col("training") == "allow").alias("a"), F.count_if(F.col("training") == "block").alias("b")),
+        seen.groupBy("gram").agg(
+            F.count_if(F.col("training") == "allow").alias("a"), F.count_if(F.col("training") == "block").alias("b"), F.count(F.lit(1)).alias("n")
+        ),
         "grams",
     )
     orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda k: F.struct(
         k.alias("k"), F.col("gram").substr(F.lit(ORDER + 1) - k, k + F.lit(1)).alias("tail"))))
     tails = counts.select("gram", "a", "b", orders.alias("o")).select("gram", "a", "b", "o.k", "o.tail")
-    by_tail = tails.groupBy("k", "tail").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn(
-        "context", F.expr("substring(tail, 1, k)")
+    by_tail = tails.groupBy("tail").agg(F.min("k").alias("k"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("holders"))
+    by_tail = stored(by_tail.withColumn("context", F.expr("substring(tail, 1, k)")), "tails")  # a tail's length is its order's
+    by_context = stored(
+        by_tail.groupBy("context").agg(
+            F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb"),
+            F.count(F.lit(1)).alias("tails"),
+        ),
+        "contexts",
     )
-    by_context = by_tail.groupBy("k", "context").agg(
-        F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb")
-    )
-    table = by_tail.join(by_context, ["k", "context"]).select("k", "tail", F.struct("k", "a", "b", "na", "nb", "ta", "tb").alias("s"))
-    per_gram = tails.select("gram", "k", "tail").join(table, ["k", "tail"]).groupBy("gram").agg(
-        F.array_sort(F.collect_list("s")).alias("steps")
+    table = join_groups(by_tail, by_context, "context", "tails", by_tail.count()).select(
+        "tail", F.struct("k", "a", "b", "na", "nb", "ta", "tb").alias("s"), "holders"
     )
+    steps = join_groups(tails.select("gram", "tail"), stored(table, "steps"), "tail", "holders", (ORDER + 1) * counts.count())
+    per_gram = steps.groupBy("gram").agg(F.array_sort(F.collect_list("s")).alias("steps"))
 
     def probability(n: str, total: str, types: str) -> Column:
         def smooth(p: Column, s: Column) -> Column:
@@ -107,14 +113,18 @@ def gram_ratios(urls: DataFrame) -> DataFrame:
         return F.aggregate("steps", F.lit(1.0 / ALPHABET), smooth)
 
     ratio = F.log(probability("a", "na", "ta")) - F.log(probability("b", "nb", "tb"))
-    return per_gram.select("gram", ratio.alias("ratio"))
+    return per_gram.select("gram", F.round(ratio * UNIT).cast("long").alias("ratio")).join(counts.select("gram", "n"), "gram")
 
 
 def url_scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """url, score: the length-normalised log-likelihood difference.  An empty address has the score of its end."""
-    model = F.broadcast(ratios) if ratios.count() <= BROADCAST_GRAMS else ratios
+    """url, score: the length-normalised log-likelihood difference.  An empty address has the score of its end.
+
+    Grams that are very frequent are joined by a broadcast of bounded size, the others by a shuffle or as Spark measures.
+    """
+    total = ratios.agg(F.sum("n")).first()[0] or 0
     exploded = urls.select("url", F.explode(grams(F.col("address"))).alias("gram"))
-    return exploded.join(model, "gram").groupBy("url").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    summed = join_groups(exploded, ratios, "gram", "n", total).groupBy("url").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("grams"))
+    return summed.select("url", (F.col("sum") / F.col("grams") / UNIT).alias("score"))
 
 
 def calibrated(scores: DataFrame) -> float:
@@ -153,7 +163,7 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     )
     trains = F.xxhash64("url") % 5 != 0
     urls = stored(
-        known.select("url", "host", "path", "address", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("verdict"))
+        known.select("url", "rows", "host", "path", "address", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("verdict"))
         .withColumn("training", F.when(trains, F.col("verdict"))),
         "urls",
     )
@@ -164,8 +174,9 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     decided = (
         urls.join(scores, "url", "left")
         .withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
-        .select("url", "host", "path", "rule", "score",
+        .select("url", "rows", "host", "path", "rule", "score",
                 F.coalesce("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))
     )
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
-    return rows.join(decided, "url").select("page_id", "host", "path", "rule", "verdict", "score")
+    total = urls.agg(F.sum("rows")).first()[0] or 0
+    return join_groups(rows, stored(decided, "decided"), "url", "rows", total).select("page_id", "host", "path", "rule", "verdict", "score")
