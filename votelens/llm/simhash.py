@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votelens.llm.common import stored
+from votelens.llm.common import join_groups, stored
 
 MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
@@ -282,15 +282,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = stored(edges, "edges")
     before = summed(edges)
-    while True:
+    while True:  # hubs, whose stars have very many edges, are joined by a broadcast of bounded size
         # large star: neighbours above a node link to its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, stored(least, "stars"), "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "edges")
         # small star: a node and its smaller neighbours link to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_groups(large, stored(least, "stars"), "u", "n", before[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         small = stored(small.where("u <> v").distinct(), "edges")
         edges, after = small, summed(small)
@@ -302,15 +302,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _grouped(fps: DataFrame, links: DataFrame) -> DataFrame:
-    """fp, component_id (the smallest doc_id reachable over the links)."""
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """fp, component_id (the smallest doc_id reachable over the links), rows (how many have the fingerprint): a stored table."""
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     labels = stored(components(links), "labels")
     labelled = stored(
-        classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")),
+        classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", "rows", F.coalesce("label", "fp").alias("label")),
         "classes",
     )
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return labelled.join(smallest, "label").select("fp", "component_id")
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = join_groups(labelled, stored(smallest, "components"), "label", "n", labelled.count())
+    return stored(found.select("fp", "component_id", "rows"), "grouped")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null text has no words; null doc_ids are never a component's id unless it has no other; repeated rows repeat.
     """
     fps = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
-    return fps.join(_grouped(fps, near_links(fps)), "fp").select(
+    return join_groups(fps, _grouped(fps, near_links(fps)), "fp", "rows", fps.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -511,5 +512,6 @@ def drop_near_duplicates(
         labels = ids.join(components(links), F.col("fp") == F.col("node"), "left").select("id", F.coalesce("label", "fp").alias("label"))
         pairs = stored(candidate_pairs(keys, sketches, labels, similarity, nearest), "pairs")
         links = links.union(verified_links(texts, ids, pairs, verify_words, similarity))
-    stays = nodes.join(_grouped(nodes, links), "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"), F.col("id").alias("_id")).distinct()
+    grouped = join_groups(nodes.select("fp", "doc_id", "id"), _grouped(nodes, links), "fp", "rows", nodes.count())
+    stays = grouped.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"), F.col("id").alias("_id")).distinct()
     return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]) & (F.xxhash64(docs[text]) == stays["_id"]), "left_semi")
