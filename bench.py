@@ -12,7 +12,7 @@ from votelens.queries import QUERIES
 
 HEADLINE = (
     "annotator_flags", "scored_records", "route_items", "calibration_sweep", "ablation_table", "layer0_effect", "marginal_cost", "escalated_detail",
-    "peer_votes", "order_views", "annotator_history", "evidence_bundle", "rule_grade_evidence", "verifier_grades", "validate_verdicts", "retry_resolve",
+    "peer_votes", "order_views", "annotator_history", "evidence_bundle", "history_patterns", "verifier_grades", "validate_verdicts", "retry_resolve",
     "trace_audit", "tool_call_counts", "call_cost", "assign_items", "injection_plan", "upsert_latest", "contract_audit",
 )
 

@@ -4,11 +4,12 @@ import json
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from votelens.functions import columns as C
 from votelens.operators import evidence, grading, preparation, seeding, signals, traces
-from votelens.params import Params
+from votelens.params import RUBRIC, Params
 from votelens.sources import tables
 from votelens.streaming import incremental
 
@@ -145,6 +146,33 @@ def test_stream_of_grades(spark, tmp_path):
             spark.createDataFrame(more, schema).coalesce(1).write.mode("append").json(source)
         incremental.upsert_stream(spark.readStream.schema(schema).json(source), out, f"file://{tmp_path}/cp").awaitTermination()
     assert {r.item_id: r.verdict for r in incremental.current(spark, out).collect()} == {"a": "reject", "b": "accept"}
+    late = incremental.upsert_stream(spark.readStream.schema(schema).json(source), out, f"file://{tmp_path}/new")
+    with pytest.raises(StreamingQueryException, match="older checkpoint"):
+        late.awaitTermination()
+    assert {r.item_id: r.verdict for r in incremental.current(spark, out).collect()} == {"a": "reject", "b": "accept"}
+
+
+def test_white_space_of_any_script(spark):
+    rows = [(1, "A\u00a0 b\u2003"), (2, "\t a \n\u3000B \x1f"), (3, "\u2028"), (4, None), (5, "")]
+    t = F.col("t")
+    got = {r.i: (r.n, r.w, r.s) for r in spark.createDataFrame(rows, "i int, t string").select("i", C.norm_text(t).alias("n"), C.word_count(t).alias("w"), C.strip_text(t).alias("s")).collect()}
+    assert got[1] == ("a b", 2, "A\u00a0 b") and got[2] == ("a b", 2, "a \n\u3000B") and got[3] == ("", 0, "") and got[5] == ("", 0, "")
+    assert got[4][0] is None and got[4][2] is None
+
+
+def test_reasons_of_white_space_alone_are_none(spark):
+    def verdict(reason):
+        return json.dumps({"dimension_scores": {d: 3 for d in RUBRIC}, "verdict": "accept", "confidence": 0.5, "reason": reason})
+
+    rows = [(1, verdict("\n\t")), (2, verdict("x\n")), (3, verdict("\u00a0")), (4, verdict(" two words\t"))]
+    got = {r.i: (r.valid, r.error, r.reason) for r in grading.validate_verdicts(spark.createDataFrame(rows, "i int, payload string")).collect()}
+    assert got == {1: (False, "reason", ""), 2: (True, None, "x"), 3: (False, "reason", ""), 4: (True, None, "two words")}
+    rows = [(1, json.dumps({"decision": "uphold", "confidence": 1, "reason": "\r\n"})), (2, json.dumps({"decision": "overturn", "confidence": 0, "reason": "\ty\n"}))]
+    got = {r.i: (r.valid, r.reason) for r in grading.validate_reviews(spark.createDataFrame(rows, "i int, payload string")).collect()}
+    assert got == {1: (False, ""), 2: (True, "y")}
+    events = json.dumps([{"type": "escalation", "reason": "\n\u2003"}])
+    df = spark.createDataFrame([("i", "original", "agent", "v", events)], "item_id string, order_label string, mode string, rubric_version string, trace string")
+    assert traces.terminal_outcome(df).first().reason == "(no reason given)"
 
 
 def test_defaults_are_the_operating_point():

@@ -33,10 +33,9 @@ def other_side(vote: Column) -> Column:
 
 
 def swap_letters(text: Column) -> Column:
-    """Exchanges the mentions of both responses."""
-    mark = F.lit("\u0000RESP\u0000")
-    held = F.replace(text, F.lit("Response A"), mark)
-    return F.replace(F.replace(held, F.lit("Response B"), F.lit("Response A")), mark, F.lit("Response B"))
+    """Exchanges the mentions of both responses: between mentions of A, each of B becomes A; the parts are joined by B."""
+    between = F.transform(F.split(text, "Response A"), lambda part: F.replace(part, F.lit("Response B"), F.lit("Response A")))
+    return F.array_join(between, "Response B")
 
 
 def truncate_text(text: Column, chars: int = DEFAULT.truncate_chars) -> Column:
@@ -48,13 +47,22 @@ def clip_text(text: Column, chars: int = 400) -> Column:
     return F.when(F.length(text) <= chars, text).otherwise(F.concat(F.substring(text, 1, chars), F.lit("…")))
 
 
+#: White space of any script, and the four control characters that separate records.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
+
+
+def strip_text(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(text, rf"\A{SPACE}|{SPACE}\z", "")
+
+
 def norm_text(text: Column) -> Column:
-    """Lower case, runs of (ASCII) white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case, runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
 
 
 def mentions(text: Column, side: Column) -> Column:

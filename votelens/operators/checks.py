@@ -49,11 +49,11 @@ def mode_cost(calls: DataFrame) -> DataFrame:
 
 
 def arm_cost(calls: DataFrame, scored: DataFrame) -> DataFrame:
-    """mode, micro_usd of the whole arm (the verifier's includes the agent's), n_items, cost_per_1000_usd."""
+    """mode, micro_usd of the whole arm (the verifier's includes the agent's), n_items, cost_per_1000_usd; records may be pooled."""
     spent = mode_cost(calls)
     pays = F.explode(F.when(F.col("mode") == "agent", F.array(F.lit("agent"), F.lit("verifier"))).otherwise(F.array("mode")))
     arms = spent.withColumn("arm", pays).groupBy(F.col("arm").alias("mode")).agg(F.sum("micro_usd").alias("micro_usd"))
-    sizes = scored.groupBy("mode").agg(F.count(F.lit(1)).alias("n_items"))
+    sizes = scored.groupBy("mode").agg((F.sum("n") if "n" in scored.columns else F.count(F.lit(1))).alias("n_items"))
     return arms.join(sizes, "mode").withColumn("cost_per_1000_usd", ratio(F.col("micro_usd"), F.col("n_items") * 1000))
 
 

@@ -58,8 +58,18 @@ def scored_records(grades: DataFrame, truth: DataFrame, p: Params = DEFAULT) ->
 
 
 def pooled(scored: DataFrame, *by: str) -> DataFrame:
-    """Records that no metric tells apart, as one row with their number n: the size no longer depends on the items."""
-    return scored.groupBy(*by, "score", "escalated", "is_defective", "defect_type").agg(F.count(F.lit(1)).alias("n"))
+    """Records that no metric tells apart, as one row with their number n: the size no longer depends on the items.
+
+    Records that are pooled already, by more columns, are pooled further.
+    """
+    n = F.sum("n") if "n" in scored.columns else F.count(F.lit(1))
+    return scored.groupBy(*by, "score", "escalated", "is_defective", "defect_type").agg(n.alias("n"))
+
+
+def pooled_by_flag(scored: DataFrame, flags: DataFrame) -> DataFrame:
+    """Records pooled by mode and by whether their annotator is flagged: both sides of the layer-0 comparison come from it."""
+    bad = flags.where("flagged").select("annotator_id", F.lit(True).alias("agg_flagged"))
+    return pooled(scored.join(bad, "annotator_id", "left").withColumn("agg_flagged", F.coalesce("agg_flagged", F.lit(False))), "mode", "agg_flagged")
 
 
 def _sum(test: Column, n: str = "n") -> Column:

@@ -9,24 +9,29 @@ from votelens.functions.columns import other_side, swap_letters
 from votelens.params import DEFAULT
 
 
-def annotator_history(submissions: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
-    """item_id, pos (from 1), other_id, other_vote, other_text: an annotator's first k other submissions by item_id.
+def first_submissions(submissions: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
+    """annotator_id, first: an annotator's first k + 1 submissions by item_id, as an array in one row.
 
-    Only the first k + 1 submissions of an annotator can be anybody's history.  They are ranked apart and joined back, so
-    the output is k rows per item at most and a busy annotator's submissions never meet all of each other.
+    Only these can be anybody's history of k others.  Keys alone are ranked; then at most k + 1 texts an annotator move, once.
     """
     rank = F.row_number().over(Window.partitionBy("annotator_id").orderBy("item_id"))
-    first = (
-        submissions.select("annotator_id", "item_id").withColumn("rk", rank).where(F.col("rk") <= k + 1)  # keys alone are sorted
-        .join(submissions.select("item_id", F.col("vote").alias("other_vote"), F.col("justification").alias("other_text")), "item_id")
-        .select("annotator_id", "rk", F.col("item_id").alias("other_id"), "other_vote", "other_text")
-    )
-    own_rank = F.when(F.col("other_id") > F.col("item_id"), F.col("rk") - 1).otherwise(F.col("rk"))
-    # an item outside the first k + 1 comes after them all, so its history is the first k
-    return (
-        submissions.select("item_id", "annotator_id").join(first, "annotator_id").where("other_id <> item_id")
-        .withColumn("pos", own_rank).where(F.col("pos") <= k)
-        .select("item_id", "annotator_id", "pos", "other_id", "other_vote", "other_text")
+    keys = submissions.select("annotator_id", "item_id").withColumn("rk", rank).where(F.col("rk") <= k + 1).select("item_id", "annotator_id")
+    texts = submissions.select("item_id", F.col("vote").alias("other_vote"), F.col("justification").alias("other_text"))
+    entry = F.struct(F.col("item_id").alias("other_id"), "other_vote", "other_text")
+    return keys.join(texts, "item_id").groupBy("annotator_id").agg(F.array_sort(F.collect_list(entry)).alias("first"))
+
+
+def own_history(k: int = DEFAULT.history_limit) -> Column:
+    """An item's history, of the columns item_id and first: the first k submissions but itself, in place."""
+    others = F.filter("first", lambda x: x["other_id"] != F.col("item_id"))
+    return F.slice(F.coalesce(others, F.array().cast("array<struct<other_id:string,other_vote:string,other_text:string>>")), 1, k)
+
+
+def annotator_history(submissions: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
+    """item_id, annotator_id, pos (from 1), other_id, other_vote, other_text: an annotator's first k other submissions."""
+    known = submissions.select("item_id", "annotator_id").join(first_submissions(submissions, k), "annotator_id")
+    return known.select("item_id", "annotator_id", F.posexplode(own_history(k)).alias("at", "h")).select(
+        "item_id", "annotator_id", (F.col("at") + 1).alias("pos"), "h.*"
     )
 
 
@@ -35,12 +40,18 @@ def in_order(vote: Column, order_label: Column) -> Column:
     return F.when(order_label == "swapped", other_side(vote)).otherwise(vote)
 
 
-def history_patterns(history: DataFrame) -> DataFrame:
+def history_patterns(submissions: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
     """item_id, n_history, reused_text (5 or more, all alike), constant_side (6 or more votes, all alike)."""
-    n = F.count(F.lit(1))
-    return history.groupBy("item_id").agg(
-        n.alias("n_history"), ((n >= 5) & (F.min("other_text") == F.max("other_text"))).alias("reused_text"),
-        ((n >= 6) & (F.min("other_vote") == F.max("other_vote"))).alias("constant_side"),
+    known = submissions.select("item_id", "annotator_id").join(first_submissions(submissions, k), "annotator_id")
+    history = known.select("item_id", own_history(k).alias("h")).where(F.size("h") > 0)
+    n = F.size("h")
+
+    def alike(field: str) -> Column:
+        return F.size(F.array_distinct(F.array_compact(F.transform("h", lambda x: x[field])))) == 1
+
+    return history.select(
+        "item_id", n.cast("long").alias("n_history"), ((n >= 5) & alike("other_text")).alias("reused_text"),
+        ((n >= 6) & alike("other_vote")).alias("constant_side"),
     )
 
 
@@ -51,10 +62,12 @@ def peer_bundle(peers: DataFrame) -> DataFrame:
     return shown.groupBy("item_id", "order_label").agg(F.array_sort(F.collect_list(F.struct("judge", "vote"))).alias("peers"))
 
 
-def evidence_bundle(views: DataFrame, history: DataFrame, peers: DataFrame) -> DataFrame:
-    """One row per item and order: the view, its history (at most k rows) and its peers, as arrays."""
-    past = history.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "other_id", "other_vote", "other_text"))).alias("history"))
-    joined = views.join(past, "item_id", "left").join(peer_bundle(peers), ["item_id", "order_label"], "left")
+def evidence_bundle(views: DataFrame, submissions: DataFrame, peers: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
+    """One row per item and order: the view, its history (at most k rows) and its peers, as arrays.
+
+    Views meet the one array of their annotator, so no text of a history is shuffled once per item.
+    """
+    joined = views.join(first_submissions(submissions, k), "annotator_id", "left").join(peer_bundle(peers), ["item_id", "order_label"], "left")
 
     def shown(h: Column) -> Column:
         swap = F.col("order_label") == "swapped"
@@ -63,7 +76,7 @@ def evidence_bundle(views: DataFrame, history: DataFrame, peers: DataFrame) -> D
             F.when(swap, swap_letters(h["other_text"])).otherwise(h["other_text"]).alias("justification"),
         )
 
-    return joined.withColumn("history", F.transform(F.coalesce("history", F.array().cast(past.schema["history"].dataType)), shown)).withColumn(
+    return joined.withColumn("history", F.transform(own_history(k), shown)).drop("first").withColumn(
         "peers", F.coalesce("peers", F.array().cast("array<struct<judge:string,vote:string>>"))
     )
 

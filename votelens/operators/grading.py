@@ -1,4 +1,4 @@
-"""Verdict payloads, rule policies, batch scoring and the verifier's arm."""
+"""Verdict payloads, batch scoring and the verifier's arm."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.functions.columns import argues_against, hash_bucket, ratio, word_count
+from votelens.functions.columns import ratio, strip_text
 from votelens.params import DEFAULT, RUBRIC, Params
 from votelens.schemas import RUN_KEY
 
@@ -36,12 +36,12 @@ def validate_verdicts(payloads: DataFrame) -> DataFrame:
         F.when(F.col("_p").isNull() | F.col("_p.dimension_scores").isNull() | ~good_score, "dimension_scores")
         .when(~F.coalesce(F.col("_p.verdict").isin("accept", "reject"), F.lit(False)), "verdict")
         .when(~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence")
-        .when(F.coalesce(F.trim("_p.reason"), F.lit("")) == "", "reason")
+        .when(F.coalesce(strip_text(F.col("_p.reason")), F.lit("")) == "", "reason")
     )
     out = payloads.withColumn("_p", p).withColumn("_scores", scores).withColumn("error", error)
     return out.select(
         *payloads.columns, F.col("error").isNull().alias("valid"), "error", F.col("_p.verdict").alias("verdict"), confidence.alias("confidence"),
-        F.trim("_p.reason").alias("reason"), F.transform_values("_scores", lambda k, v: v.try_cast("int")).alias("scores"),
+        strip_text(F.col("_p.reason")).alias("reason"), F.transform_values("_scores", lambda k, v: v.try_cast("int")).alias("scores"),
     )
 
 
@@ -57,10 +57,10 @@ def validate_reviews(payloads: DataFrame) -> DataFrame:
     error = (
         F.when(~F.coalesce(F.col("_p.decision").isin("uphold", "overturn"), F.lit(False)), "decision")
         .when(~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence")
-        .when(F.coalesce(F.trim("_p.reason"), F.lit("")) == "", "reason")
+        .when(F.coalesce(strip_text(F.col("_p.reason")), F.lit("")) == "", "reason")
     )
     return payloads.withColumn("_p", p).withColumn("error", error).select(
-        *payloads.columns, F.col("error").isNull().alias("valid"), "error", F.col("_p.decision").alias("decision"), confidence.alias("confidence"), F.trim("_p.reason").alias("reason")
+        *payloads.columns, F.col("error").isNull().alias("valid"), "error", F.col("_p.decision").alias("decision"), confidence.alias("confidence"), strip_text(F.col("_p.reason")).alias("reason")
     )
 
 
@@ -76,64 +76,6 @@ def retry_resolve(attempts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- rule policies
-
-
-def hundredths(ten_thousandths: Column) -> Column:
-    """n / 10000 rounded to two digits, half to even, without a detour over binary fractions."""
-    q, r = F.floor(ten_thousandths / 100), ten_thousandths % 100
-    return (q + F.when((r > 50) | ((r == 50) & (q % 2 == 1)), 1).otherwise(0)).cast("double") / F.lit(100.0)
-
-
-def with_seed(views: DataFrame, salt: str) -> DataFrame:
-    return views.withColumn("seed", hash_bucket(F.concat_ws("|", F.lit(salt), "item_id", "order_label")))
-
-
-def _verdict(verdict: str, confidence: float) -> Column:
-    return F.struct(F.lit(verdict).alias("verdict"), F.lit(confidence).alias("confidence"))
-
-
-def _drawn(verdict: str, low: int, span: int) -> Column:
-    return F.struct(F.lit(verdict).alias("verdict"), hundredths(F.lit(low) + span * (F.col("seed") % 100)).alias("confidence"))
-
-
-def rule_grade_context(views: DataFrame) -> DataFrame:
-    """verdict and confidence from the text alone: too short, or arguing for the other side."""
-    j, v = F.col("justification"), F.col("vote")
-    judged = F.when(word_count(j) < 10, _verdict("reject", 0.9)).when(argues_against(j, v), _verdict("reject", 0.8)).otherwise(_drawn("accept", 5500, 40))
-    return with_seed(views, "context").withColumn("_r", judged).select("item_id", "order_label", "_r.verdict", "_r.confidence")
-
-
-def rule_grade_evidence(views: DataFrame, patterns: DataFrame, agreement: DataFrame) -> DataFrame:
-    """As above with the annotator's history and the peers; where no peer agrees, half of the runs escalate."""
-    j, v = F.col("justification"), F.col("vote")
-    alone = (F.coalesce("n_votes", F.lit(0)) >= 2) & (F.coalesce("n_agree", F.lit(0)) == 0)
-    nothing = F.struct(F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("double").alias("confidence"))
-    judged = (
-        F.when(F.coalesce("reused_text", F.lit(False)), _verdict("reject", 0.92)).when(F.coalesce("constant_side", F.lit(False)), _verdict("reject", 0.85))
-        .when(word_count(j) < 10, _verdict("reject", 0.88)).when(argues_against(j, v), _verdict("reject", 0.84))
-        .when(alone & (F.col("seed") % 2 == 0), nothing).when(alone, _verdict("reject", 0.6)).otherwise(_drawn("accept", 6000, 35))
-    )
-    joined = with_seed(views, "evidence").join(patterns, "item_id", "left").join(agreement, "item_id", "left")
-    return joined.withColumn("_r", judged).select("item_id", "order_label", "_r.verdict", "_r.confidence", F.col("_r.verdict").isNull().alias("escalated"))
-
-
-def rule_review(requests: DataFrame, patterns: DataFrame) -> DataFrame:
-    """A review of each agent verdict: decision and confidence, or an escalation."""
-    def decided(decision: str, confidence: float) -> Column:
-        return F.struct(F.lit(decision).alias("decision"), F.lit(confidence).alias("confidence"))
-
-    nothing = F.struct(F.lit(None).cast("string").alias("decision"), F.lit(None).cast("double").alias("confidence"))
-    drawn = F.struct(F.lit("uphold").alias("decision"), hundredths(F.lit(5500) + 40 * (F.col("seed") % 100)).alias("confidence"))
-    judged = (
-        F.when(F.col("grader_verdict") == "reject", decided("uphold", 0.9)).when(F.coalesce("reused_text", F.lit(False)), decided("overturn", 0.9))
-        .when(F.coalesce("constant_side", F.lit(False)), decided("overturn", 0.85)).when(argues_against(F.col("justification"), F.col("vote")), decided("overturn", 0.85))
-        .when(F.col("seed") % 29 == 0, nothing).otherwise(drawn)
-    )
-    joined = with_seed(requests, "review").join(patterns, "item_id", "left")
-    return joined.withColumn("_r", judged).select("item_id", "order_label", "_r.decision", "_r.confidence", F.col("_r.decision").isNull().alias("escalated"))
-
-
 # ---------------------------------------------------------------- batch scoring
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]

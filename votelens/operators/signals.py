@@ -45,11 +45,24 @@ def layer0_overlay(scored: DataFrame, flags: DataFrame) -> DataFrame:
     """
     bad = flags.where("flagged").select("annotator_id", F.lit(True).alias("agg_flagged"))
     joined = scored.join(bad, "annotator_id", "left").withColumn("agg_flagged", F.coalesce("agg_flagged", F.lit(False)))
-    return joined.withColumn("score", F.when(F.col("agg_flagged"), F.lit(0.0)).otherwise(F.col("score"))).withColumn(
+    return overlaid(joined)
+
+
+def overlaid(marked: DataFrame) -> DataFrame:
+    """The overlay on records, or pooled records, that have agg_flagged already."""
+    return marked.withColumn("score", F.when(F.col("agg_flagged"), F.lit(0.0)).otherwise(F.col("score"))).withColumn(
         "escalated", ~F.col("agg_flagged") & F.col("escalated")
     )
 
 
+def peer_agreement(peers: DataFrame, submissions: DataFrame) -> DataFrame:
+    """item_id, n_votes (of judges who took a side), n_agree (of those with the annotator)."""
+    joined = peers.select("item_id", F.col("vote").alias("peer")).join(submissions.select("item_id", "vote"), "item_id")
+    return joined.groupBy("item_id").agg(
+        F.count_if(F.col("peer") != "tie").alias("n_votes"), F.count_if(F.col("peer") == F.col("vote")).alias("n_agree")
+    )
+
+
 def annotator_load(submissions: DataFrame) -> DataFrame:
     """How items spread: annotators, items, least and most per annotator, defective items."""
     each = submissions.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_defective").alias("bad"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votelens.functions.columns import ratio
+from votelens.functions.columns import ratio, strip_text
 from votelens.params import DEFAULT, Params
 from votelens.schemas import RUN_KEY, TRACE_EVENTS
 
@@ -78,7 +78,7 @@ def terminal_outcome(traces: DataFrame) -> DataFrame:
     """How each run ended: outcome (verdict, review, escalation or none), reason, budget_exhausted."""
     ends = F.filter("events", lambda x: x["type"].isin("verdict", "review", "escalation", "inherited_escalation"))
     last = F.try_element_at(ends, F.lit(-1))
-    said = F.nullif(F.trim(last["reason"]), F.lit(""))
+    said = F.nullif(strip_text(last["reason"]), F.lit(""))
     outcome = F.when(last["type"].isNull(), "none").when(last["type"] == "inherited_escalation", "escalation").otherwise(last["type"])
     return parsed(traces).select(
         *RUN_KEY, outcome.alias("outcome"), F.when(outcome == "escalation", F.coalesce(said, F.lit("(no reason given)"))).otherwise(said).alias("reason"),

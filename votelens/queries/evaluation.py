@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from votelens.functions import columns as C
 from votelens.operators import checks
 from votelens.operators import evaluation as E
-from votelens.operators.signals import annotator_flags
-from votelens.operators.signals import layer0_overlay as overlay
+from votelens.operators.signals import annotator_flags, overlaid
 from votelens.params import DEFAULT, DEFECT_TYPES
 from votelens.queries.signals import ARM
 from votelens.queries.sql import TYPES, by_type, metrics, score, statement
@@ -21,12 +20,12 @@ def _scored(f: Fixtures) -> DataFrame:
     return E.scored_records(f.grades(), f.truth())
 
 
-def _costs(f: Fixtures) -> DataFrame:
-    return checks.arm_cost(f.call_log(), _scored(f))
+def _pool(f: Fixtures) -> DataFrame:
+    return E.pooled(_scored(f), "mode")
 
 
-def _overlaid(f: Fixtures) -> DataFrame:
-    return overlay(_scored(f), annotator_flags(f.submissions()))
+def _pool_by_flag(f: Fixtures) -> DataFrame:
+    return E.pooled_by_flag(_scored(f), annotator_flags(f.submissions()))
 
 
 def paired_grades(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,14 +71,16 @@ def recall_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 def calibration_sweep(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    return E.calibration_sweep(_scored(f), _costs(f))
+    pool = _pool(f)
+    return E.calibration_sweep(pool, checks.arm_cost(f.call_log(), pool))
 
 
 def csv_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """The sweep as CSV, read back."""
     path = tables.scratch(spark, "calibration")
-    tables.write_csv(calibration_sweep(spark, sf).select("mode", "high", "low", "n_items", "n_flagged", "n_escalated"), path)
-    return spark.read.schema("mode string, high double, low double, n_items long, n_flagged long, n_escalated long").csv(path, header=True)
+    sweep = calibration_sweep(spark, sf)
+    tables.write_csv(sweep, path)
+    return spark.read.schema(sweep.schema).csv(path, header=True)
 
 
 def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,17 +89,20 @@ def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def marginal_cost(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    return E.marginal_cost(E.flag_metrics(_scored(f), ["mode"]), _costs(f))
+    pool = _pool(f)
+    return E.marginal_cost(E.flag_metrics(pool, ["mode"]), checks.arm_cost(f.call_log(), pool))
 
 
 def layer0_effect(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    return E.layer0_effect(_scored(f), _overlaid(f), _costs(f))
+    pool = _pool_by_flag(f)
+    return E.layer0_effect(pool, overlaid(pool), checks.arm_cost(f.call_log(), pool))
 
 
 def layer0_deltas(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    return E.layer0_deltas(_scored(f), _overlaid(f))
+    pool = _pool_by_flag(f)
+    return E.layer0_deltas(pool, overlaid(pool))
 
 
 def escalation_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +168,7 @@ ORACLES = {name: statement(sql) for name, sql in {
     "operating_point": metrics("scored", "mode"),
     "recall_by_type": f"SELECT * FROM {_TYPED}",
     "calibration_sweep": _sweep(),
-    "csv_sweep": f"SELECT mode, high, low, n_items, n_flagged, n_escalated FROM ({_sweep()})",
+    "csv_sweep": _sweep(),
     "ablation_table": _ABLATION,
     "marginal_cost": _marginal(),
     "layer0_effect": f"""SELECT m.*, a.cost_per_1000_usd FROM (SELECT *, false AS layer0 FROM ({metrics('scored', 'mode')}) UNION ALL SELECT *, true FROM ({metrics('overlaid', 'mode')})) m

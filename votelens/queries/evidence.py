@@ -24,7 +24,7 @@ def annotator_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return V.history_patterns(annotator_history(spark, sf))
+    return V.history_patterns(Fixtures(spark, sf).submissions())
 
 
 def peer_bundle(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def peer_bundle(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_bundle(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    bundle = V.evidence_bundle(order_views(f.items(), f.submissions()), V.annotator_history(f.submissions()), f.item_peers())
+    bundle = V.evidence_bundle(order_views(f.items(), f.submissions()), f.submissions(), f.item_peers())
     texts = F.sha1(F.array_join(F.transform("history", lambda h: h["justification"]), "|"))
     return bundle.select(
         "item_id", "order_label", "vote", F.length("response_a").alias("chars_a"), F.length("response_b").alias("chars_b"),

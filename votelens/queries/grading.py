@@ -1,4 +1,4 @@
-"""Grading: payload checks, rule policies, batch scoring, the verifier's arm."""
+"""Grading: payload checks, batch scoring, the verifier's arm."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelens.operators import evidence as V
 from votelens.operators import grading as G
 from votelens.operators.preparation import order_views
 from votelens.queries.preparation import _VIEWS
-from votelens.queries.signals import peer_agreement
-from votelens.queries.sql import h, statement
+from votelens.queries.sql import statement
 from votelens.sources.fixtures import Fixtures
 
 
@@ -42,24 +40,6 @@ def _views(f: Fixtures) -> DataFrame:
     return order_views(f.items(), f.submissions())
 
 
-def rule_grade_context(spark: SparkSession, sf: str) -> DataFrame:
-    return G.rule_grade_context(_views(Fixtures(spark, sf)))
-
-
-def _patterns(f: Fixtures) -> DataFrame:
-    return V.history_patterns(V.annotator_history(f.submissions()))
-
-
-def rule_grade_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    f = Fixtures(spark, sf)
-    return G.rule_grade_evidence(_views(f), _patterns(f), peer_agreement(spark, sf))
-
-
-def rule_review(spark: SparkSession, sf: str) -> DataFrame:
-    f = Fixtures(spark, sf)
-    return G.rule_review(V.verify_requests(f.grades(), _views(f)), _patterns(f))
-
-
 def _length_scorer() -> G.Scorer:
     """A scorer as a caller would supply one: rejects texts of few words."""
 
@@ -95,23 +75,15 @@ def overturn_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, rule_grade_context, rule_grade_evidence, rule_review, batch_grade, combine_reviews,
+    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, batch_grade, combine_reviews,
     verifier_grades, overturn_rate,
 )}
 
 
-def _hundredths(t: str) -> str:
-    return f"cast(({t}) // 100 + CASE WHEN ({t}) % 100 > 50 OR (({t}) % 100 = 50 AND (({t}) // 100) % 2 = 1) THEN 1 ELSE 0 END as double) / cast(100 as double)"
-
-
 _SEEN = f"""(SELECT *, len(list_filter(regexp_split_to_array(justification, '\\s+'), lambda w: w <> '')) < 10 AS few,
     CASE vote WHEN 'A' THEN length(replace(justification, 'Response A', '')) > length(replace(justification, 'Response B', '')) ELSE length(replace(justification, 'Response B', '')) > length(replace(justification, 'Response A', '')) END AS against FROM {_VIEWS})"""
 
 
-def _seeded(salt: str) -> str:
-    return f"(SELECT v.*, {h(f"'{salt}|' || item_id || '|' || order_label")} AS seed FROM {_SEEN} v)"
-
-
 _PAYLOAD_ERROR = "CASE seed % 11 WHEN 0 THEN 'dimension_scores' WHEN 1 THEN 'confidence' WHEN 2 THEN 'verdict' WHEN 3 THEN 'reason' END"
 _RC = "(50 + seed % 50)"
 _COMBINED_V = "CASE WHEN r.decision = 'uphold' THEN g.verdict WHEN g.verdict = 'accept' THEN 'reject' ELSE 'accept' END"
@@ -127,17 +99,6 @@ ORACLES = {name: statement(sql) for name, sql in {
     "retry_resolve": """SELECT item_id, order_label, mode, bad AS failed, CASE WHEN NOT bad THEN CASE WHEN seed % 11 = 2 THEN 1 + seed % 3 ELSE 1 END END AS attempt,
         CASE WHEN NOT bad THEN CASE WHEN seed % 11 = 2 THEN 'accept' WHEN seed % 10 < 3 THEN 'reject' ELSE 'accept' END END AS verdict,
         CASE seed % 11 WHEN 0 THEN 'dimension_scores' WHEN 1 THEN 'confidence' WHEN 3 THEN 'reason' WHEN 4 THEN 'dimensions' END AS last_error FROM (SELECT *, seed % 11 IN (0, 1, 3, 4) AS bad FROM run0)""",
-    "rule_grade_context": f"""SELECT item_id, order_label, CASE WHEN few OR against THEN 'reject' ELSE 'accept' END AS verdict,
-        CASE WHEN few THEN cast(0.9 as double) WHEN against THEN cast(0.8 as double) ELSE {_hundredths('5500 + 40 * (seed % 100)')} END AS confidence FROM {_seeded('context')}""",
-    "rule_grade_evidence": f"""SELECT v.item_id, order_label, CASE WHEN reused_text OR constant_side OR few OR against THEN 'reject' WHEN n_votes >= 2 AND n_agree = 0 THEN CASE WHEN seed % 2 = 1 THEN 'reject' END ELSE 'accept' END AS verdict,
-        CASE WHEN reused_text THEN cast(0.92 as double) WHEN constant_side THEN cast(0.85 as double) WHEN few THEN cast(0.88 as double) WHEN against THEN cast(0.84 as double)
-        WHEN n_votes >= 2 AND n_agree = 0 THEN CASE WHEN seed % 2 = 1 THEN cast(0.6 as double) END ELSE {_hundredths('6000 + 35 * (seed % 100)')} END AS confidence,
-        NOT (coalesce(reused_text, false) OR coalesce(constant_side, false) OR few OR against) AND coalesce(n_votes >= 2 AND n_agree = 0, false) AND seed % 2 = 0 AS escalated
-        FROM {_seeded('evidence')} v LEFT JOIN pattern p ON p.item_id = v.item_id LEFT JOIN agree a ON a.item_id = v.item_id""",
-    "rule_review": f"""SELECT v.item_id, v.order_label, CASE WHEN g.verdict = 'reject' THEN 'uphold' WHEN reused_text OR constant_side OR against THEN 'overturn' WHEN seed % 29 = 0 THEN NULL ELSE 'uphold' END AS decision,
-        CASE WHEN g.verdict = 'reject' THEN cast(0.9 as double) WHEN reused_text THEN cast(0.9 as double) WHEN constant_side OR against THEN cast(0.85 as double) WHEN seed % 29 = 0 THEN NULL
-        ELSE {_hundredths('5500 + 40 * (seed % 100)')} END AS confidence, g.verdict <> 'reject' AND NOT (coalesce(reused_text, false) OR coalesce(constant_side, false) OR against) AND seed % 29 = 0 AS escalated
-        FROM {_seeded('review')} v JOIN grade g ON g.item_id = v.item_id AND g.order_label = v.order_label AND g.mode = 'agent' AND NOT g.escalated LEFT JOIN pattern p ON p.item_id = v.item_id""",
     "batch_grade": f"SELECT item_id, order_label, CASE WHEN few THEN 'reject' ELSE 'accept' END AS verdict, CASE WHEN few THEN cast(0.9 as double) ELSE cast(0.75 as double) END AS confidence FROM {_SEEN}",
     "combine_reviews": f"SELECT g.item_id, g.order_label, {_COMBINED_V} AS verdict, {_COMBINED_C} AS confidence FROM grade g JOIN review r ON r.item_id = g.item_id AND r.order_label = g.order_label WHERE g.mode = 'agent' AND NOT g.escalated",
     "verifier_grades": f"""SELECT g.item_id, g.order_label, 'verifier' AS mode, g.rubric_version, CASE WHEN NOT e THEN g.dimension_scores END AS dimension_scores, CASE WHEN NOT e THEN {_COMBINED_V} END AS verdict,

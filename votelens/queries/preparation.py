@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from votelens.functions import columns as C
 from votelens.operators import checks
 from votelens.operators import preparation as P
-from votelens.params import EVIDENCE_TOOLS, RUBRIC_VERSION
+from votelens.params import EVIDENCE_TOOLS, MODES, RUBRIC_VERSION
 from votelens.queries.sql import h, statement
 from votelens.sources import tables
 from votelens.sources.fixtures import Fixtures
@@ -158,7 +158,7 @@ def rewrite_slice(spark: SparkSession, sf: str) -> DataFrame:
 def call_log_append(spark: SparkSession, sf: str) -> DataFrame:
     calls = Fixtures(spark, sf).call_log()
     path = tables.scratch(spark, "call_log")
-    for mode in ("single", "agent"):
+    for mode in MODES:
         tables.append_calls(checks.with_cost(calls.where(F.col("mode") == mode)), path)
     back = spark.read.parquet(path)
     return back.groupBy("mode").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("call_id").alias("n_ids"), F.sum("cost_micro_usd").alias("micro_usd"))
@@ -229,7 +229,7 @@ ORACLES = {name: statement(sql) for name, sql in {
         CASE WHEN name = 'get_annotator_history' THEN least(CASE WHEN seed % 3 > 0 THEN seed % 40 ELSE 10 END, 20) END AS row_limit FROM tool t JOIN sub USING (item_id)""",
     "load_if_empty": "SELECT * FROM ann",
     "rewrite_slice": "SELECT item_id, verdict, confidence, mode FROM grade WHERE order_label = 'original' AND (mode <> 'agent' OR verdict = 'accept')",
-    "call_log_append": "SELECT mode, count(*) AS n_calls, count(*) AS n_ids, cast(sum(micro) as bigint) AS micro_usd FROM calls WHERE mode <> 'verifier' GROUP BY mode",
+    "call_log_append": "SELECT mode, count(*) AS n_calls, count(*) AS n_ids, cast(sum(micro) as bigint) AS micro_usd FROM calls GROUP BY mode",
     "run_scoped": "SELECT mode, count(*) AS n_calls FROM calls WHERE mode = 'agent' GROUP BY mode",
 }.items()} | {
     "upsert_latest": _with(f"{_BASE}, {_CHANGES}", "SELECT item_id, annotator_id, vote, version FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY version DESC) AS rn FROM (SELECT * FROM base UNION ALL SELECT * FROM changes)) WHERE rn = 1"),

@@ -79,10 +79,7 @@ def missing_deps(spark: SparkSession, sf: str) -> DataFrame:
 
 def peer_agreement(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    joined = f.item_peers().withColumnRenamed("vote", "peer").join(f.truth().select("item_id", "vote"), "item_id")
-    return joined.groupBy("item_id").agg(
-        F.count_if(F.col("peer") != "tie").alias("n_votes"), F.count_if(F.col("peer") == F.col("vote")).alias("n_agree")
-    )
+    return S.peer_agreement(f.item_peers(), f.truth())
 
 
 QUERIES = {q.__name__: q for q in (

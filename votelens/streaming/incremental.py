@@ -10,25 +10,38 @@ from votelens.schemas import RUN_KEY
 from votelens.sources.tables import exists
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that have a snapshot."""
+    if not exists(spark, path):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    return [int(name.removeprefix("batch=")) for name in names if name.startswith("batch=")]
+
+
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = RUN_KEY, version: str = "version") -> StreamingQuery:
     """Keeps under `path` one snapshot folder per batch, the last of which holds the latest row of each key.
 
     A snapshot is written whole before `current` is read from it, and a batch that is run again writes the same folder, so
-    a failure between two batches loses and doubles nothing.
+    a failure between two batches loses and doubles nothing.  A lost snapshot, or a new checkpoint over old ones, fails.
+    Snapshots older than the one before are deleted.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/batch={batch_id - 1}"
-        known = spark.read.schema(batch.schema).parquet(before) if exists(spark, before) else batch.limit(0)
+        if batch_id and not exists(spark, before):
+            raise FileNotFoundError(f"{before} is lost: the stream can't go on from it")
+        if not batch_id and any(_snapshots(spark, path)):
+            raise FileExistsError(f"{path} has the snapshots of an older checkpoint")
+        known = spark.read.schema(batch.schema).parquet(before) if batch_id else batch.limit(0)
         upsert_latest(known, batch, list(keys), version).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The last snapshot."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    last = max(int(f.getPath().getName().removeprefix("batch=")) for f in files if f.getPath().getName().startswith("batch="))
-    return spark.read.parquet(f"{path}/batch={last}")
+    return spark.read.parquet(f"{path}/batch={max(_snapshots(spark, path))}")
