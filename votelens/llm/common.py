@@ -54,6 +54,15 @@ def temporary(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: A stored table of two numbers a row is broadcast up to so many rows, under 64 MB; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 21
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A stored table of ids, with the hint to broadcast it if a count shows that it may be."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 #: Groups of more rows than this, and than a hundred-thousandth of all rows, are joined by a broadcast.
 HOT_ROWS, HOT_GROUPS = 256, 100_000
 

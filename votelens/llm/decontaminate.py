@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.llm.common import ascii_lower
+from votelens.llm.common import ascii_lower, if_small, stored
 
 WINDOW = 10
 ANCHOR = 5
@@ -136,6 +136,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
         contamination(docs, benchmark, doc_id, text, **columns).where(F.size("hits") > 0)
         .select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash"))
     )
+    bad = if_small(stored(bad, "contaminated"))  # mostly few, and then no text is shuffled
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text]) == bad["_hash"]), "left_anti")
 
 

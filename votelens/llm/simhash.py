@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votelens.llm.common import join_groups, stored
+from votelens.llm.common import if_small, join_groups, stored
 
 MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the [23, 12, 7] Golay code
 RUN = 1024  # fingerprints of one key that are compared in one block
 SMALL = 16  # keys of up to so many rows give all their links
-SKETCH = 512  # bits of a set's sketch
+SKETCH = 512  # bits of a set's short sketch
 SAMPLE, COMMON = 5000, 10_000  # texts that tell common shingles, and at most so many of these
 EPSILON = 1e-9  # rounding of size * similarity must never raise a bound
 
@@ -342,13 +342,32 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(hashes.view(np.int64))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of hashes is i modulo SKETCH.  Two sets differ in at least as many members as their
+def sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Bit i: whether an odd number of hashes is i modulo `bits`.  Two sets differ in at least as many members as their
     sketches in bits, so a sketch rules out without ever missing."""
-    odd = np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1
+    odd = np.bincount(hashes & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def full_sketch(hashes: np.ndarray) -> bytes:
+    """A sketch with a bit a member at least, a power of two: it tells large sets apart, where the short one can't."""
+    bits = SKETCH
+    while bits < len(hashes):
+        bits *= 2
+    return sketch(hashes, bits)
+
+
+def sketches_differ(one: bytes, two: bytes) -> int:
+    """In how many bits two sketches differ; the larger is folded to the smaller's size first."""
+    x, y = sorted((np.frombuffer(s, dtype=np.uint64) for s in (one, two)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
+def most_differing(n: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many members two sets of n members together may differ at most, to be that similar."""
+    return n - 2 * np.ceil(similarity / (1 + similarity) * n - EPSILON).astype(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """id and the hashes of the text's different shingles, for rows of id and text."""
 
@@ -369,12 +388,13 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def text_nodes(docs: DataFrame, words: int, verify_words: int, similarity: float) -> DataFrame:
-    """doc_id, fp, id, n, sketch and prefix (the shingles that are keys, in order), for rows of doc_id, id and text."""
+    """doc_id, fp, id, n, sketch, full (the larger sketch) and prefix (the shingles that are keys, in order), for rows of
+    doc_id, id and text."""
     common, counts = common_shingles(docs, verify_words)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fps, sizes, sketches, prefixes = [], [], [], []
+            fps, sizes, sketches, full, prefixes = [], [], [], [], []
             for text in frame["text"]:
                 hashes = shingle_hashes(text, verify_words)
                 n = len(hashes)
@@ -386,13 +406,14 @@ def text_nodes(docs: DataFrame, words: int, verify_words: int, similarity: float
                 fps.append(fingerprint(text, words))
                 sizes.append(n)
                 sketches.append(sketch(hashes))
+                full.append(full_sketch(hashes))
                 prefixes.append(hashes[order[: n - math.ceil(similarity * n - EPSILON) + 1]])
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].astype("Int64"), "fp": np.array(fps, dtype=np.uint64).view(np.int64), "id": frame["id"],
-                "n": sizes, "sketch": sketches, "prefix": prefixes,
+                "n": sizes, "sketch": sketches, "full": full, "prefix": prefixes,
             })
 
-    return docs.mapInPandas(work, "doc_id long, fp long, id long, n int, sketch binary, prefix array<long>")
+    return docs.mapInPandas(work, "doc_id long, fp long, id long, n int, sketch binary, full binary, prefix array<long>")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
@@ -472,10 +493,23 @@ def candidate_pairs(keys: DataFrame, sketches: DataFrame, labels: DataFrame, sim
     )
 
 
+def plausible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose larger sketches don't rule them out: of pairs that share a passage but little else, no text is moved."""
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            most = most_differing(frame["na"].to_numpy(dtype=np.int64) + frame["nb"].to_numpy(dtype=np.int64), similarity)
+            differ = np.fromiter(map(sketches_differ, frame["sa"], frame["sb"]), dtype=np.int64, count=len(frame))
+            yield frame.loc[differ <= most, ["a", "b"]]
+
+    one, two = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("full").alias(f"s{x}")).dropDuplicates([x]) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(fit, "a long, b long")
+
+
 def verified_links(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links a-b of fingerprints, of the pairs whose texts share enough shingles (Jaccard).  Only texts in a pair are shuffled."""
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.join(nodes, "id", "left_semi").dropDuplicates(["id"]).join(ids, "id"), "texts")
+    nodes = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "paired")
+    texts = stored(docs.join(if_small(nodes), "id", "left_semi").dropDuplicates(["id"]).join(ids, "id"), "texts")
 
     def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -511,7 +545,9 @@ def drop_near_duplicates(
     for nearest in (True, False):
         labels = ids.join(components(links), F.col("fp") == F.col("node"), "left").select("id", F.coalesce("label", "fp").alias("label"))
         pairs = stored(candidate_pairs(keys, sketches, labels, similarity, nearest), "pairs")
+        pairs = stored(plausible_pairs(pairs, nodes, similarity), "plausible")
         links = links.union(verified_links(texts, ids, pairs, verify_words, similarity))
     grouped = join_groups(nodes.select("fp", "doc_id", "id"), _grouped(nodes, links), "fp", "rows", nodes.count())
-    stays = grouped.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays"), F.col("id").alias("_id")).distinct()
-    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]) & (F.xxhash64(docs[text]) == stays["_id"]), "left_semi")
+    goes = grouped.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_goes"), F.col("id").alias("_id")).distinct()
+    goes = if_small(stored(goes, "near_copies"))  # mostly few, and then no text is shuffled
+    return docs.join(goes, docs[doc_id].cast("long").eqNullSafe(goes["_goes"]) & (F.xxhash64(docs[text]) == goes["_id"]), "left_anti")
