@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from votelens.llm import chat, common, decontaminate, exact, packing, secrets, sharding, simhash, toxicity, url_filter, warc
 from votelens.llm.common import free_names
@@ -407,6 +408,11 @@ def test_chat_round_trip(spark, chunk):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["formatted_chars"] == sum(len(f"<|im_start|>{chat.escape_line(x[2] or '')}\n{chat.escape(x[3] or '')}<|im_end|>\n") for x in group)
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    stored = spark.createDataFrame(sorted(chat.format_conversations(df, chunk_chars=chunk).collect(), key=lambda r: -r["chunk"]), chat.CHUNK).repartition(3)
+    assert {r["conv_id"]: r for r in chat.read_back(stored, in_place=False).collect()} == got
+    if chunk == 7:
+        with pytest.raises(Exception, match="in_place=False"):
+            chat.read_back(stored.orderBy(F.desc("chunk"))).collect()
 
 
 # ---------------------------------------------------------------- 6

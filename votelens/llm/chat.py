@@ -442,17 +442,23 @@ class _Reader:
         self.rest = [whole[at:]]
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_place: bool = True) -> DataFrame:
     """What chunks in their order say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The rows of `format_conversations`, as they come, are already together and in order; no shuffle follows.
+    The rows of `format_conversations`, as they come, are already together and in order; no shuffle follows.  Chunks of a
+    stored table may lie anywhere: with `in_place` false they are brought together first, and without it, missing or
+    disordered chunks are an error.
     """
+    if not in_place:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for key, group in _by_conversation(frames, ["conv_id", "formatted", "spans"]):
+        for key, group in _by_conversation(frames, ["conv_id", "chunk", "formatted", "spans"]):
             reader = _Reader()
-            for _, text, spans in group:
+            for expected, (_, chunk, text, spans) in enumerate(group):
+                if chunk != expected:
+                    raise ValueError(f"conversation {key}: chunk {chunk} comes where {expected} should; read with in_place=False")
                 reader.add(text, list(spans))
             out.append({
                 "conv_id": key, "n_turns": reader.n_turns, "turns_sha256": reader.turns.hexdigest(), "loss_chars": reader.loss_chars,
