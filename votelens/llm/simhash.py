@@ -282,15 +282,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = stored(edges, "edges")
     before = summed(edges)
-    while True:  # hubs, whose stars have very many edges, are joined by a broadcast of bounded size
+    while True:  # a hub's edges meet one row in each join, so that Spark's skew handling may split them at will
         # large star: neighbours above a node link to its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_groups(both, stored(least, "stars"), "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "edges")
         # small star: a node and its smaller neighbours link to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = join_groups(large, stored(least, "stars"), "u", "n", before[0])
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         small = stored(small.where("u <> v").distinct(), "edges")
         edges, after = small, summed(small)
