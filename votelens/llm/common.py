@@ -63,18 +63,32 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-#: Groups of more rows than this, and than a hundred-thousandth of all rows, are joined by a broadcast.
-HOT_ROWS, HOT_GROUPS = 256, 100_000
+#: Groups of more rows than this, and than a hundred-thousandth of all rows, are joined by a broadcast of at most HOT_BYTES.
+HOT_ROWS, HOT_GROUPS, HOT_BYTES = 256, 100_000, 1 << 26
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes when it is broadcast: its texts' bytes, and 16 for each column."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    return sum(texts, F.lit(16 * len(df.columns))).cast("long")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows.join(groups, key), where `groups` has one row per key and `n`, how many of the `total` rows have it.
 
-    The rows of large groups stay where they are: their groups are broadcast, of which there are at most
-    total / (total / HOT_GROUPS), that is HOT_GROUPS.  So no task of the shuffled rest meets a large key.  Both inputs are
-    read twice: pass stored tables.
+    The rows of large groups stay where they are: their groups are broadcast, the largest first, of which there are at most
+    HOT_GROUPS and at most HOT_BYTES (sizes are summed by powers of two of n).  So tasks of the shuffled rest meet no large
+    key, or, where groups themselves are long, Spark splits it.  Both inputs are read twice: pass stored tables.
     """
     most = max(HOT_ROWS, total // HOT_GROUPS)
+    power = F.ceil(F.log2(F.col(n))).cast("int")
+    large = groups.where(F.col(n) > most).groupBy(power.alias("power")).agg(F.sum(row_bytes(groups)).alias("bytes"))
+    held = 0
+    for r in sorted(large.collect(), key=lambda r: -r["power"]):  # at most 64 rows
+        held += r["bytes"]
+        if held > HOT_BYTES:
+            most = max(most, 1 << r["power"])
+            break
     hot = F.broadcast(groups.where(F.col(n) > most))
     rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(n) <= most), key)
     return rows.join(hot, key).unionByName(rest)

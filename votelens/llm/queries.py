@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelens.llm import chat, decontaminate, exact, packing, secrets, sharding, simhash, toxicity, url_filter, warc
+from votelens.llm import chat, decontaminate, exact, packing, quality, quantize, repair, secrets, sharding, simhash, toxicity, url_filter, warc
 from votelens.llm.common import shared_dir, table, temporary
 
 
@@ -79,6 +79,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= quality.KEEP_SCORE, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = quantize.compress(table(spark, sf_dir, "embeddings"))
+    return quantize.with_label_error(codes).withColumn("codebooks_sha256", F.lit(books.sha256() if books else None).cast("string"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.digests(turns, repair.audits(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
@@ -90,11 +108,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
+    "op11_quality": op11_quality,
+    "op12_codes": op12_codes,
+    "op13_repair": op13_repair,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _STARTS = "generate_series(0, len(w) - size)"
 
+
+def _codes(k: int) -> str:
+    """Each part's nearest entry of codebook k, and its distance."""
+    d = " + ".join(f"(x.c{i} - b.c{i}) * (x.c{i} - b.c{i})" for i in range(4))
+    return f"a{k} AS (SELECT vec_id, label, p, n % 64 AS e, n // 64 AS d, c0, c1, c2, c3 FROM (SELECT x.*, (SELECT min(({d}) * 64 + b.e) FROM b{k} b WHERE b.p = x.p) AS n FROM part x))"
+
+
+def _books(k: int) -> str:
+    """Codebook k of the parts that codebook k - 1 got."""
+    means = ", ".join(f"cast(floor(cast(sum(c{i}) AS double) / count(*)) AS bigint) AS c{i}" for i in range(4))
+    chosen = ", ".join(f"coalesce(m.c{i}, b.c{i}) AS c{i}" for i in range(4))
+    return f"b{k} AS (SELECT b.p, b.e, {chosen} FROM b{k - 1} b LEFT JOIN (SELECT p, e, {means} FROM a{k - 1} GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": rf"""
         WITH item AS (SELECT cast(item_id AS varchar) AS item, w, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
@@ -121,4 +156,13 @@ ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op12_codes": f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        part AS (SELECT vec_id, label, p, {", ".join(f"v[4 * p + {i + 1}] AS c{i}" for i in range(4))} FROM kept, range(16) r(p)),
+        b0 AS (SELECT p, e, c0, c1, c2, c3 FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+        {_codes(0)}, {_books(1)}, {_codes(1)}, {_books(2)}, {_codes(2)},
+        book AS (SELECT sha256(string_agg(concat_ws(',', c0, c1, c2, c3), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2),
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, cast(sum(d) AS bigint) AS error FROM a2 GROUP BY vec_id, label)
+        SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM coded, book""",
 }
