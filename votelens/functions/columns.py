@@ -38,8 +38,12 @@ def swap_letters(text: Column) -> Column:
     return F.array_join(between, "Response B")
 
 
+# The note that follows a text cut short, before and after the whole text's length.
+TRUNCATED = ("… [TRUNCATED — ", " chars total]")
+
+
 def truncate_text(text: Column, chars: int = DEFAULT.truncate_chars) -> Column:
-    note = F.concat(F.lit("… [TRUNCATED — "), F.length(text).cast("string"), F.lit(" chars total]"))
+    note = F.concat(F.lit(TRUNCATED[0]), F.length(text).cast("string"), F.lit(TRUNCATED[1]))
     return F.when(F.length(text) <= chars, text).otherwise(F.concat(F.substring(text, 1, chars), note))
 
 

@@ -57,16 +57,19 @@ def peer_votes(raw: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def order_views(items: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Each item with its submission, as shown and with both responses exchanged."""
-    joined = items.join(submissions, "item_id")
-    kept = ["item_id", "annotator_id", "question"]
-    shown = joined.select(*kept, F.lit("original").alias("order_label"), "model_a", "model_b", "response_a", "response_b", "human_gold_vote", "vote", "justification")
-    swapped = joined.select(
-        *kept, F.lit("swapped").alias("order_label"), F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"),
-        F.col("response_b").alias("response_a"), F.col("response_a").alias("response_b"), other_side(F.col("human_gold_vote")).alias("human_gold_vote"),
-        other_side(F.col("vote")).alias("vote"), swap_letters(F.col("justification")).alias("justification"),
-    )
-    return shown.unionByName(swapped)
+    """Each item with its submission, as shown and with both responses exchanged: one join, of which each row gives both."""
+    other, said = other_side(F.col("vote")), swap_letters(F.col("justification"))
+    orders = {
+        "original": ("model_a", "model_b", "response_a", "response_b", "human_gold_vote", "vote", "justification"),
+        "swapped": ("model_b", "model_a", "response_b", "response_a", other_side(F.col("human_gold_vote")), other, said),
+    }
+    names = orders["original"]
+    views = [
+        F.struct(F.lit(order).alias("order_label"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(columns, names, strict=True)])
+        for order, columns in orders.items()
+    ]
+    joined = items.join(submissions, "item_id").select("item_id", "annotator_id", "question", F.explode(F.array(*views)).alias("v"))
+    return joined.select("item_id", "annotator_id", "question", "v.*")
 
 
 def rubric_text() -> str:
@@ -105,14 +108,42 @@ def annotator_request() -> Column:
     )
 
 
+# What a tool call out of its run's scope is told.
+SCOPE_ERRORS = {
+    "get_annotator_history": "only annotator {annotator_id} is in scope for this item",
+    "get_peer_judgments": "only item {item_id} is in scope",
+    "get_full_response": "which must be 'a' or 'b'",
+    "": "unknown tool {name}",
+}
+
+
+def evidence_error(name: str, args: dict, run: dict) -> str | None:
+    """Why a run may not make a tool call; None if it may.  `evidence_scope` says the same of a table of calls."""
+    allowed = {
+        "get_annotator_history": args.get("annotator_id") == run.get("annotator_id"), "get_peer_judgments": args.get("item_id") == run.get("item_id"),
+        "get_full_response": args.get("which") in ("a", "b"),
+    }
+    if allowed.get(name):
+        return None
+    return SCOPE_ERRORS[name if name in allowed else ""].format(name=name, **{k: run.get(k) for k in ("annotator_id", "item_id")})
+
+
+def _told(name: str) -> Column:
+    """A message of SCOPE_ERRORS, of a row's columns."""
+    before, _, rest = SCOPE_ERRORS[name].partition("{")
+    column, _, after = rest.partition("}")
+    return F.concat(F.lit(before), F.col(column), F.lit(after)) if column else F.lit(before)
+
+
 def evidence_scope(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Tool arguments against the run's own item and annotator: error (null if in scope) and the row limit that holds."""
-    error = (
-        F.when((F.col("name") == "get_annotator_history") & ~F.col("arg_annotator").eqNullSafe(F.col("annotator_id")), F.concat(F.lit("only annotator "), "annotator_id", F.lit(" is in scope for this item")))
-        .when((F.col("name") == "get_peer_judgments") & ~F.col("arg_item").eqNullSafe(F.col("item_id")), F.concat(F.lit("only item "), "item_id", F.lit(" is in scope")))
-        .when((F.col("name") == "get_full_response") & ~F.coalesce(F.col("arg_which").isin("a", "b"), F.lit(False)), F.lit("which must be 'a' or 'b'"))
-        .when(~F.col("name").isin(*EVIDENCE_TOOLS), F.concat(F.lit("unknown tool "), "name"))
-    )
+    wrong = {
+        "get_annotator_history": ~F.col("arg_annotator").eqNullSafe(F.col("annotator_id")), "get_peer_judgments": ~F.col("arg_item").eqNullSafe(F.col("item_id")),
+        "get_full_response": ~F.coalesce(F.col("arg_which").isin("a", "b"), F.lit(False)),
+    }
+    error = F.when(~F.col("name").isin(*EVIDENCE_TOOLS), _told(""))
+    for name, test in wrong.items():
+        error = error.when((F.col("name") == name) & test, _told(name))
     limit = F.least(F.coalesce("arg_limit", F.lit(p.history_limit)), F.lit(p.history_cap))
     return requests.withColumn("error", error).withColumn("row_limit", F.when(F.col("name") == "get_annotator_history", limit))
 

@@ -74,13 +74,13 @@ def inherited_traces(grades: DataFrame) -> DataFrame:
     )
 
 
-def terminal_outcome(traces: DataFrame) -> DataFrame:
+def terminal_outcome(traces: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """How each run ended: outcome (verdict, review, escalation or none), reason, budget_exhausted."""
     ends = F.filter("events", lambda x: x["type"].isin("verdict", "review", "escalation", "inherited_escalation"))
     last = F.try_element_at(ends, F.lit(-1))
     said = F.nullif(strip_text(last["reason"]), F.lit(""))
     outcome = F.when(last["type"].isNull(), "none").when(last["type"] == "inherited_escalation", "escalation").otherwise(last["type"])
     return parsed(traces).select(
-        *RUN_KEY, outcome.alias("outcome"), F.when(outcome == "escalation", F.coalesce(said, F.lit("(no reason given)"))).otherwise(said).alias("reason"),
+        *RUN_KEY, outcome.alias("outcome"), F.when(outcome == "escalation", F.coalesce(said, F.lit(p.no_reason))).otherwise(said).alias("reason"),
         F.exists("events", lambda x: x["type"] == "budget_exhausted").alias("budget_exhausted"),
     )

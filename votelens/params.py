@@ -45,6 +45,8 @@ class Params:
     sweep_low: tuple[float, ...] = (0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50)
     #: USD per million tokens, (input, output), by model; a model that is not listed costs nothing.
     prices: tuple[tuple[str, int, int], ...] = (("grader-large", 3, 15),)
+    #: Fixed value: the reason of an escalation that gives none.
+    no_reason: str = "(no reason given)"
     n_annotators: int = 15
     item_defect_percent: int = 25
     seed: int = 42

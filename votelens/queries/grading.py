@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votelens.operators import grading as G
+from votelens.operators import scoring as S
 from votelens.operators.preparation import order_views
 from votelens.queries.preparation import _VIEWS
 from votelens.queries.sql import statement
-from votelens.sources.fixtures import Fixtures
+from votelens.schemas import RUN_KEY
+from votelens.sources import tables
+from votelens.sources.fixtures import MODEL, Fixtures
 
 
 def validate_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +63,67 @@ def batch_grade(spark: SparkSession, sf: str) -> DataFrame:
     return G.batch_grade(views, _length_scorer, "item_id string, order_label string, verdict string, confidence double")
 
 
+def _replay() -> S.Model:
+    """Says what was recorded: a fault on the first call, evidence calls one by one, then an escalation or one payload a try."""
+
+    def reply(request: dict[str, Any], rounds: list[dict[str, Any]]) -> S.Reply:
+        tokens = (500 + len(rounds), 40)
+        if request["faulty"] and not rounds:
+            raise ConnectionError("connection reset")
+        tools = sum(e["type"] in ("tool_call", "tool_refused") for r in rounds for e in r["events"])
+        if tools < request["n_tool_calls"]:
+            return S.Reply((S.Action("get_full_response", {"which": "c"}),), *tokens)
+        if request["gives_up"]:
+            return S.Reply((S.Action("flag_for_review", {"reason": "  "}),), *tokens)
+        tries = sum(r["error"] is not None for r in rounds)
+        return S.Reply((S.Action("emit_verdict", json.loads(request["replies"][tries])),), *tokens)
+
+    return reply
+
+
+def _recorded(f: Fixtures) -> DataFrame:
+    """Requests with the replies that were recorded for them."""
+    replies = f.attempts().groupBy(*RUN_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("attempt", "payload"))), lambda x: x["payload"]).alias("replies"))
+    runs = f.runs().select(
+        *RUN_KEY, "n_tool_calls", (F.col("seed") % 23 == 0).alias("faulty"), ((F.col("mode") != "single") & (F.col("seed") % 13 == 0)).alias("gives_up"),
+    )
+    return runs.join(replies, list(RUN_KEY))
+
+
+def _journal(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    requests, path = _recorded(Fixtures(spark, sf)), tables.scratch(spark, "journal")
+    return S.grade_all(requests, _replay, path, waves=3), path
+
+
+def grading_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Grades of whole runs, of which some calls fail."""
+    return S.graded(_journal(spark, sf)[0]).drop("dimension_scores", "rubric_version")
+
+
+def grading_failures(spark: SparkSession, sf: str) -> DataFrame:
+    return S.failures(_journal(spark, sf)[0]).drop("rubric_version")
+
+
+def grading_traces(spark: SparkSession, sf: str) -> DataFrame:
+    traces = S.run_traces(_journal(spark, sf)[0])
+    kinds = F.transform(F.from_json("trace", "array<struct<type:string>>"), lambda e: e["type"])
+    return traces.select("item_id", "order_label", "mode", "n_tool_calls", "hit_cap", "escalated", "tokens_in", F.array_join(kinds, ",").alias("events"))
+
+
+def grading_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls by pass: a repeated job calls nothing again, and a further pass only what failed."""
+    _, path = _journal(spark, sf)
+    requests = _recorded(Fixtures(spark, sf))
+    S.grade_all(requests, _replay, path, waves=2)
+    whole = F.transform("replies", lambda x: F.to_json(F.struct(F.lit(4).alias("n"))))  # never valid: fails a second time
+    journal = S.grade_all(requests.withColumn("replies", whole).withColumn("n_tool_calls", F.lit(0)).withColumn("faulty", F.lit(False)), _replay, path, waves=2, again=True)
+    calls = S.call_rows(journal, MODEL)
+    first = journal.groupBy(*RUN_KEY).agg(F.max("pass").alias("passes"))
+    return calls.groupBy(*RUN_KEY).agg(
+        F.count(F.lit(1)).alias("n_calls"), F.count_distinct("call_id").alias("n_ids"), F.max("attempts").alias("last_attempt")
+    ).join(first, list(RUN_KEY)).drop("rubric_version")
+
+
 def combine_reviews(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
     agent = f.grades().where("mode = 'agent' and not escalated").select("item_id", "order_label", F.col("verdict").alias("grader_verdict"), F.col("confidence").alias("grader_confidence"))
@@ -75,7 +142,7 @@ def overturn_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, batch_grade, combine_reviews,
+    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, batch_grade, grading_runs, grading_failures, grading_traces, grading_calls, combine_reviews,
     verifier_grades, overturn_rate,
 )}
 
@@ -89,6 +156,15 @@ _RC = "(50 + seed % 50)"
 _COMBINED_V = "CASE WHEN r.decision = 'uphold' THEN g.verdict WHEN g.verdict = 'accept' THEN 'reject' ELSE 'accept' END"
 _COMBINED_C = "CASE WHEN r.decision = 'uphold' THEN (g.confidence + r.confidence) / cast(2 as double) ELSE r.confidence * (cast(1 as double) - cast(0.4 as double)) END"
 
+# What a recorded run comes to: f faults first, t evidence calls within the budget (asked for one by one), then tries.
+_RUNS = """(SELECT *, CASE WHEN esc THEN 'escalation' WHEN v > 0 THEN 'verdict' ELSE 'failed' END AS outcome, f + t + CASE WHEN esc THEN 1 WHEN v > 0 THEN v - f ELSE 3 - f END AS n_calls,
+    CASE b WHEN 0 THEN 'dimension_scores' WHEN 1 THEN 'confidence' WHEN 2 THEN 'verdict' WHEN 3 THEN 'reason' WHEN 4 THEN 'dimensions' END AS problem,
+    CASE WHEN esc THEN 0 WHEN v > 0 THEN v - f - 1 ELSE 3 - f END AS bad FROM
+    (SELECT *, CASE WHEN b IN (0, 1, 3, 4) THEN 0 WHEN b <> 2 THEN f + 1 WHEN 1 + seed % 3 > f THEN 1 + seed % 3 ELSE 0 END AS v FROM
+    (SELECT *, seed % 11 AS b, CASE WHEN seed % 23 = 0 THEN 1 ELSE 0 END AS f, n_tool_calls AS t, mode <> 'single' AND seed % 13 = 0 AS esc,
+        CASE mode WHEN 'agent' THEN n_tool_calls >= 6 WHEN 'verifier' THEN n_tool_calls >= 3 ELSE false END AS spent FROM run)))"""
+_TOOL_ROUNDS = "repeat(',api_round,tool_call,tool_result', cast(t AS int)) || CASE WHEN spent THEN ',budget_exhausted' ELSE '' END"
+
 ORACLES = {name: statement(sql) for name, sql in {
     "validate_verdicts": f"""SELECT item_id, order_label, mode, seed % 11 > 3 AS valid, {_PAYLOAD_ERROR} AS error, CASE WHEN seed % 11 = 2 THEN 'maybe' WHEN seed % 10 < 3 THEN 'reject' ELSE 'accept' END AS verdict,
         CASE WHEN seed % 11 = 1 THEN cast(1.4 as double) ELSE cast(10 + seed % 90 as double) / cast(100 as double) END AS confidence, CASE WHEN seed % 11 = 3 THEN '' ELSE 'because' END AS reason FROM run0""",
@@ -100,6 +176,15 @@ ORACLES = {name: statement(sql) for name, sql in {
         CASE WHEN NOT bad THEN CASE WHEN seed % 11 = 2 THEN 'accept' WHEN seed % 10 < 3 THEN 'reject' ELSE 'accept' END END AS verdict,
         CASE seed % 11 WHEN 0 THEN 'dimension_scores' WHEN 1 THEN 'confidence' WHEN 3 THEN 'reason' WHEN 4 THEN 'dimensions' END AS last_error FROM (SELECT *, seed % 11 IN (0, 1, 3, 4) AS bad FROM run0)""",
     "batch_grade": f"SELECT item_id, order_label, CASE WHEN few THEN 'reject' ELSE 'accept' END AS verdict, CASE WHEN few THEN cast(0.9 as double) ELSE cast(0.75 as double) END AS confidence FROM {_SEEN}",
+    "grading_runs": f"""SELECT item_id, order_label, mode, CASE WHEN NOT esc THEN CASE WHEN b = 2 THEN 'accept' WHEN seed % 10 < 3 THEN 'reject' ELSE 'accept' END END AS verdict,
+        CASE WHEN NOT esc THEN cast(10 + seed % 90 as double) / cast(100 as double) END AS confidence, CASE WHEN esc THEN '(no reason given)' ELSE 'because' END AS reason, esc AS escalated,
+        spent AND NOT esc AS budget_exhausted FROM {_RUNS} WHERE outcome <> 'failed'""",
+    "grading_failures": f"SELECT item_id, order_label, mode, cast(n_calls as int) AS calls, problem AS error FROM {_RUNS} WHERE outcome = 'failed'",
+    "grading_traces": f"""SELECT item_id, order_label, mode, cast(t as int) AS n_tool_calls, spent AS hit_cap, esc AS escalated, cast(500 * (n_calls - f) + n_calls * (n_calls - 1) // 2 as int) AS tokens_in,
+        ltrim(CASE WHEN f = 1 THEN ',api_round,call_failed' ELSE '' END || {_TOOL_ROUNDS} || repeat(',api_round,invalid_verdict', cast(bad as int))
+        || CASE outcome WHEN 'failed' THEN '' ELSE ',api_round,' || outcome END, ',') AS events FROM {_RUNS}""",
+    "grading_calls": f"""SELECT item_id, order_label, mode, n_calls + x AS n_calls, n_calls + x AS n_ids, cast(n_calls + x as int) AS last_attempt, CASE WHEN x > 0 THEN 2 ELSE 1 END AS passes
+        FROM (SELECT *, CASE WHEN outcome = 'failed' THEN 3 ELSE 0 END AS x FROM {_RUNS})""",
     "combine_reviews": f"SELECT g.item_id, g.order_label, {_COMBINED_V} AS verdict, {_COMBINED_C} AS confidence FROM grade g JOIN review r ON r.item_id = g.item_id AND r.order_label = g.order_label WHERE g.mode = 'agent' AND NOT g.escalated",
     "verifier_grades": f"""SELECT g.item_id, g.order_label, 'verifier' AS mode, g.rubric_version, CASE WHEN NOT e THEN g.dimension_scores END AS dimension_scores, CASE WHEN NOT e THEN {_COMBINED_V} END AS verdict,
         CASE WHEN NOT e THEN round_even({_COMBINED_C}, 4) END AS confidence, CASE WHEN g.escalated THEN g.reason WHEN r.escalated THEN r.reason ELSE '[' || r.decision || '] ' || r.reason END AS reason,
