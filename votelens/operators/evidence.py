@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from votelens.functions.columns import other_side, swap_letters
 from votelens.params import DEFAULT
+from votelens.sources.tables import scratch
 
 
 def first_submissions(submissions: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
@@ -21,6 +22,51 @@ def first_submissions(submissions: DataFrame, k: int = DEFAULT.history_limit) ->
     return keys.join(texts, "item_id").groupBy("annotator_id").agg(F.array_sort(F.collect_list(entry)).alias("first"))
 
 
+#: Annotators whose histories may be broadcast, and the bytes of these; the sketch that finds them tracks TRACKED values.
+HEAVY_ANNOTATORS, TRACKED, BROADCAST_BYTES = 1000, 10_000, 1 << 26
+
+
+def heavy_annotators(submissions: DataFrame, most: int = HEAVY_ANNOTATORS) -> tuple[list[str], bool]:
+    """The annotators of most submissions, found by a sketch of bounded size, and whether they are all annotators there are.
+
+    One pass over a single column.  The sketch may miss an annotator of few submissions, never one that holds more than a
+    few of TRACKED parts of all rows.
+    """
+    row = submissions.select("annotator_id").agg(F.expr(f"approx_top_k(annotator_id, {most}, {TRACKED})").alias("top")).first()
+    found = [t["item"] for t in row["top"]]
+    return [a for a in found if a is not None], len(found) < most
+
+
+def split_histories(
+    submissions: DataFrame, k: int = DEFAULT.history_limit, most: int = HEAVY_ANNOTATORS, most_bytes: int = BROADCAST_BYTES,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(annotator_id, first) of the heavy annotators, to broadcast, and (item_id, first_too) of the other annotators' items.
+
+    The heavy ones' arrays are stored and their bytes measured; the largest annotators that fit into `most_bytes` are taken.
+    Of the others, who have few items each, the arrays meet keys alone, and move on by item: so nobody's views are gathered
+    by annotator.  None for the others where there are none.
+    """
+    heavy, whole = heavy_annotators(submissions, most)
+    of = F.col("annotator_id").isin(heavy) if heavy else F.lit(False)
+    held = first_submissions(submissions.where(of), k)
+    path = scratch(submissions.sparkSession, "histories")
+    size = F.aggregate("first", F.lit(0).cast("long"), lambda n, x: n + 64 + F.octet_length(F.coalesce(x["other_text"], F.lit(""))))
+    held.withColumn("bytes", size).write.parquet(path)
+    stored = submissions.sparkSession.read.parquet(path)
+    bytes_of = {r["annotator_id"]: r["bytes"] for r in stored.select("annotator_id", "bytes").collect()}  # at most `most` rows
+    taken, total = [], 0
+    for annotator in heavy:  # in the order of their submissions
+        total += bytes_of.get(annotator, 0)
+        if total > most_bytes:
+            break
+        taken.append(annotator)
+    ours = stored.where(F.col("annotator_id").isin(taken) if taken else F.lit(False)).select("annotator_id", "first")
+    if whole and len(taken) == len(heavy):
+        return ours, None
+    rest = submissions.where(~F.col("annotator_id").isin(taken)) if taken else submissions
+    return ours, rest.select("item_id", "annotator_id").join(first_submissions(rest, k), "annotator_id").select("item_id", F.col("first").alias("first_too"))
+
+
 def own_history(k: int = DEFAULT.history_limit) -> Column:
     """An item's history, of the columns item_id and first: the first k submissions but itself, in place."""
     others = F.filter("first", lambda x: x["other_id"] != F.col("item_id"))
@@ -62,22 +108,30 @@ def peer_bundle(peers: DataFrame) -> DataFrame:
     return shown.groupBy("item_id", "order_label").agg(F.array_sort(F.collect_list(F.struct("judge", "vote"))).alias("peers"))
 
 
-def evidence_bundle(views: DataFrame, submissions: DataFrame, peers: DataFrame, k: int = DEFAULT.history_limit) -> DataFrame:
+def evidence_bundle(
+    views: DataFrame, submissions: DataFrame, peers: DataFrame, k: int = DEFAULT.history_limit, most: int = HEAVY_ANNOTATORS, most_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """One row per item and order: the view, its history (at most k rows) and its peers, as arrays.
 
-    Views meet the one array of their annotator, so no text of a history is shuffled once per item.
+    The texts of a view stay where the join by item put them: histories of heavy annotators come by a broadcast of measured
+    size, those of the others by item, and peers by item, in the original order, which each view then shows its own way.
     """
-    joined = views.join(first_submissions(submissions, k), "annotator_id", "left").join(peer_bundle(peers), ["item_id", "order_label"], "left")
+    heavy, rest = split_histories(submissions, k, most, most_bytes)
+    of_item = peers.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("judge", "vote"))).alias("peers"))
+    joined = views.join(of_item, "item_id", "left").join(F.broadcast(heavy), "annotator_id", "left")
+    if rest is not None:
+        joined = joined.join(rest, "item_id", "left").withColumn("first", F.coalesce("first", "first_too")).drop("first_too")
+    swap = F.col("order_label") == "swapped"
 
     def shown(h: Column) -> Column:
-        swap = F.col("order_label") == "swapped"
         return F.struct(
             h["other_id"].alias("item_id"), in_order(h["other_vote"], F.col("order_label")).alias("vote"),
             F.when(swap, swap_letters(h["other_text"])).otherwise(h["other_text"]).alias("justification"),
         )
 
+    votes = F.transform("peers", lambda x: F.struct(x["judge"].alias("judge"), in_order(x["vote"], F.col("order_label")).alias("vote")))
     return joined.withColumn("history", F.transform(own_history(k), shown)).drop("first").withColumn(
-        "peers", F.coalesce("peers", F.array().cast("array<struct<judge:string,vote:string>>"))
+        "peers", F.coalesce(votes, F.array().cast("array<struct<judge:string,vote:string>>"))
     )
 
 
