@@ -74,3 +74,34 @@ def test_escalation_overrides(spark):
     assert rows["b"].flipped and rows["b"].path == "THRESHOLD_ROUTED"
     truth = spark.createDataFrame([("a", "x", True, "RUSHED"), ("b", "y", False, None)], "item_id string, annotator_id string, is_defective boolean, defect_type string")
     assert {r.item_id: r.flipped for r in E.scored_records(grades, truth).collect()} == {"a": False, "b": True}
+
+
+def test_sweep_of_real_scores(spark):
+    """As many different scores as records: counts as by hand, no join with the grid, and buckets as few as thresholds allow."""
+    from .plans import nodes, planned_whole
+
+    n = 20_000
+    kind = F.when(F.col("id") % 5 == 0, F.element_at(F.array(*map(F.lit, ("RUSHED", "BOILERPLATE", "POSITION_BIAS", "SELF_CONTRADICTION"))), (F.col("id") % 4 + 1).cast("int")))
+    records = spark.range(n).select(
+        F.col("id").cast("string").alias("item_id"), F.when(F.col("id") % 2 == 0, "agent").otherwise("single").alias("mode"),
+        F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e9).alias("score"), (F.col("id") % 17 == 0).alias("escalated"), kind.isNotNull().alias("is_defective"), kind.alias("defect_type"),
+    )
+    edges = spark.createDataFrame([(f"e{t}", "agent", t, False, True, "RUSHED") for t in (*Params().sweep_low, *Params().sweep_high)], records.schema)
+    records = records.unionByName(edges)
+    assert E.bucketed(records).count() <= 2 * (10 * 8 + 2) * 2
+    sweep = E.calibration_sweep(records, spark.createDataFrame([("agent", 1000, ), ("single", 5000)], "mode string, micro_usd long"))
+    with planned_whole(spark):
+        assert not any("NestedLoop" in name or "Cartesian" in name for name, *_ in nodes(sweep))
+    rows = [tuple(r) for r in records.collect()]
+    got = sweep.collect()
+    assert len(got) == 126
+    for r in got[::9]:
+        mine = [x for x in rows if x[1] == r.mode]
+        flagged = [x for x in mine if not x[3] and x[2] is not None and x[2] <= r.low]
+        middle = [x for x in mine if x[3] or (x[2] is not None and r.low < x[2] < r.high)]
+        bad = sum(x[4] for x in mine)
+        assert (r.n_items, r.n_flagged, r.n_escalated) == (len(mine), len(flagged), sum(x[3] for x in mine))
+        assert (r.precision, r.recall, r.review_load) == (sum(x[4] for x in flagged) / len(flagged), sum(x[4] for x in flagged) / bad, len(middle) / len(mine))
+        rushed = [x for x in mine if x[5] == "RUSHED"]
+        assert r.recall_RUSHED == sum(x in flagged for x in rushed) / max(1, len(rushed)) if rushed else r.recall_RUSHED is None
+        assert r.cost_per_1000_usd == {"agent": 1000, "single": 5000}[r.mode] / (r.n_items * 1000)

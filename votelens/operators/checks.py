@@ -48,13 +48,16 @@ def mode_cost(calls: DataFrame) -> DataFrame:
     return modes.join(spent, "mode", "left").select("mode", F.coalesce("micro_usd", F.lit(0).cast("long")).alias("micro_usd"))
 
 
-def arm_cost(calls: DataFrame, scored: DataFrame) -> DataFrame:
-    """mode, micro_usd of the whole arm (the verifier's includes the agent's), n_items, cost_per_1000_usd; records may be pooled."""
-    spent = mode_cost(calls)
+def arm_spending(calls: DataFrame) -> DataFrame:
+    """mode, micro_usd of the whole arm; the verifier's includes the agent's."""
     pays = F.explode(F.when(F.col("mode") == "agent", F.array(F.lit("agent"), F.lit("verifier"))).otherwise(F.array("mode")))
-    arms = spent.withColumn("arm", pays).groupBy(F.col("arm").alias("mode")).agg(F.sum("micro_usd").alias("micro_usd"))
+    return mode_cost(calls).withColumn("arm", pays).groupBy(F.col("arm").alias("mode")).agg(F.sum("micro_usd").alias("micro_usd"))
+
+
+def arm_cost(calls: DataFrame, scored: DataFrame) -> DataFrame:
+    """mode, micro_usd of the whole arm, n_items, cost_per_1000_usd; records may be pooled."""
     sizes = scored.groupBy("mode").agg((F.sum("n") if "n" in scored.columns else F.count(F.lit(1))).alias("n_items"))
-    return arms.join(sizes, "mode").withColumn("cost_per_1000_usd", ratio(F.col("micro_usd"), F.col("n_items") * 1000))
+    return arm_spending(calls).join(sizes, "mode").withColumn("cost_per_1000_usd", ratio(F.col("micro_usd"), F.col("n_items") * 1000))
 
 
 def pending_work(items: DataFrame, grades: DataFrame, modes: tuple[str, ...] = MODES, orders: tuple[str, ...] = ORDERS) -> DataFrame:
@@ -72,12 +75,6 @@ def missing_deps(items: DataFrame, submissions: DataFrame, grades: DataFrame) ->
     return no_sub.unionByName(no_grade)
 
 
-def require_none(df: DataFrame, what: str) -> None:
-    """Fails on the first row of a table that must be empty."""
-    if first := df.first():
-        raise ValueError(f"{what}: {first.asDict()}")
-
-
 def completeness(items: DataFrame, grades: DataFrame) -> DataFrame:
     """mode, n_grades, expected, complete."""
     n = items.agg((F.count(F.lit(1)) * len(ORDERS)).alias("expected"))

@@ -72,22 +72,28 @@ def pooled_by_flag(scored: DataFrame, flags: DataFrame) -> DataFrame:
     return pooled(scored.join(bad, "annotator_id", "left").withColumn("agg_flagged", F.coalesce("agg_flagged", F.lit(False))), "mode", "agg_flagged")
 
 
-def _sum(test: Column, n: str = "n") -> Column:
-    return F.coalesce(F.sum(F.when(test, F.col(n))), F.lit(0)).cast("long")
+def _sum(test: Column, n: str | Column = "n") -> Column:
+    return F.coalesce(F.sum(F.when(test, F.col(n) if isinstance(n, str) else n)), F.lit(0)).cast("long")
 
 
-def metric_columns(high: Column, low: Column) -> list[Column]:
+def named_metrics(high: Column, low: Column, score: Column | None = None, escalated: Column | None = None) -> list[tuple[str, Column]]:
     """Counts and ratios over pooled records; recall has flagged items only, catch also escalated ones."""
-    flagged = ~F.col("escalated") & (F.col("score") <= low)
-    review = F.col("escalated") | ((F.col("score") > low) & (F.col("score") < high))
+    score = F.col("score") if score is None else score
+    given_up = F.col("escalated") if escalated is None else escalated
+    flagged = ~given_up & (score <= low)
+    review = given_up | ((score > low) & (score < high))
     bad = F.col("is_defective")
     return [
-        F.sum("n").alias("n_items"), _sum(flagged).alias("n_flagged"), _sum(F.col("escalated")).alias("n_escalated"),
-        ratio(_sum(flagged & bad), _sum(flagged)).alias("precision"), ratio(_sum(flagged & bad), _sum(bad)).alias("recall"),
-        ratio(_sum(bad & (F.col("escalated") | flagged)), _sum(bad)).alias("catch_rate"), ratio(_sum(review), F.sum("n")).alias("review_load"),
+        ("n_items", F.sum("n")), ("n_flagged", _sum(flagged)), ("n_escalated", _sum(given_up)),
+        ("precision", ratio(_sum(flagged & bad), _sum(flagged))), ("recall", ratio(_sum(flagged & bad), _sum(bad))),
+        ("catch_rate", ratio(_sum(bad & (given_up | flagged)), _sum(bad))), ("review_load", ratio(_sum(review), F.sum("n"))),
     ]
 
 
+def metric_columns(high: Column, low: Column) -> list[Column]:
+    return [column.alias(name) for name, column in named_metrics(high, low)]
+
+
 def flag_metrics(scored: DataFrame, by: list[str], p: Params = DEFAULT) -> DataFrame:
     return pooled(scored, *by).groupBy(*by).agg(*metric_columns(F.lit(p.high), F.lit(p.low)))
 
@@ -106,21 +112,66 @@ def recall_by_type(scored: DataFrame, by: list[str], p: Params = DEFAULT) -> Dat
     )
 
 
+def bucketed(scored: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """mode, under, over, escalated, n, bad, and n of each defect type: records by their place among the sorted thresholds.
+
+    `under` is how many low thresholds are below a score, `over` how many high ones it reaches; both are null without a
+    score.  So there are at most (lows + 1) x (highs + 1) rows a mode for one kind of record, whatever the scores are.
+    """
+    score = F.when(~F.col("escalated"), F.col("score"))
+
+    def below(thresholds: list[float], reached: bool) -> Column:
+        return sum(((score >= F.lit(t)) if reached else (score > F.lit(t))).cast("int") for t in thresholds)
+
+    n = F.col("n") if "n" in scored.columns else F.lit(1)
+    bad = F.col("is_defective")
+    return scored.groupBy("mode", below(sorted(p.sweep_low), False).alias("under"), below(sorted(p.sweep_high), True).alias("over"), "escalated").agg(
+        F.sum(n).alias("n"), _sum(bad, n).alias("bad"), *[_sum(bad & (F.col("defect_type") == t), n).alias(t) for t in DEFECT_TYPES]
+    )
+
+
 def calibration_sweep(scored: DataFrame, costs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per mode and (high, low) with low < high, with recall and catch by type, and the operating row marked.
 
-    Records are pooled by score first, so the grid multiplies a table whose size the number of items does not change.
+    Counts of records by their place among the thresholds (`bucketed`) become running counts over the low and over the high
+    thresholds, one row a mode; each cell of the grid reads two of them.  The cost does not depend on how many different
+    scores there are, and nothing is joined with the grid.  `costs` has mode and micro_usd, or cost_per_1000_usd.
     """
-    spark = scored.sparkSession
-    grid = spark.createDataFrame([(h, l) for h in p.sweep_high for l in p.sweep_low if l < h], "high double, low double")
-    flagged = ~F.col("escalated") & (F.col("score") <= F.col("low"))
-    typed = []
-    for kind in DEFECT_TYPES:
-        own = F.col("is_defective") & (F.col("defect_type") == kind)
-        typed += [ratio(_sum(own & flagged), _sum(own)).alias(f"recall_{kind}"), ratio(_sum(own & (flagged | F.col("escalated"))), _sum(own)).alias(f"catch_{kind}")]
-    cells = pooled(scored, "mode").crossJoin(F.broadcast(grid)).groupBy("mode", "high", "low").agg(*metric_columns(F.col("high"), F.col("low")), *typed)
+    lows, highs = sorted(p.sweep_low), sorted(p.sweep_high)
+    given_up = F.col("escalated")
+
+    def running(column: str) -> Column:
+        """How many have a score at or under each low threshold."""
+        return F.array(*[_sum(F.col("under") <= i, column) for i in range(len(lows))]).alias(f"under_{column}")
+
+    kinds = ("n", "bad", *DEFECT_TYPES)
+    modes = bucketed(scored, p).groupBy("mode").agg(
+        *[F.sum(c).alias(f"all_{c}") for c in kinds], *[_sum(given_up, c).alias(f"given_up_{c}") for c in kinds], *[running(c) for c in kinds],
+        _sum(F.col("under").isNotNull(), "n").alias("with_score"), F.array(*[_sum(F.col("over") > j, "n") for j in range(len(highs))]).alias("over_n"),
+    )
+    grid = [F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.lit(h).alias("high"), F.lit(low).alias("low")) for j, h in enumerate(highs) for i, low in enumerate(lows) if low < h]
+    cells = modes.select("*", F.explode(F.array(*grid)).alias("g")).select("*", "g.*")
+
+    def flagged(column: str) -> Column:
+        return F.element_at(f"under_{column}", F.col("i"))
+
+    review = F.col("given_up_n") + F.col("with_score") - flagged("n") - F.element_at("over_n", F.col("j"))
+    shares = [ratio(flagged("bad"), flagged("n")).alias("precision")]
+    for column, recall, catch in (("bad", "recall", "catch_rate"), *[(t, f"recall_{t}", f"catch_{t}") for t in DEFECT_TYPES]):
+        shares += [ratio(flagged(column), F.col(f"all_{column}")).alias(recall), ratio(flagged(column) + F.col(f"given_up_{column}"), F.col(f"all_{column}")).alias(catch)]
     operating = (F.col("high") == F.lit(p.high)) & (F.col("low") == F.lit(p.low))
-    return cells.join(costs.select("mode", "cost_per_1000_usd"), "mode").withColumn("operating", operating)
+    found = cells.select(
+        "mode", "high", "low", F.col("all_n").alias("n_items"), flagged("n").alias("n_flagged"), F.col("given_up_n").alias("n_escalated"), *shares,
+        ratio(review, F.col("all_n")).alias("review_load"), operating.alias("operating"),
+    )
+    return with_arm_cost(found, costs)
+
+
+def with_arm_cost(metrics: DataFrame, costs: DataFrame) -> DataFrame:
+    """`metrics` (mode, n_items) of modes that have a cost, with cost_per_1000_usd: as given, or of the arm's micro_usd."""
+    if "cost_per_1000_usd" in costs.columns:
+        return metrics.join(costs.select("mode", "cost_per_1000_usd"), "mode")
+    return metrics.join(costs.select("mode", "micro_usd"), "mode").withColumn("cost_per_1000_usd", ratio(F.col("micro_usd"), F.col("n_items") * 1000)).drop("micro_usd")
 
 
 def ablation_table(scored: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -141,9 +192,12 @@ def ablation_table(scored: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-def marginal_cost(metrics: DataFrame, costs: DataFrame) -> DataFrame:
-    """Dollars per point of recall and of catch gained per 1,000 items, arm over arm; null where nothing is gained."""
-    arms = metrics.select("mode", "recall", "catch_rate").join(costs.select("mode", "cost_per_1000_usd"), "mode")
+def marginal_cost(metrics: DataFrame) -> DataFrame:
+    """Dollars per point of recall and of catch gained per 1,000 items, arm over arm; null where nothing is gained.
+
+    `metrics` has a row per mode, with its cost_per_1000_usd.
+    """
+    arms = metrics.select("mode", "recall", "catch_rate", "cost_per_1000_usd")
     a, b = (arms.select(*[F.col(c).alias(f"{c}_{x}") for c in arms.columns]) for x in "ab")
     pairs = metrics.sparkSession.createDataFrame([("single", "agent"), ("single", "verifier"), ("agent", "verifier")], "mode_a string, mode_b string")
     joined = F.broadcast(pairs).join(a, "mode_a").join(b, "mode_b")
@@ -155,12 +209,23 @@ def marginal_cost(metrics: DataFrame, costs: DataFrame) -> DataFrame:
     return joined.select(F.concat("mode_b", F.lit("_vs_"), "mode_a").alias("pair"), per_point("recall").alias("per_recall_point"), per_point("catch_rate").alias("per_catch_point"))
 
 
-def layer0_effect(scored: DataFrame, overlaid: DataFrame, costs: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Arms without and with the annotator flags; the flags cost nothing."""
-    parts = [
-        flag_metrics(df.where(F.col("mode").isin("single", "agent")), ["mode"], p).withColumn("layer0", F.lit(on)) for df, on in ((scored, False), (overlaid, True))
-    ]
-    return parts[0].unionByName(parts[1]).join(costs.select("mode", "cost_per_1000_usd"), "mode")
+def layer0_effect(pool: DataFrame, costs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Arms without and with the annotator flags, which cost nothing; `pool` is of `pooled_by_flag`.
+
+    One aggregation: both sides are sums over the same rows, where a flagged annotator's records count as rejected.
+    """
+    gone = F.col("agg_flagged")
+    sides = {
+        False: (F.col("score"), F.col("escalated")),
+        True: (F.when(gone, F.lit(0.0)).otherwise(F.col("score")), ~gone & F.col("escalated")),
+    }
+    parts = []
+    for on, (score, escalated) in sides.items():
+        parts += [c.alias(f"{c_name}_{on}") for c_name, c in named_metrics(F.lit(p.high), F.lit(p.low), score, escalated)]
+    names = [name for name, _ in named_metrics(F.lit(p.high), F.lit(p.low))]
+    both = pool.where(F.col("mode").isin("single", "agent")).groupBy("mode").agg(*parts)
+    rows = [F.struct(F.lit(on).alias("layer0"), *[F.col(f"{name}_{on}").alias(name) for name in names]) for on in sides]
+    return with_arm_cost(both.select("mode", F.explode(F.array(*rows)).alias("r")).select("mode", "r.*"), costs)
 
 
 def layer0_deltas(scored: DataFrame, overlaid: DataFrame, p: Params = DEFAULT) -> DataFrame:

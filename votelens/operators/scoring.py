@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.operators.grading import validate_verdicts
+from votelens.operators.grading import validate_reviews, validate_verdicts
 from votelens.operators.preparation import evidence_error
 from votelens.params import DEFAULT, RUBRIC, Params
 from votelens.schemas import RUN_KEY
@@ -28,7 +28,8 @@ from votelens.sources.tables import exists
 
 @dataclass(frozen=True)
 class Action:
-    """What a model asks for: an evidence tool by its name, `emit_verdict`, or `flag_for_review`, with arguments."""
+    """What a model asks for: an evidence tool by its name, `emit_verdict` (`emit_review` of a verifier's run), or
+    `flag_for_review`, with arguments."""
 
     name: str
     args: dict[str, Any] = field(default_factory=dict)
@@ -47,27 +48,38 @@ Model = Callable[[dict[str, Any], list[dict[str, Any]]], Reply]
 # ---------------------------------------------------------------- one run
 
 
-def verdict_problem(args: dict[str, Any]) -> str | None:
-    """The first field of a verdict that breaks a rule; the rules are those of `grading.validate_verdicts`."""
+def _number(value: Any) -> float | None:
+    try:
+        return None if isinstance(value, bool) else float(value)
+    except (TypeError, ValueError):
+        return None
 
-    def number(value: Any) -> float | None:
-        try:
-            return None if isinstance(value, bool) else float(value)
-        except (TypeError, ValueError):
-            return None
 
+def _said(args: dict[str, Any], field: str, allowed: tuple[str, str]) -> str | None:
+    if args.get(field) not in allowed:
+        return field
+    confidence = _number(args.get("confidence"))
+    if confidence is None or not 0 <= confidence <= 1:
+        return "confidence"
+    return None if str(args.get("reason") or "").strip() else "reason"
+
+
+def verdict_problem(args: dict[str, Any]) -> str | None:
+    """The first field of a verdict that breaks a rule; the rules are those of `grading.validate_verdicts`."""
     scores = args.get("dimension_scores")
-    values = [number(v) for v in scores.values()] if isinstance(scores, dict) else [None]
+    values = [_number(v) for v in scores.values()] if isinstance(scores, dict) else [None]
     if any(v is None or v != v // 1 or not 0 <= v <= 5 for v in values):
         return "dimension_scores"
-    if args.get("verdict") not in ("accept", "reject"):
-        return "verdict"
-    confidence = number(args.get("confidence"))
-    if confidence is None or not 0 <= confidence <= 1:
-        return "confidence"
-    if not str(args.get("reason") or "").strip():
-        return "reason"
-    return None if set(scores) == set(RUBRIC) else "dimensions"
+    return _said(args, "verdict", ("accept", "reject")) or (None if set(scores) == set(RUBRIC) else "dimensions")
+
+
+def review_problem(args: dict[str, Any]) -> str | None:
+    """The same of a review; the rules are those of `grading.validate_reviews`."""
+    return _said(args, "decision", ("uphold", "overturn"))
+
+
+#: How a run may end by what it emits: the event, the fields that it tells, and the rules.
+ENDINGS = {"emit_verdict": ("verdict", ("verdict", "confidence", "reason"), verdict_problem), "emit_review": ("review", ("decision", "confidence", "reason"), review_problem)}
 
 
 def look_up(request: dict[str, Any], action: Action, p: Params) -> str:
@@ -87,7 +99,7 @@ def look_up(request: dict[str, Any], action: Action, p: Params) -> str:
 def run(request: dict[str, Any], model: Model, p: Params = DEFAULT) -> Iterator[dict[str, Any]]:
     """The rounds of one run, each as soon as it is over: round, tokens, latency, events, outcome.
 
-    `outcome` is null until the last round, which has verdict, escalation or failed.  A call that raises, gives no action or
+    `outcome` is null until the last round, which has verdict, review, escalation or failed.  A call that raises, gives no action or
     gives a verdict that breaks a rule is a failed try, of which a run has `max_attempts`.  Evidence is given up to the
     mode's budget, and refused beyond; once it is used up only a verdict is asked for (`budget_exhausted`).
     """
@@ -107,13 +119,14 @@ def run(request: dict[str, Any], model: Model, p: Params = DEFAULT) -> Iterator[
         else:
             error = None if reply.actions else "no action"
         for action in reply.actions:
-            if action.name == "emit_verdict":
-                error = verdict_problem(action.args)
+            if action.name == ("emit_review" if request["mode"] == "verifier" else "emit_verdict"):
+                kind, told, problem = ENDINGS[action.name]
+                error = problem(action.args)
                 if error:
-                    events.append({"type": "invalid_verdict", "error": error})
+                    events.append({"type": f"invalid_{kind}", "error": error})
                     continue
-                outcome, payload = "verdict", json.dumps(action.args)
-                events.append({"type": "verdict", **{k: action.args[k] for k in ("verdict", "confidence", "reason")}, "budget_exhausted": forced})
+                outcome, payload = kind, json.dumps(action.args)
+                events.append({"type": kind, **{k: action.args[k] for k in told}, "budget_exhausted": forced})
             elif action.name == "flag_for_review":
                 outcome, payload = "escalation", json.dumps({"reason": str(action.args.get("reason") or "").strip() or p.no_reason})
                 events.append({"type": "escalation", "reason": json.loads(payload)["reason"]})
@@ -232,8 +245,8 @@ def _last_pass(journal: DataFrame) -> DataFrame:
 
 
 def graded(journal: DataFrame) -> DataFrame:
-    """The rows of `grades` that runs with a verdict or an escalation give."""
-    ended = _last_pass(journal).where(F.col("end")["outcome"] != "failed").select(
+    """The rows of `grades` that runs with a verdict or an escalation give; a verifier's runs give reviews instead."""
+    ended = _last_pass(journal).where("mode <> 'verifier'").where(F.col("end")["outcome"] != "failed").select(
         *RUN_KEY, F.col("end")["payload"].alias("payload"), F.col("end")["outcome"].alias("outcome"), F.col("end")["budget_exhausted"].alias("budget_exhausted")
     )
     checked = validate_verdicts(ended)
@@ -244,6 +257,13 @@ def graded(journal: DataFrame) -> DataFrame:
     )
 
 
+def reviewed(journal: DataFrame) -> DataFrame:
+    """item_id, order_label, rubric_version, decision, confidence, reason, escalated, budget_exhausted of the verifier's runs."""
+    ended = _last_pass(journal).where("mode = 'verifier'").where(F.col("end")["outcome"] != "failed")
+    told = ended.select(*RUN_KEY, F.col("end")["payload"].alias("payload"), (F.col("end")["outcome"] == "escalation").alias("escalated"), F.col("end")["budget_exhausted"].alias("budget_exhausted"))
+    return validate_reviews(told).select("item_id", "order_label", "rubric_version", "decision", "confidence", "reason", "escalated", "budget_exhausted")
+
+
 def run_traces(journal: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The rows of `traces`: all events of a run in order, as JSON, with its totals; failed runs have theirs too."""
     rounds, end = F.col("rounds"), F.col("end")

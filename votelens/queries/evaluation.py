@@ -20,10 +20,6 @@ def _scored(f: Fixtures) -> DataFrame:
     return E.scored_records(f.grades(), f.truth())
 
 
-def _pool(f: Fixtures) -> DataFrame:
-    return E.pooled(_scored(f), "mode")
-
-
 def _pool_by_flag(f: Fixtures) -> DataFrame:
     return E.pooled_by_flag(_scored(f), annotator_flags(f.submissions()))
 
@@ -71,8 +67,7 @@ def recall_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 def calibration_sweep(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    pool = _pool(f)
-    return E.calibration_sweep(pool, checks.arm_cost(f.call_log(), pool))
+    return E.calibration_sweep(_scored(f), checks.arm_spending(f.call_log()))
 
 
 def csv_sweep(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,14 +84,12 @@ def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def marginal_cost(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    pool = _pool(f)
-    return E.marginal_cost(E.flag_metrics(pool, ["mode"]), checks.arm_cost(f.call_log(), pool))
+    return E.marginal_cost(E.with_arm_cost(E.flag_metrics(_scored(f), ["mode"]), checks.arm_spending(f.call_log())))
 
 
 def layer0_effect(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
-    pool = _pool_by_flag(f)
-    return E.layer0_effect(pool, overlaid(pool), checks.arm_cost(f.call_log(), pool))
+    return E.layer0_effect(_pool_by_flag(f), checks.arm_spending(f.call_log()))
 
 
 def layer0_deltas(spark: SparkSession, sf: str) -> DataFrame:

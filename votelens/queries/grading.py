@@ -76,7 +76,11 @@ def _replay() -> S.Model:
         if request["gives_up"]:
             return S.Reply((S.Action("flag_for_review", {"reason": "  "}),), *tokens)
         tries = sum(r["error"] is not None for r in rounds)
-        return S.Reply((S.Action("emit_verdict", json.loads(request["replies"][tries])),), *tokens)
+        said = json.loads(request["replies"][tries])
+        if request["mode"] == "verifier":  # a review says the like in other words
+            said["decision"] = {"accept": "uphold", "reject": "overturn"}.get(said.pop("verdict", None))
+            return S.Reply((S.Action("emit_review", said),), *tokens)
+        return S.Reply((S.Action("emit_verdict", said),), *tokens)
 
     return reply
 
@@ -100,6 +104,10 @@ def grading_runs(spark: SparkSession, sf: str) -> DataFrame:
     return S.graded(_journal(spark, sf)[0]).drop("dimension_scores", "rubric_version")
 
 
+def grading_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return S.reviewed(_journal(spark, sf)[0]).drop("rubric_version")
+
+
 def grading_failures(spark: SparkSession, sf: str) -> DataFrame:
     return S.failures(_journal(spark, sf)[0]).drop("rubric_version")
 
@@ -142,7 +150,7 @@ def overturn_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, batch_grade, grading_runs, grading_failures, grading_traces, grading_calls, combine_reviews,
+    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, batch_grade, grading_runs, grading_reviews, grading_failures, grading_traces, grading_calls, combine_reviews,
     verifier_grades, overturn_rate,
 )}
 
@@ -157,11 +165,12 @@ _COMBINED_V = "CASE WHEN r.decision = 'uphold' THEN g.verdict WHEN g.verdict = '
 _COMBINED_C = "CASE WHEN r.decision = 'uphold' THEN (g.confidence + r.confidence) / cast(2 as double) ELSE r.confidence * (cast(1 as double) - cast(0.4 as double)) END"
 
 # What a recorded run comes to: f faults first, t evidence calls within the budget (asked for one by one), then tries.
-_RUNS = """(SELECT *, CASE WHEN esc THEN 'escalation' WHEN v > 0 THEN 'verdict' ELSE 'failed' END AS outcome, f + t + CASE WHEN esc THEN 1 WHEN v > 0 THEN v - f ELSE 3 - f END AS n_calls,
-    CASE b WHEN 0 THEN 'dimension_scores' WHEN 1 THEN 'confidence' WHEN 2 THEN 'verdict' WHEN 3 THEN 'reason' WHEN 4 THEN 'dimensions' END AS problem,
+_RUNS = """(SELECT *, CASE WHEN esc THEN 'escalation' WHEN v > 0 THEN CASE mode WHEN 'verifier' THEN 'review' ELSE 'verdict' END ELSE 'failed' END AS outcome, f + t + CASE WHEN esc THEN 1 WHEN v > 0 THEN v - f ELSE 3 - f END AS n_calls,
+    CASE b WHEN 0 THEN 'dimension_scores' WHEN 1 THEN 'confidence' WHEN 2 THEN CASE mode WHEN 'verifier' THEN 'decision' ELSE 'verdict' END WHEN 3 THEN 'reason' WHEN 4 THEN 'dimensions' END AS problem,
+    CASE mode WHEN 'verifier' THEN 'review' ELSE 'verdict' END AS ending,
     CASE WHEN esc THEN 0 WHEN v > 0 THEN v - f - 1 ELSE 3 - f END AS bad FROM
     (SELECT *, CASE WHEN b IN (0, 1, 3, 4) THEN 0 WHEN b <> 2 THEN f + 1 WHEN 1 + seed % 3 > f THEN 1 + seed % 3 ELSE 0 END AS v FROM
-    (SELECT *, seed % 11 AS b, CASE WHEN seed % 23 = 0 THEN 1 ELSE 0 END AS f, n_tool_calls AS t, mode <> 'single' AND seed % 13 = 0 AS esc,
+    (SELECT *, CASE WHEN mode = 'verifier' AND seed % 11 IN (0, 4) THEN 10 ELSE seed % 11 END AS b, CASE WHEN seed % 23 = 0 THEN 1 ELSE 0 END AS f, n_tool_calls AS t, mode <> 'single' AND seed % 13 = 0 AS esc,
         CASE mode WHEN 'agent' THEN n_tool_calls >= 6 WHEN 'verifier' THEN n_tool_calls >= 3 ELSE false END AS spent FROM run)))"""
 _TOOL_ROUNDS = "repeat(',api_round,tool_call,tool_result', cast(t AS int)) || CASE WHEN spent THEN ',budget_exhausted' ELSE '' END"
 
@@ -178,10 +187,13 @@ ORACLES = {name: statement(sql) for name, sql in {
     "batch_grade": f"SELECT item_id, order_label, CASE WHEN few THEN 'reject' ELSE 'accept' END AS verdict, CASE WHEN few THEN cast(0.9 as double) ELSE cast(0.75 as double) END AS confidence FROM {_SEEN}",
     "grading_runs": f"""SELECT item_id, order_label, mode, CASE WHEN NOT esc THEN CASE WHEN b = 2 THEN 'accept' WHEN seed % 10 < 3 THEN 'reject' ELSE 'accept' END END AS verdict,
         CASE WHEN NOT esc THEN cast(10 + seed % 90 as double) / cast(100 as double) END AS confidence, CASE WHEN esc THEN '(no reason given)' ELSE 'because' END AS reason, esc AS escalated,
-        spent AND NOT esc AS budget_exhausted FROM {_RUNS} WHERE outcome <> 'failed'""",
+        spent AND NOT esc AS budget_exhausted FROM {_RUNS} WHERE outcome <> 'failed' AND mode <> 'verifier'""",
+    "grading_reviews": f"""SELECT item_id, order_label, CASE WHEN NOT esc THEN CASE WHEN b = 2 THEN 'uphold' WHEN seed % 10 < 3 THEN 'overturn' ELSE 'uphold' END END AS decision,
+        CASE WHEN NOT esc THEN cast(10 + seed % 90 as double) / cast(100 as double) END AS confidence, CASE WHEN esc THEN '(no reason given)' ELSE 'because' END AS reason, esc AS escalated,
+        spent AS budget_exhausted FROM {_RUNS} WHERE outcome <> 'failed' AND mode = 'verifier'""",
     "grading_failures": f"SELECT item_id, order_label, mode, cast(n_calls as int) AS calls, problem AS error FROM {_RUNS} WHERE outcome = 'failed'",
     "grading_traces": f"""SELECT item_id, order_label, mode, cast(t as int) AS n_tool_calls, spent AS hit_cap, esc AS escalated, cast(500 * (n_calls - f) + n_calls * (n_calls - 1) // 2 as int) AS tokens_in,
-        ltrim(CASE WHEN f = 1 THEN ',api_round,call_failed' ELSE '' END || {_TOOL_ROUNDS} || repeat(',api_round,invalid_verdict', cast(bad as int))
+        ltrim(CASE WHEN f = 1 THEN ',api_round,call_failed' ELSE '' END || {_TOOL_ROUNDS} || repeat(',api_round,invalid_' || ending, cast(bad as int))
         || CASE outcome WHEN 'failed' THEN '' ELSE ',api_round,' || outcome END, ',') AS events FROM {_RUNS}""",
     "grading_calls": f"""SELECT item_id, order_label, mode, n_calls + x AS n_calls, n_calls + x AS n_ids, cast(n_calls + x as int) AS last_attempt, CASE WHEN x > 0 THEN 2 ELSE 1 END AS passes
         FROM (SELECT *, CASE WHEN outcome = 'failed' THEN 3 ELSE 0 END AS x FROM {_RUNS})""",
