@@ -10,7 +10,7 @@ from votelens.operators import checks
 from votelens.operators import preparation as P
 from votelens.params import EVIDENCE_TOOLS, MODES, RUBRIC_VERSION
 from votelens.queries.sql import h, statement
-from votelens.sources import tables
+from votelens.sources import manifest, tables
 from votelens.sources.fixtures import Fixtures
 
 ITEM = ["item_id", "question_id", "judge", "turn", "model_a", "model_b", "question", "response_a", "response_b", "human_gold_vote"]
@@ -147,35 +147,48 @@ def load_if_empty(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rewrite_slice(spark: SparkSession, sf: str) -> DataFrame:
-    f = Fixtures(spark, sf)
-    rows = f.grades().where("order_label = 'original'").select("item_id", "verdict", "confidence", "mode")
+    """All modes' grades; then one mode's slice is replaced, and another's emptied."""
+    rows = Fixtures(spark, sf).grades().select("item_id", "order_label", "verdict", "confidence", "mode")
     path = tables.scratch(spark, "routed")
-    tables.rewrite_slices(rows, path, "mode")
-    tables.rewrite_slices(rows.where("mode = 'agent' and verdict = 'accept'"), path, "mode")  # replaces that mode alone
-    return spark.read.parquet(path).select("item_id", "verdict", "confidence", "mode")
+    tables.rewrite_slices(rows, path, "mode", list(MODES))
+    tables.rewrite_slices(rows.where("mode = 'agent' and verdict = 'accept'"), path, "mode", ["agent"])
+    tables.rewrite_slices(rows.limit(0), path, "mode", ["single"])
+    return manifest.read_slices(spark, path, rows.schema, "mode")
 
 
 def call_log_append(spark: SparkSession, sf: str) -> DataFrame:
-    calls = Fixtures(spark, sf).call_log()
+    """The calls of each mode as a batch, each of which is written twice."""
+    calls = checks.with_cost(Fixtures(spark, sf).call_log())
     path = tables.scratch(spark, "call_log")
-    for mode in MODES:
-        tables.append_calls(checks.with_cost(calls.where(F.col("mode") == mode)), path)
-    back = spark.read.parquet(path)
+    for mode in (*MODES, *MODES):
+        tables.append_calls(calls.where(F.col("mode") == mode), path, mode)
+    back = manifest.read_batches(spark, path, calls.withColumn("call_id", F.lit("")).schema)
     return back.groupBy("mode").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("call_id").alias("n_ids"), F.sum("cost_micro_usd").alias("micro_usd"))
 
 
+def upsert_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A large table as one run, and small changes as further runs: what is current of both."""
+    base, changes = _versions(Fixtures(spark, sf))
+    path = tables.scratch(spark, "runs")
+    for rows in (base, changes.where("version = 2"), changes.where("version = 3")):
+        manifest.add_run(rows, path, lambda df: P.last_by(df, ["item_id"], "version").select(*df.columns), {})
+    return P.last_by(manifest.read_runs(spark, path, base.schema), ["item_id"], "version")
+
+
 def run_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """One mode's calls as a rehearsal, the others' as a real run, each read back alone."""
     calls = Fixtures(spark, sf).call_log()
     path = tables.scratch(spark, "runs")
     tables.write_run(calls.where("mode = 'single'"), path, mock=True)
-    tables.write_run(calls.where("mode = 'agent'"), path, mock=False)
-    return tables.read_run(spark, path, mock=False).groupBy("mode").agg(F.count(F.lit(1)).alias("n_calls"))
+    tables.write_run(calls.where("mode <> 'single'"), path, mock=False)
+    parts = [tables.read_run(spark, path, mock=mock).withColumn("rehearsal", F.lit(mock)) for mock in (True, False)]
+    return parts[0].unionByName(parts[1]).groupBy("rehearsal", "mode").agg(F.count(F.lit(1)).alias("n_calls"))
 
 
 QUERIES = {q.__name__: q for q in (
     raw_judgments, contract_audit, items_ordered, upsert_latest, insert_ignore, extract_items, stable_id, winner_vote, dedupe_items, sample_items,
     swap_letters, order_views, truncate_text, norm_text, text_features, grade_requests, annotator_requests, call_cost, hash_bucket, evidence_scope, peer_votes,
-    load_if_empty, rewrite_slice, call_log_append, run_scoped,
+    load_if_empty, rewrite_slice, call_log_append, upsert_runs, run_scoped,
 )}
 
 _SWAP = "replace(replace(replace(justification, 'Response A', chr(1) || 'RESP'), 'Response B', 'Response A'), chr(1) || 'RESP', 'Response B')"
@@ -228,11 +241,12 @@ ORACLES = {name: statement(sql) for name, sql in {
         WHEN 'get_peer_judgments' THEN 'only item ' || t.item_id || ' is in scope' ELSE 'which must be ''a'' or ''b''' END END AS error,
         CASE WHEN name = 'get_annotator_history' THEN least(CASE WHEN seed % 3 > 0 THEN seed % 40 ELSE 10 END, 20) END AS row_limit FROM tool t JOIN sub USING (item_id)""",
     "load_if_empty": "SELECT * FROM ann",
-    "rewrite_slice": "SELECT item_id, verdict, confidence, mode FROM grade WHERE order_label = 'original' AND (mode <> 'agent' OR verdict = 'accept')",
+    "rewrite_slice": "SELECT item_id, order_label, verdict, confidence, mode FROM grade WHERE mode = 'verifier' OR (mode = 'agent' AND verdict = 'accept')",
     "call_log_append": "SELECT mode, count(*) AS n_calls, count(*) AS n_ids, cast(sum(micro) as bigint) AS micro_usd FROM calls GROUP BY mode",
-    "run_scoped": "SELECT mode, count(*) AS n_calls FROM calls WHERE mode = 'agent' GROUP BY mode",
+    "run_scoped": "SELECT mode = 'single' AS rehearsal, mode, count(*) AS n_calls FROM calls GROUP BY mode",
 }.items()} | {
     "upsert_latest": _with(f"{_BASE}, {_CHANGES}", "SELECT item_id, annotator_id, vote, version FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY version DESC) AS rn FROM (SELECT * FROM base UNION ALL SELECT * FROM changes)) WHERE rn = 1"),
+    "upsert_runs": _with(f"{_BASE}, {_CHANGES}", "SELECT item_id, annotator_id, vote, version FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY version DESC) AS rn FROM (SELECT * FROM base UNION ALL SELECT * FROM changes)) WHERE rn = 1"),
     "insert_ignore": _with(f"{_BASE}, {_CHANGES}", """SELECT * FROM base WHERE cast(item_id as bigint) % 2 = 0 UNION ALL SELECT item_id, annotator_id, vote, version FROM
         (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY version) AS rn FROM changes) WHERE rn = 1 AND cast(item_id as bigint) % 2 <> 0"""),
     "peer_votes": _with("""votes AS (SELECT pos, question_id, model_a, model_b, judge, CASE winner WHEN 'model_a' THEN 'A' WHEN 'model_b' THEN 'B' ELSE 'tie' END AS vote FROM raw WHERE turn = 1),

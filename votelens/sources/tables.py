@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelens.schemas import TABLES
+from votelens.schemas import RUN_KEY, TABLES
+from votelens.sources import manifest
 
 _own_dirs: dict[str, str] = {}
 
@@ -52,14 +53,16 @@ def load_if_empty(df: DataFrame, path: str) -> bool:
     return True
 
 
-def rewrite_slices(df: DataFrame, path: str, slice_column: str) -> None:
-    """Replaces the slices that df has rows of, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(slice_column).parquet(path)
+def rewrite_slices(df: DataFrame, path: str, slice_column: str, slices: list[str]) -> None:
+    """Replaces `slices`, also by nothing where df has none of their rows, and no others; readers see old or new whole."""
+    manifest.replace_slices(df, path, slice_column, slices)
 
 
-def append_calls(calls: DataFrame, path: str) -> None:
-    """Appends to the call log, each row with an id of its own."""
-    calls.withColumn("call_id", F.uuid()).write.mode("append").parquet(path)
+def append_calls(calls: DataFrame, path: str, batch: str) -> bool:
+    """Appends to the call log, unless a batch of that name is there; each row has an id that tells its run and its attempt."""
+    told = F.concat_ws("|", *RUN_KEY, "purpose", F.col("attempts").cast("string"))
+    rows = calls if "call_id" in calls.columns else calls.withColumn("call_id", F.sha1(told))
+    return manifest.append_once(rows, path, batch)
 
 
 def write_run(df: DataFrame, path: str, mock: bool) -> None:

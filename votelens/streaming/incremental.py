@@ -1,47 +1,51 @@
-"""Grades as a stream: each micro-batch updates the grade table by key, so a restarted job resumes where it stopped."""
+"""Grades as a stream: each micro-batch adds a run of its keys, so its cost is that of the batch, not of the table."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from votelens.operators.preparation import upsert_latest
+from votelens.operators.preparation import last_by
 from votelens.schemas import RUN_KEY
-from votelens.sources.tables import exists
+from votelens.sources import manifest
 
 
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the batches that have a snapshot."""
-    if not exists(spark, path):
-        return []
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
-    return [int(name.removeprefix("batch=")) for name in names if name.startswith("batch=")]
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What Spark calls the stream of a checkpoint, on every start."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = RUN_KEY, version: str = "version") -> StreamingQuery:
-    """Keeps under `path` one snapshot folder per batch, the last of which holds the latest row of each key.
+    """Keeps under `path` sorted-out runs, which together have the row of the highest version of each key.
 
-    A snapshot is written whole before `current` is read from it, and a batch that is run again writes the same folder, so
-    a failure between two batches loses and doubles nothing.  A lost snapshot, or a new checkpoint over old ones, fails.
-    Snapshots older than the one before are deleted.
+    A batch is reduced to one row a key and written as a run; runs of like size are joined, so there are as many as the
+    logarithm of the table's size, and a batch of k keys writes k rows, and now and then those of some young runs.  The
+    manifest that names a run also has the batch's number: a batch that is run again after it was committed changes nothing,
+    and one that failed before leaves no trace.  A new checkpoint over the table of another fails.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/batch={batch_id - 1}"
-        if batch_id and not exists(spark, before):
-            raise FileNotFoundError(f"{before} is lost: the stream can't go on from it")
-        if not batch_id and any(_snapshots(spark, path)):
-            raise FileExistsError(f"{path} has the snapshots of an older checkpoint")
-        known = spark.read.schema(batch.schema).parquet(before) if batch_id else batch.limit(0)
-        upsert_latest(known, batch, list(keys), version).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        content = manifest.latest(spark, path)[1]
+        stream = _stream_id(spark, checkpoint)
+        if content.get("stream", stream) != stream:
+            raise FileExistsError(f"{path} has the runs of an older checkpoint")
+        if content.get("batch", -1) >= batch_id:
+            return
+        columns = batch.columns
+
+        def latest_of(df: DataFrame) -> DataFrame:
+            return last_by(df, list(keys), version).select(*columns)
+
+        manifest.add_run(latest_of(batch), path, latest_of, {"stream": stream, "batch": batch_id, "keys": list(keys), "version": version})
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The last snapshot."""
-    return spark.read.parquet(f"{path}/batch={max(_snapshots(spark, path))}")
+    """The latest row of each key."""
+    content = manifest.latest(spark, path)[1]
+    rows = manifest.read_runs(spark, path)
+    return last_by(rows, content["keys"], content["version"]).select(*rows.columns)
