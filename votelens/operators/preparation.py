@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votelens.functions.columns import other_side, seeded_rank_key, stable_id, swap_letters, truncate_text, winner_vote
-from votelens.params import DEFAULT, EVIDENCE_TOOLS, RUBRIC, RUBRIC_VERSION, Params
+from votelens.params import DEFAULT, DEFAULT_RUBRIC, EVIDENCE_TOOLS, Params, Rubric
 
 
 def extract_items(raw: DataFrame) -> DataFrame:
@@ -72,32 +72,34 @@ def order_views(items: DataFrame, submissions: DataFrame) -> DataFrame:
     return joined.select("item_id", "annotator_id", "question", "v.*")
 
 
-def rubric_text() -> str:
-    return "\n".join(f"- {name} (weight {weight})" for name, weight in RUBRIC.items())
+def rubric_text(rubric: Rubric = DEFAULT_RUBRIC) -> str:
+    """The rubric's dimensions, a line each, and its verdict rule."""
+    lines = [f"- {name} (weight {weight}): {told}" for name, weight, told in rubric.dimensions]
+    return "\n".join([*lines, "", f"Verdict rule: {rubric.verdict_rule}"])
 
 
-def grade_request(tools: Column | bool, p: Params = DEFAULT) -> Column:
+def grade_request(tools: Column | bool, p: Params = DEFAULT, rubric: Rubric = DEFAULT_RUBRIC) -> Column:
     """The text that asks a grader about a view, with or without evidence tools."""
     head = [
         F.lit("Grade the quality of this annotation, not the responses.\n\n## Question\n"), F.col("question"),
         F.lit("\n\n## Response A\n"), truncate_text(F.col("response_a"), p.truncate_chars),
         F.lit("\n\n## Response B\n"), truncate_text(F.col("response_b"), p.truncate_chars),
         F.lit("\n\n## Submission\nAnnotator: "), F.col("annotator_id"), F.lit("\nItem: "), F.col("item_id"), F.lit("\nVote: Response "), F.col("vote"),
-        F.lit("\nJustification: "), F.col("justification"), F.lit(f"\n\n## Rubric ({RUBRIC_VERSION})\n{rubric_text()}\n\n"),
+        F.lit("\nJustification: "), F.col("justification"), F.lit(f"\n\n## Rubric ({rubric.version})\n{rubric_text(rubric)}\n\n"),
     ]
     with_tools = F.lit(f"You may call {', '.join(EVIDENCE_TOOLS)}, {p.max_tool_calls} times in all, then emit a verdict or flag for review.")
     end = F.when(F.lit(tools) if isinstance(tools, bool) else tools, with_tools).otherwise(F.lit("Emit a verdict on this context alone."))
     return F.concat(*head, end)
 
 
-def verifier_request(p: Params = DEFAULT) -> Column:
+def verifier_request(p: Params = DEFAULT, rubric: Rubric = DEFAULT_RUBRIC) -> Column:
     """The text that asks a reviewer about a grader's verdict on a view."""
     said = [
         F.lit("\n\n## Verdict under review\nVerdict: "), F.col("grader_verdict"), F.lit("\nConfidence: "), F.col("grader_confidence").cast("string"),
         F.lit("\nScores: "), F.col("dimension_scores"), F.lit("\nReason: "), F.col("reason"),
         F.lit(f"\n\nTry to overturn this verdict. You may call {', '.join(EVIDENCE_TOOLS)}, {p.verifier_tool_calls} times in all, then uphold or overturn it, or flag for review."),
     ]
-    return F.concat(grade_request(False, p), *said)
+    return F.concat(grade_request(False, p, rubric), *said)
 
 
 def annotator_request() -> Column:

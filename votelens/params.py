@@ -24,6 +24,29 @@ RUBRIC_VERSION = "rubric_v1"
 RUBRIC = {"decision_plausibility": 0.35, "justification_alignment": 0.30, "specificity": 0.20, "effort": 0.15}
 
 
+@dataclass(frozen=True)
+class Rubric:
+    """What a grader goes by: its dimensions as (name, weight, what 5 and 0 mean), and when to accept or reject."""
+
+    version: str
+    dimensions: tuple[tuple[str, float, str], ...]
+    verdict_rule: str
+
+
+#: A rubric of the fixed dimensions, in words of our own; a caller passes another to the request texts.
+DEFAULT_RUBRIC = Rubric(
+    RUBRIC_VERSION,
+    tuple((name, RUBRIC[name], told) for name, told in (
+        ("decision_plausibility", "could a careful reader of both responses have voted so? 5: surely, 0: the vote ignores a plain difference."),
+        ("justification_alignment", "does the text speak for the response that got the vote? 5: throughout, 0: it speaks for the other, or of neither."),
+        ("specificity", "does the text name things in the responses that one can check? 5: several, 0: it would fit any pair."),
+        ("effort", "were both responses read? 5: the text weighs both, 0: a single line that shows neither."),
+    )),
+    "Accept work that is done in good faith and grounded in the responses. Reject hasty work, reused texts, votes that follow a side, and texts that "
+    "contradict the vote. Confidence is yours in the verdict, not the annotator's in the vote.",
+)
+
+
 @dataclass(frozen=True)
 class Params:
     """Thresholds and limits; the defaults are the published operating point."""

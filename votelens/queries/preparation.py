@@ -10,7 +10,7 @@ from votelens.operators import checks
 from votelens.operators import preparation as P
 from votelens.params import EVIDENCE_TOOLS, MODES, RUBRIC_VERSION
 from votelens.queries.sql import h, statement
-from votelens.sources import manifest, tables
+from votelens.sources import judgments, manifest, tables
 from votelens.sources.fixtures import Fixtures
 
 ITEM = ["item_id", "question_id", "judge", "turn", "model_a", "model_b", "question", "response_a", "response_b", "human_gold_vote"]
@@ -137,6 +137,37 @@ def peer_votes(spark: SparkSession, sf: str) -> DataFrame:
     return P.peer_votes(raw.select("pos", "turn", "winner", "question_id", "model_a", "model_b", "judge"), P.dedupe_items(P.extract_items(raw)))
 
 
+def _judgment_files(spark: SparkSession, sf: str, format: str) -> str:
+    """Files of raw judgments in the order of their events, some of them broken in one of four ways."""
+    f = Fixtures(spark, sf)
+    raw = f.raw_judgments().repartitionByRange(5, "pos").sortWithinPartitions("pos")
+    path = tables.scratch(spark, "judgments")
+    fields = F.struct(*[F.when(F.col("pos") % 97 == 2, F.lit(None)).otherwise(F.col(c)).alias(c) if c == "judge" else F.when(F.col("pos") % 97 == 3, "both").otherwise(F.col(c)).alias(c) if c == "winner" else F.col(c) for c in judgments.JUDGMENT.names])
+    if format == "parquet":
+        raw.select(fields.alias("r")).select("r.*").write.parquet(path)
+        return path
+    whole = F.to_json(fields)
+    cut = F.substring(whole, F.lit(1), F.length(whole) - 7)
+    typed = F.regexp_replace(whole, r'"question_id":\d+', '"question_id":"forty"')
+    raw.select(F.when(F.col("pos") % 97 == 0, cut).when(F.col("pos") % 97 == 1, typed).otherwise(whole)).write.text(path, compression="gzip")
+    return path
+
+
+def judgment_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items from JSON files, of each id the one that comes last in the files."""
+    found = judgments.read_judgments(spark, _judgment_files(spark, sf, "json"))
+    return P.dedupe_items(P.extract_items(judgments.good(found))).drop("pos")
+
+
+def judgment_items_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    found = judgments.read_judgments(spark, _judgment_files(spark, sf, "parquet"), "parquet")
+    return P.dedupe_items(P.extract_items(judgments.good(found))).drop("pos")
+
+
+def judgment_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return judgments.problems(judgments.read_judgments(spark, _judgment_files(spark, sf, "json")))
+
+
 def load_if_empty(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
     rows = f.annotators()
@@ -188,7 +219,7 @@ def run_scoped(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     raw_judgments, contract_audit, items_ordered, upsert_latest, insert_ignore, extract_items, stable_id, winner_vote, dedupe_items, sample_items,
     swap_letters, order_views, truncate_text, norm_text, text_features, grade_requests, annotator_requests, call_cost, hash_bucket, evidence_scope, peer_votes,
-    load_if_empty, rewrite_slice, call_log_append, upsert_runs, run_scoped,
+    judgment_items, judgment_items_parquet, judgment_problems, load_if_empty, rewrite_slice, call_log_append, upsert_runs, run_scoped,
 )}
 
 _SWAP = "replace(replace(replace(justification, 'Response A', chr(1) || 'RESP'), 'Response B', 'Response A'), chr(1) || 'RESP', 'Response B')"
@@ -202,13 +233,14 @@ def _cut(c: str, n: int = 200) -> str:
 
 
 def _request() -> str:
-    rubric = P.rubric_text()
+    rubric = P.rubric_text().replace("'", "''")
     tools = f"You may call {', '.join(EVIDENCE_TOOLS)}, 6 times in all, then emit a verdict or flag for review."
     return f"""'Grade the quality of this annotation, not the responses.\n\n## Question\n' || question || '\n\n## Response A\n' || {_cut('response_a')} || '\n\n## Response B\n' || {_cut('response_b')}
         || '\n\n## Submission\nAnnotator: ' || annotator_id || '\nItem: ' || item_id || '\nVote: Response ' || vote || '\nJustification: ' || justification
         || '\n\n## Rubric ({RUBRIC_VERSION})\n{rubric}\n\n' || CASE WHEN tools THEN '{tools}' ELSE 'Emit a verdict on this context alone.' END"""
 
 
+_FROM_FILES = """SELECT * EXCLUDE (pos, rn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos DESC) AS rn FROM extracted WHERE pos % 97 NOT IN {skip}) WHERE rn = 1"""
 _BASE = "base AS (SELECT item_id, annotator_id, vote, 1 AS version FROM sub)"
 _CHANGES = "changes AS (SELECT item_id, annotator_id, CASE vote WHEN 'A' THEN 'B' ELSE 'A' END AS vote, 2 AS version FROM base WHERE cast(item_id as bigint) % 3 = 0 UNION ALL SELECT item_id, annotator_id, vote, 3 FROM base WHERE cast(item_id as bigint) % 6 = 0)"
 
@@ -256,6 +288,9 @@ ORACLES = {name: statement(sql) for name, sql in {
         known AS (SELECT question_id, model_a, model_b, judge, vote FROM direct UNION ALL SELECT * FROM turned t WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.question_id = t.question_id
             AND d.model_a = t.model_a AND d.model_b = t.model_b AND d.judge = t.judge))""",
         "SELECT i.item_id, k.judge, k.vote FROM jitems i JOIN known k ON k.question_id = i.question_id AND k.model_a = i.model_a AND k.model_b = i.model_b WHERE k.judge <> i.judge"),
+    "judgment_items": statement(_FROM_FILES.format(skip="(0, 1, 2, 3)")),
+    "judgment_items_parquet": statement(_FROM_FILES.format(skip="(2, 3)")),
+    "judgment_problems": statement("SELECT CASE pos % 97 WHEN 0 THEN 'corrupt' WHEN 1 THEN 'corrupt' WHEN 2 THEN 'missing: judge' ELSE 'winner' END AS problem, count(*) AS n FROM raw WHERE pos % 97 < 4 GROUP BY 1"),
     "contract_audit": _with("""bad AS (SELECT * REPLACE (CASE WHEN confidence > 0.93 THEN 'maybe' ELSE verdict END AS verdict) FROM grade),
         twice AS (SELECT item_id FROM sub UNION ALL SELECT item_id FROM sub WHERE item_id LIKE '%7')""",
         """SELECT 'grades' AS table_name, 'allowed: verdict' AS rule, count(*) AS n FROM bad WHERE verdict NOT IN ('accept', 'reject') HAVING count(*) > 0
