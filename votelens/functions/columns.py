@@ -69,15 +69,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
 
 
-def mentions(text: Column, side: Column) -> Column:
-    """How often a text names the response of a side."""
-    return F.when(side == "A", F.regexp_count(text, F.lit("Response A"))).otherwise(F.regexp_count(text, F.lit("Response B")))
-
-
-def argues_against(text: Column, vote: Column) -> Column:
-    return mentions(text, other_side(vote)) > mentions(text, vote)
-
-
 def cost_micro_usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """Millionths of a dollar, exactly; a missing price is none."""
     return (tokens_in * F.coalesce(price_in, F.lit(0)) + tokens_out * F.coalesce(price_out, F.lit(0))).cast("long")
@@ -96,11 +87,3 @@ def route_label(score: Column, p: Params = DEFAULT) -> Column:
 def seeded_rank_key(seed: int, salt: str, key: Column) -> Column:
     """Rows in the order of this value are shuffled, alike on every run."""
     return F.sha1(F.concat(F.lit(f"{seed}|{salt}|"), key))
-
-
-def noise(seed: Column) -> Column:
-    return (seed % 100).cast("double") / F.lit(100.0)
-
-
-def round_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)

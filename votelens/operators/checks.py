@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from votelens.functions.columns import cost_micro_usd, ratio
@@ -12,25 +12,57 @@ from votelens.params import DEFAULT, MODES, ORDERS, Params
 from votelens.schemas import ALLOWED, KEYS
 
 
-def audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, rule, n: how many rows (or keys) break a rule; rules that hold have no row.
+def rules(name: str, df: DataFrame) -> dict[str, Column]:
+    """What breaks each rule of a table that a row alone can break."""
+    found = {f"allowed: {c}": F.col(c).isNotNull() & ~F.col(c).isin(*v) for c, v in ALLOWED.get(name, {}).items() if c in df.columns}
+    found |= {f"not null: {c}": F.col(c).isNull() for c in KEYS[name]}
+    if "confidence" in df.columns:
+        found["range: confidence"] = F.col("confidence").isNotNull() & ~F.col("confidence").between(0.0, 1.0)
+    if {"verdict", "escalated"} <= set(df.columns):
+        found["verdict unless escalated"] = F.col("verdict").isNull() & ~F.coalesce("escalated", F.lit(False))
+    return found
+
+
+UNIQUE = "unique key"
 
-    One pass for the values of a table and one grouping for its key.
+
+def broken_keys(name: str, df: DataFrame) -> DataFrame:
+    """key, rule, n: how many rows of a key break a rule; of `unique key`, how many rows share it.
+
+    One scan and one grouping: each key's rows are counted by rule in partial sums, whatever the number of rules.
     """
+    tests = rules(name, df)
+    named = [F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("n")) for i, rule in enumerate([*tests, UNIQUE])]
+    rows = F.count(F.lit(1))
+    counts = [F.count_if(test).alias(f"_{i}") for i, test in enumerate(tests.values())] + [F.when(rows > 1, rows).otherwise(F.lit(0)).alias(f"_{len(tests)}")]
+    by_key = df.groupBy(*KEYS[name]).agg(*counts)
+    key = F.to_json(F.struct(*KEYS[name]))
+    return by_key.select(key.alias("key"), F.explode(F.filter(F.array(*named), lambda r: r["n"] > 0)).alias("r")).select("key", "r.*")
+
+
+def audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, rule, n: how many rows break a rule, or how many keys are shared; rules that hold have no row."""
     parts = []
     for name, df in sorted(tables.items()):
-        rules = {f"allowed: {c}": F.col(c).isNotNull() & ~F.col(c).isin(*v) for c, v in ALLOWED.get(name, {}).items() if c in df.columns}
-        rules |= {f"not null: {c}": F.col(c).isNull() for c in KEYS[name]}
-        if "confidence" in df.columns:
-            rules["range: confidence"] = ~F.col("confidence").between(0.0, 1.0)
-        if {"verdict", "escalated"} <= set(df.columns):
-            rules["verdict unless escalated"] = F.col("verdict").isNull() & ~F.coalesce("escalated", F.lit(False))
-        counts = df.agg(*[F.count_if(test).alias(rule) for rule, test in rules.items()])
-        named = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("n")) for rule in rules])).alias("r")
-        parts.append(counts.select(F.lit(name).alias("table_name"), named).select("table_name", "r.rule", "r.n"))
-        keys = df.groupBy(*KEYS[name]).agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(keys.select(F.lit(name).alias("table_name"), F.lit("unique key").alias("rule"), "n"))
-    return reduce(DataFrame.unionByName, parts).where("n > 0")
+        n = F.when(F.col("rule") == UNIQUE, F.count(F.lit(1))).otherwise(F.sum("n"))
+        parts.append(broken_keys(name, df).groupBy("rule").agg(n.alias("n")).select(F.lit(name).alias("table_name"), "rule", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def checked_write(name: str, df: DataFrame, path: str) -> dict[str, int]:
+    """Writes good rows to `path`/ok=true, others with `violations` to ok=false, and tells rows and breaches of each rule.
+
+    All in the one scan that writes: the counts are observed on the way.  Keys that rows share need a grouping, and are for
+    `audit`.
+    """
+    tests = rules(name, df)
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in tests.items()]))
+    marked = df.withColumn("violations", broken).withColumn("ok", F.size("violations") == 0)
+    seen = Observation()
+    counts = [F.count_if(F.array_contains("violations", rule)).alias(f"_{i}") for i, rule in enumerate(tests)]
+    marked.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.partitionBy("ok").parquet(path)
+    found = seen.get
+    return {"rows": found["rows"], **{rule: found[f"_{i}"] for i, rule in enumerate(tests)}}
 
 
 def with_cost(calls: DataFrame, p: Params = DEFAULT) -> DataFrame:

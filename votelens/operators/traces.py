@@ -57,6 +57,52 @@ def trace_audit(traces: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return out.withColumn("agrees", agrees).drop("n_tool_calls", "hit_cap", "escalated")
 
 
+# The events that end a run, and those that only a grader's own round makes.
+ENDS = ("verdict", "review", "escalation", "inherited_escalation")
+IN_ROUND = ("tool_call", "tool_result", "tool_refused", "invalid_verdict", "invalid_review", "call_failed", "budget_exhausted", "verdict", "review", "escalation")
+
+
+def protocol_breaches(traces: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """run key, pos, rule: each event that a run may not have where it stands, and runs without an end (pos is their length).
+
+    The events are folded, in order, through a small automaton whose state is the calls so far, whether the budget was
+    declared spent, which call awaits its result, and how the run ended.  Rules: `before any round`, `after the end`,
+    `call over budget`, `call after budget spent`, `result without its call`, `call without its result`, `budget not spent`,
+    `spent twice`, `inherited with rounds`, `no end`, and `unreadable` for a trace that is no list of events.  A run is one
+    row, and none is joined or gathered.
+    """
+    budget = F.when(F.col("mode") == "agent", p.max_tool_calls).when(F.col("mode") == "verifier", p.verifier_tool_calls).otherwise(0)
+    start = F.struct(
+        F.lit(0).alias("pos"), F.lit(0).alias("calls"), F.lit(0).alias("rounds"), F.lit(False).alias("spent"), F.lit(None).cast("string").alias("waiting"), F.lit(False).alias("ended"),
+        F.array().cast("array<struct<pos:int,rule:string>>").alias("found"),
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        kind, call, result = e["type"], e["type"] == "tool_call", e["type"] == "tool_result"
+        kept = s["waiting"].isNotNull() & ~(result & e["name"].eqNullSafe(s["waiting"]))
+        broken = {
+            "after the end": s["ended"], "before any round": kind.isin(*IN_ROUND) & (s["rounds"] == 0), "call after budget spent": call & s["spent"],
+            "call over budget": call & ~s["spent"] & (s["calls"] >= budget), "result without its call": result & ~e["name"].eqNullSafe(s["waiting"]),
+            "call without its result": kept & ~result, "budget not spent": (kind == "budget_exhausted") & (s["calls"] < budget), "spent twice": (kind == "budget_exhausted") & s["spent"],
+            "inherited with rounds": (kind == "inherited_escalation") & (s["rounds"] > 0),
+        }
+        marks = F.array_compact(F.array(*[F.when(test, F.struct(s["pos"].alias("pos"), F.lit(rule).alias("rule"))) for rule, test in broken.items()]))
+        return F.struct(
+            (s["pos"] + 1).alias("pos"), (s["calls"] + call.cast("int")).alias("calls"), (s["rounds"] + (kind == "api_round").cast("int")).alias("rounds"),
+            (s["spent"] | (kind == "budget_exhausted")).alias("spent"), F.when(call, e["name"]).alias("waiting"), (s["ended"] | kind.isin(*ENDS)).alias("ended"),
+            F.concat(s["found"], marks).alias("found"),
+        )
+
+    def finish(s: Column) -> Column:
+        last = F.when(~s["ended"], F.array(F.struct(s["pos"].alias("pos"), F.lit("no end").alias("rule")))).otherwise(F.array().cast("array<struct<pos:int,rule:string>>"))
+        return F.concat(s["found"], last)
+
+    unreadable = F.array(F.struct(F.lit(0).alias("pos"), F.lit("unreadable").alias("rule")))
+    whole = F.filter("events", lambda e: e["type"].isNotNull())
+    ran = parsed(traces).withColumn("found", F.when(F.col("events").isNull() | (F.size(whole) < F.size("events")), unreadable).otherwise(F.aggregate(whole, start, step, finish)))
+    return ran.select(*RUN_KEY, F.explode("found").alias("f")).select(*RUN_KEY, "f.*")
+
+
 def tool_budget(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Requested evidence calls in order: the first of a run up to its arm's budget are executed, later ones are refused;
     `forced` once the budget is used up.  A run is one small window."""

@@ -28,6 +28,14 @@ def dimension_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("item_id", "order_label", "mode", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
+def dimension_extra(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts that score a dimension which the rubric has not."""
+    p = Fixtures(spark, sf).payloads()
+    more = p.withColumn("payload", F.when(F.col("seed") % 9 == 0, F.regexp_replace("payload", '"specificity":2', '"specificity":2,"tone":1,"length":0')).otherwise(F.col("payload")))
+    found = G.dimension_mismatch(G.validate_verdicts(more))
+    return found.select("item_id", "order_label", "mode", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
 def validate_reviews(spark: SparkSession, sf: str) -> DataFrame:
     c = F.round(F.col("confidence") * 100).cast("int")
     confidence = F.when(c % 7 == 1, F.concat(F.lit("1."), c.cast("string"))).otherwise(F.concat(F.lit("0."), c.cast("string")))
@@ -150,7 +158,7 @@ def overturn_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    validate_verdicts, dimension_mismatch, validate_reviews, retry_resolve, batch_grade, grading_runs, grading_reviews, grading_failures, grading_traces, grading_calls, combine_reviews,
+    validate_verdicts, dimension_mismatch, dimension_extra, validate_reviews, retry_resolve, batch_grade, grading_runs, grading_reviews, grading_failures, grading_traces, grading_calls, combine_reviews,
     verifier_grades, overturn_rate,
 )}
 
@@ -178,6 +186,7 @@ ORACLES = {name: statement(sql) for name, sql in {
     "validate_verdicts": f"""SELECT item_id, order_label, mode, seed % 11 > 3 AS valid, {_PAYLOAD_ERROR} AS error, CASE WHEN seed % 11 = 2 THEN 'maybe' WHEN seed % 10 < 3 THEN 'reject' ELSE 'accept' END AS verdict,
         CASE WHEN seed % 11 = 1 THEN cast(1.4 as double) ELSE cast(10 + seed % 90 as double) / cast(100 as double) END AS confidence, CASE WHEN seed % 11 = 3 THEN '' ELSE 'because' END AS reason FROM run0""",
     "dimension_mismatch": "SELECT item_id, order_label, mode, CASE WHEN seed % 11 = 4 THEN 'effort' ELSE '' END AS missing, '' AS extra FROM run0",
+    "dimension_extra": "SELECT item_id, order_label, mode, CASE WHEN seed % 11 = 4 THEN 'effort' ELSE '' END AS missing, CASE WHEN seed % 9 = 0 THEN 'length,tone' ELSE '' END AS extra FROM run0",
     "validate_reviews": f"""SELECT item_id, order_label, {_RC} % 7 > 2 AS valid, CASE {_RC} % 7 WHEN 0 THEN 'decision' WHEN 1 THEN 'confidence' WHEN 2 THEN 'reason' END AS error,
         CASE WHEN {_RC} % 7 = 0 THEN 'unsure' ELSE decision END AS decision, CASE WHEN {_RC} % 7 = 1 THEN cast('1.' || {_RC} as double) ELSE cast('0.' || {_RC} as double) END AS confidence,
         CASE WHEN {_RC} % 7 = 2 THEN '' ELSE reason END AS reason FROM review""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votelens.functions import columns as C
@@ -33,6 +33,43 @@ def contract_audit(spark: SparkSession, sf: str) -> DataFrame:
     return checks.audit({"grades": bad, "submissions": twice, "annotators": f.annotators(), "peer_votes": f.item_peers()})
 
 
+def _breaking(f: Fixtures) -> dict[str, DataFrame]:
+    """Tables in which every rule is broken, by the ids."""
+    n = F.coalesce(F.length("item_id"), F.lit(0)) + F.col("item_id").cast("long")
+    g = f.grades().join(f.runs().select("item_id", "order_label", "mode", "seed"), ["item_id", "order_label", "mode"])
+    odd = F.col("seed") % 101
+
+    def but(test: Column, value: str | None, name: str) -> Column:
+        return F.when(test, F.lit(value)).otherwise(F.col(name)).alias(name)
+
+    grades = g.select(
+        but(odd == 6, None, "item_id"), but(odd == 0, "sideways", "order_label"), but(odd == 1, "expert", "mode"), "rubric_version", F.when(odd == 2, "maybe").when(odd == 5, None).otherwise(F.col("verdict")).alias("verdict"),
+        F.when(odd == 3, 1.5).when(odd == 4, -0.25).otherwise(F.col("confidence")).alias("confidence"), F.when(odd == 5, None).otherwise(F.col("escalated")).alias("escalated"),
+    )
+    subs = f.truth().select(but(n % 13 == 2, None, "item_id"), "annotator_id", but(n % 13 == 1, "C", "vote"))
+    items = f.items().select("item_id", but(n % 17 == 0, "tie", "human_gold_vote"))
+    peers = f.item_peers().select("item_id", but(n % 11 == 3, None, "judge"), but(n % 11 == 1, "both", "vote"))
+    return {"grades": grades, "submissions": subs, "items": items.unionByName(items.where("human_gold_vote = 'B'")), "peer_votes": peers}
+
+
+def contract_breaches(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.audit(_breaking(Fixtures(spark, sf)))
+
+
+def contract_offenders(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys behind the counts, of one table."""
+    found = checks.broken_keys("grades", _breaking(Fixtures(spark, sf))["grades"])
+    return found.select(*[F.get_json_object("key", f"$.{c}").alias(c) for c in ("item_id", "order_label", "mode")], "rule", "n")
+
+
+def contract_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that break a rule of their own, apart from the good ones, and the counts that the same scan observed."""
+    path = tables.scratch(spark, "checked")
+    seen = checks.checked_write("grades", _breaking(Fixtures(spark, sf))["grades"], path)
+    back = spark.read.parquet(path).withColumn("ok", F.col("ok").cast("boolean")).groupBy("ok").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("violations")).alias("n_breaches"))
+    return back.withColumn("observed", F.lit(sum(v for k, v in seen.items() if k != "rows")).cast("long")).withColumn("scanned", F.lit(seen["rows"]).cast("long"))
+
+
 def items_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return P.fetch_ordered(Fixtures(spark, sf).items().select("item_id", "question_id", "judge", "human_gold_vote"))
 
@@ -115,6 +152,12 @@ def call_cost(spark: SparkSession, sf: str) -> DataFrame:
     return calls.select("item_id", "order_label", "mode", "attempts", "model", "cost_micro_usd")
 
 
+def rehearsal_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs by model and by whether calls were a rehearsal's, which cost nothing."""
+    calls = checks.with_cost(Fixtures(spark, sf).call_log().withColumn("mock", F.col("attempts") % 3 == 0))
+    return calls.groupBy("mock", "model").agg(F.count(F.lit(1)).alias("n_calls"), F.sum("cost_micro_usd").alias("micro_usd"))
+
+
 def hash_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return Fixtures(spark, sf).truth().select("item_id", C.hash_bucket(F.col("item_id")).alias("bucket"))
 
@@ -217,8 +260,8 @@ def run_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    raw_judgments, contract_audit, items_ordered, upsert_latest, insert_ignore, extract_items, stable_id, winner_vote, dedupe_items, sample_items,
-    swap_letters, order_views, truncate_text, norm_text, text_features, grade_requests, annotator_requests, call_cost, hash_bucket, evidence_scope, peer_votes,
+    raw_judgments, contract_audit, contract_breaches, contract_offenders, contract_quarantine, items_ordered, upsert_latest, insert_ignore, extract_items, stable_id, winner_vote, dedupe_items, sample_items,
+    swap_letters, order_views, truncate_text, norm_text, text_features, grade_requests, annotator_requests, call_cost, rehearsal_cost, hash_bucket, evidence_scope, peer_votes,
     judgment_items, judgment_items_parquet, judgment_problems, load_if_empty, rewrite_slice, call_log_append, upsert_runs, run_scoped,
 )}
 
@@ -240,6 +283,29 @@ def _request() -> str:
         || '\n\n## Rubric ({RUBRIC_VERSION})\n{rubric}\n\n' || CASE WHEN tools THEN '{tools}' ELSE 'Emit a verdict on this context alone.' END"""
 
 
+_BAD_GRADES = """badgrade AS (SELECT CASE WHEN odd <> 6 THEN item_id END AS item_id, CASE odd WHEN 0 THEN 'sideways' ELSE order_label END AS order_label, CASE odd WHEN 1 THEN 'expert' ELSE mode END AS mode,
+    rubric_version, CASE odd WHEN 2 THEN 'maybe' WHEN 5 THEN NULL ELSE verdict END AS verdict, CASE odd WHEN 3 THEN 1.5 WHEN 4 THEN -0.25 ELSE confidence END AS confidence, CASE WHEN odd <> 5 THEN escalated END AS escalated
+    FROM (SELECT g.*, seed % 101 AS odd FROM grade g JOIN run0 r ON r.item_id = g.item_id AND r.order_label = g.order_label AND r.mode = g.mode))"""
+_GRADE_RULES = {
+    "allowed: order_label": "order_label = 'sideways'", "allowed: mode": "mode = 'expert'", "allowed: verdict": "verdict = 'maybe'", "not null: item_id": "item_id IS NULL",
+    "range: confidence": "confidence NOT BETWEEN 0 AND 1", "verdict unless escalated": "verdict IS NULL AND NOT coalesce(escalated, false)",
+}
+_BREACHES = " UNION ALL ".join(f"SELECT *, '{rule}' AS rule FROM badgrade WHERE {test}" for rule, test in _GRADE_RULES.items())
+
+
+def _counted(table: str, rule: str, body: str) -> str:
+    return f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) AS n FROM {body} HAVING count(*) > 0"
+
+
+_NUMBER = "(length(item_id) + cast(item_id as bigint))"
+_AUDITED = " UNION ALL ".join([
+    *[_counted("grades", rule, f"badgrade WHERE {test}") for rule, test in _GRADE_RULES.items()],
+    _counted("grades", "unique key", "(SELECT 1 FROM badgrade GROUP BY item_id, order_label, mode, rubric_version HAVING count(*) > 1)"),
+    _counted("submissions", "allowed: vote", f"sub WHERE {_NUMBER} % 13 = 1"), _counted("submissions", "not null: item_id", f"sub WHERE {_NUMBER} % 13 = 2"),
+    _counted("submissions", "unique key", f"(SELECT 1 FROM sub WHERE {_NUMBER} % 13 = 2 HAVING count(*) > 1)"), _counted("items", "unique key", f"item WHERE human_gold_vote = 'B' AND {_NUMBER} % 17 <> 0"),
+    _counted("items", "allowed: human_gold_vote", f"item WHERE {_NUMBER} % 17 = 0"), _counted("peer_votes", "allowed: vote", f"peer WHERE {_NUMBER} % 11 = 1"),
+    _counted("peer_votes", "not null: judge", f"peer WHERE {_NUMBER} % 11 = 3"), _counted("peer_votes", "unique key", f"(SELECT item_id FROM peer WHERE {_NUMBER} % 11 = 3 GROUP BY item_id HAVING count(*) > 1)"),
+])
 _FROM_FILES = """SELECT * EXCLUDE (pos, rn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos DESC) AS rn FROM extracted WHERE pos % 97 NOT IN {skip}) WHERE rn = 1"""
 _BASE = "base AS (SELECT item_id, annotator_id, vote, 1 AS version FROM sub)"
 _CHANGES = "changes AS (SELECT item_id, annotator_id, CASE vote WHEN 'A' THEN 'B' ELSE 'A' END AS vote, 2 AS version FROM base WHERE cast(item_id as bigint) % 3 = 0 UNION ALL SELECT item_id, annotator_id, vote, 3 FROM base WHERE cast(item_id as bigint) % 6 = 0)"
@@ -268,6 +334,8 @@ ORACLES = {name: statement(sql) for name, sql in {
     "annotator_requests": f"""SELECT item_id, annotator_id, 'You compared two responses and hold that Response ' || vote || ' is better.\n\n## Question\n' || question || '\n\n## Response A\n' || response_a || '\n\n## Response B\n' || response_b
         || '\n\nSay why in two to four sentences. Name both as Response A and Response B.' AS request FROM {_VIEWS} WHERE order_label = 'original'""",
     "call_cost": "SELECT item_id, order_label, mode, i + 1 AS attempts, CASE WHEN (tokens_in + i) % 50 = 0 THEN 'unlisted' ELSE 'grader-large' END AS model, micro AS cost_micro_usd FROM calls",
+    "rehearsal_cost": """SELECT (i + 1) % 3 = 0 AS mock, CASE WHEN (tokens_in + i) % 50 = 0 THEN 'unlisted' ELSE 'grader-large' END AS model, count(*) AS n_calls,
+        cast(sum(CASE WHEN (i + 1) % 3 = 0 THEN 0 ELSE micro END) as bigint) AS micro_usd FROM calls GROUP BY 1, 2""",
     "hash_bucket": f"SELECT item_id, {h('item_id')} AS bucket FROM sub",
     "evidence_scope": """SELECT t.item_id, order_label, mode, i, name, CASE WHEN seed % 5 = 0 THEN CASE name WHEN 'get_annotator_history' THEN 'only annotator ' || annotator_id || ' is in scope for this item'
         WHEN 'get_peer_judgments' THEN 'only item ' || t.item_id || ' is in scope' ELSE 'which must be ''a'' or ''b''' END END AS error,
@@ -291,6 +359,11 @@ ORACLES = {name: statement(sql) for name, sql in {
     "judgment_items": statement(_FROM_FILES.format(skip="(0, 1, 2, 3)")),
     "judgment_items_parquet": statement(_FROM_FILES.format(skip="(2, 3)")),
     "judgment_problems": statement("SELECT CASE pos % 97 WHEN 0 THEN 'corrupt' WHEN 1 THEN 'corrupt' WHEN 2 THEN 'missing: judge' ELSE 'winner' END AS problem, count(*) AS n FROM raw WHERE pos % 97 < 4 GROUP BY 1"),
+    "contract_breaches": _with(_BAD_GRADES, _AUDITED),
+    "contract_offenders": _with(_BAD_GRADES, f"""SELECT item_id, order_label, mode, rule, count(*) AS n FROM ({_BREACHES}) GROUP BY ALL
+        UNION ALL SELECT item_id, order_label, mode, 'unique key', count(*) FROM badgrade GROUP BY ALL HAVING count(*) > 1"""),
+    "contract_quarantine": _with(_BAD_GRADES, f"""SELECT n_breaches = 0 AS ok, count(*) AS n_rows, cast(sum(n_breaches) as bigint) AS n_breaches, cast(sum(sum(n_breaches)) OVER () as bigint) AS observed, cast(sum(count(*)) OVER () as bigint) AS scanned
+        FROM (SELECT {" + ".join(f"CASE WHEN {test} THEN 1 ELSE 0 END" for test in _GRADE_RULES.values())} AS n_breaches FROM badgrade) GROUP BY 1"""),
     "contract_audit": _with("""bad AS (SELECT * REPLACE (CASE WHEN confidence > 0.93 THEN 'maybe' ELSE verdict END AS verdict) FROM grade),
         twice AS (SELECT item_id FROM sub UNION ALL SELECT item_id FROM sub WHERE item_id LIKE '%7')""",
         """SELECT 'grades' AS table_name, 'allowed: verdict' AS rule, count(*) AS n FROM bad WHERE verdict NOT IN ('accept', 'reject') HAVING count(*) > 0

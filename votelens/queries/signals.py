@@ -9,6 +9,7 @@ from votelens.operators import checks, evaluation
 from votelens.operators import signals as S
 from votelens.params import ITEM_DEFECT_TYPES
 from votelens.queries.sql import statement
+from votelens.sources import placed
 from votelens.sources.fixtures import Fixtures
 
 
@@ -72,6 +73,26 @@ def pending_work(spark: SparkSession, sf: str) -> DataFrame:
     return checks.pending_work(f.truth(), _done(f))
 
 
+BUCKETS = 8
+
+
+def placed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Both orders' grades paired, from a table stored by item."""
+    grades = placed.store_by_item(Fixtures(spark, sf).grades(), BUCKETS)
+    return evaluation.paired_grades(grades)
+
+
+def placed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with their truth, of two tables stored by item."""
+    f = Fixtures(spark, sf)
+    return evaluation.scored_records(placed.store_by_item(f.grades(), BUCKETS), placed.store_by_item(f.truth(), BUCKETS))
+
+
+def placed_pending(spark: SparkSession, sf: str) -> DataFrame:
+    f = Fixtures(spark, sf)
+    return placed.pending_by_item(placed.store_by_item(f.truth(), BUCKETS), placed.store_by_item(_done(f), BUCKETS))
+
+
 def missing_deps(spark: SparkSession, sf: str) -> DataFrame:
     f = Fixtures(spark, sf)
     return checks.missing_deps(f.truth().select("item_id"), f.truth().where("item_id not like '%9'"), _done(f))
@@ -84,7 +105,7 @@ def peer_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     annotator_signals, annotator_flags, layer0_overlay, annotator_load, annotator_roster, clean_submissions, defect_truth, defect_counts, mode_cost,
-    arm_cost, completeness, pending_work, missing_deps, peer_agreement,
+    arm_cost, completeness, pending_work, placed_pairs, placed_records, placed_pending, missing_deps, peer_agreement,
 )}
 
 _TRUTH = "(SELECT item_id, defect_type, CASE WHEN defect_type IN ('RUSHED', 'SELF_CONTRADICTION') THEN 'item' ELSE 'annotator' END AS scope FROM sub WHERE is_defective)"
@@ -107,6 +128,9 @@ ORACLES = {name: statement(sql) for name, sql in {
     "arm_cost": f"SELECT * FROM {ARM}",
     "completeness": f"SELECT mode, count(*) AS n_grades, (SELECT count(*) * 2 FROM sub) AS expected, count(*) = (SELECT count(*) * 2 FROM sub) AS complete FROM grade WHERE NOT {_GONE} GROUP BY mode",
     "pending_work": f"SELECT item_id, order_label, mode FROM grade WHERE {_GONE}",
+    "placed_pairs": "SELECT item_id, mode, rubric_version, verdict_original, verdict_swapped, confidence, reason, escalated FROM paired",
+    "placed_records": "SELECT item_id, mode, score, flipped, escalated, is_defective, defect_type, annotator_id FROM scored",
+    "placed_pending": f"SELECT item_id, order_label, mode FROM grade WHERE {_GONE}",
     "missing_deps": f"SELECT item_id, 'submission' AS missing FROM sub WHERE item_id LIKE '%9' UNION ALL SELECT item_id, 'agent grade: ' || order_label FROM grade WHERE {_GONE} AND mode = 'agent'",
     "peer_agreement": "SELECT * FROM agree",
 }.items()}

@@ -197,6 +197,32 @@ class Fixtures:
             escalated.alias("escalated"),
         )
 
+    def odd_traces(self) -> DataFrame:
+        """Traces of whole rounds (call, result, the budget's end), some of which break the protocol in a way that `seed` tells."""
+        seed, n, odd = F.col("seed"), F.col("n_tool_calls"), F.col("seed") % 13
+        budget = F.when(F.col("mode") == "agent", 6).when(F.col("mode") == "verifier", 3).otherwise(0)
+
+        def event(kind: str, name: str | None = None) -> Column:
+            return F.struct(F.lit(kind).alias("type"), F.lit(name).cast("string").alias("name"), F.when(seed % 2 == 0, "said").otherwise(" ").alias("reason"))
+
+        def rounds(k: Column) -> Column:
+            one = F.array(event("api_round"), event("tool_call", "get_full_response"), event("tool_result", "get_full_response"))
+            return F.flatten(F.array_repeat(one, k.cast("int")))
+
+        none = F.array().cast("array<struct<type:string,name:string,reason:string>>")
+        spent = F.when((budget > 0) & (n >= budget), F.array(event("budget_exhausted"))).otherwise(none)
+        ends = F.element_at(F.array(event("verdict"), event("review"), event("escalation")), (seed % 3 + 1).cast("int"))
+        whole = F.concat(rounds(n), spent, F.array(event("api_round"), ends))
+        size = F.size(whole)
+        events = (
+            F.when(odd == 0, F.slice(whole, F.lit(1), size - 2)).when(odd == 1, F.concat(whole, F.array(event("verdict")))).when(odd == 2, F.concat(F.array(event("tool_result", "x")), whole))
+            .when((odd == 3) & (n > 0), F.concat(F.slice(whole, 1, 2), F.slice(whole, F.lit(4), size)))
+            .when(odd == 4, F.concat(F.slice(whole, 1, 1), F.array(event("budget_exhausted")), F.slice(whole, F.lit(2), size)))
+            .when(odd == 5, F.concat(rounds(n + 7), F.array(event("api_round"), event("verdict")))).when(odd == 6, F.array(event("api_round"), event("inherited_escalation"))).otherwise(whole)
+        )
+        trace = F.when(odd == 7, "not a list").otherwise(F.to_json(events))
+        return self.runs().select("item_id", "order_label", "mode", "rubric_version", trace.alias("trace"), "n_tool_calls", "hit_cap", "seed")
+
     def payloads(self) -> DataFrame:
         """Verdict payloads as JSON, most of them broken in one way."""
         seed = F.col("seed")
