@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from votelens.llm import packing, secrets
 from votelens.llm.queries import ORACLES, QUERIES
@@ -40,7 +41,7 @@ def test_op2(spark):
 
     docs = {r["doc_id"]: r for r in rows_of("documents", LARGER)}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    spans, texts, owners = {}, defaultdict(set), defaultdict(set)
+    spans, owners = {}, defaultdict(set)
     for i, r in docs.items():
         text = r["text"] or ""
         found = [(m.start(), 0, m.end(), *m.span(2)) for m in assign.finditer(text) if len(m[2]) >= 6]
@@ -49,7 +50,6 @@ def test_op2(spark):
         more = secrets.candidate_spans(text, [(k, a, b, c, d, "") for a, k, b, c, d in found])
         spans[i] = (sorted(found), [s[3:5] for s in found] + [s[3:5] for s in more])
         for a, b in spans[i][1]:
-            texts[text[a:b]].add(text)
             owners[text[a:b]].add(r["source"])
     names = ("assign", "access", "hex", "owned")
     got = collected(spark, "op2_secrets", LARGER)
@@ -57,13 +57,23 @@ def test_op2(spark):
     for r in got:
         base, values = spans[r["doc_id"]]
         text = docs[r["doc_id"]]["text"] or ""
-        own = {(a, 3, b) for a, b in values if len(texts[text[a:b]]) == 1 or len(owners[text[a:b]]) == 1}
+        # a credential is its owner's alone; what two sources hold is copied from somewhere, whatever texts it stands in
+        own = {(a, 3, b) for a, b in values if owners[text[a:b]] == {docs[r["doc_id"]]["source"]}}
         said = [",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(s)) for s in ([x[:3] for x in base], [*[x[:3] for x in base], *own])]
         assert (r["base_sha256"], r["spans"]) == (hashlib.sha256(said[0].encode()).hexdigest(), said[1])
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in base) for k in range(3))
     assert any("owned" in r["spans"] for r in got)
 
 
+def test_op2_tells_owned_from_copied(spark):
+    """Of the values in the given tables some have one owner and some have several."""
+    from votelens.llm.common import table
+
+    found = secrets.find_secrets(table(spark, str(DATA.parent / "sf0.1"), "documents"))
+    classes = found.select(F.explode("spans").alias("s")).select("s.value_hash", "s.live", "s.owners").distinct().collect()
+    assert {r["live"] for r in classes} == {True, False} and all(r["live"] == (r["owners"] == 1) for r in classes)
+
+
 def test_op3(spark):
     fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows_of("documents")}
     ids = sorted(fp)

@@ -68,10 +68,17 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
 
 
 def grams(address: Column) -> Column:
-    """Each character of the address, and its end, after the ORDER characters before it."""
+    """Each character of the address, and its end, after the ORDER characters before it; in time linear in the address.
+
+    The address is cut into characters once (`chars` is a lambda's argument, which is a value), and each gram takes its own
+    by their places; a slice would copy the whole array each time.
+    """
     padded = F.concat(F.lit(START * ORDER), address, F.lit(STOP))
-    at = F.sequence(F.lit(1), F.length(address) + 1)
-    return F.transform(at, lambda i: padded.substr(i, F.lit(ORDER + 1)))
+
+    def taken(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - ORDER - 1), lambda i: F.concat(*[F.get(chars, i + k) for k in range(ORDER + 1)]))
+
+    return F.flatten(F.transform(F.array(F.split(padded, "")), taken))
 
 
 def gram_ratios(urls: DataFrame) -> DataFrame:
@@ -117,14 +124,14 @@ def gram_ratios(urls: DataFrame) -> DataFrame:
 
 
 def url_scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """url, score: the length-normalised log-likelihood difference.  An empty address has the score of its end.
+    """number, score: the length-normalised log-likelihood difference.  An empty address has the score of its end.
 
-    Grams that are very frequent are joined by a broadcast of bounded size, the others by a shuffle or as Spark measures.
+    `urls` has address and number, which goes with each of its grams in its place.  Grams that are very frequent are joined by a broadcast of bounded size, the others by a shuffle or as Spark measures.
     """
     total = ratios.agg(F.sum("n")).first()[0] or 0
-    exploded = urls.select("url", F.explode(grams(F.col("address"))).alias("gram"))
-    summed = join_groups(exploded, ratios, "gram", "n", total).groupBy("url").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("grams"))
-    return summed.select("url", (F.col("sum") / F.col("grams") / UNIT).alias("score"))
+    exploded = urls.select("number", F.explode(grams(F.col("address"))).alias("gram"))
+    summed = join_groups(exploded, ratios, "gram", "n", total).groupBy("number").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("grams"))
+    return summed.select("number", (F.col("sum") / F.col("grams") / UNIT).alias("score"))
 
 
 def calibrated(scores: DataFrame) -> float:
@@ -164,15 +171,15 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     trains = F.xxhash64("url") % 5 != 0
     urls = stored(
         known.select("url", "rows", "host", "path", "address", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("verdict"))
-        .withColumn("training", F.when(trains, F.col("verdict"))),
+        .withColumn("training", F.when(trains, F.col("verdict"))).withColumn("number", F.monotonically_increasing_id()),
         "urls",
     )
     ratios = stored(gram_ratios(urls), "ratios")
     judged = urls.where("verdict is null or training is null")
-    scores = stored(url_scores(judged.select("url", "address"), ratios), "scores")
-    threshold = calibrated(scores.join(judged.where("verdict is not null").select("url", "verdict"), "url"))
+    scores = stored(url_scores(judged.select("number", "address"), ratios), "scores")
+    threshold = calibrated(scores.join(judged.where("verdict is not null").select("number", "verdict"), "number"))
     decided = (
-        urls.join(scores, "url", "left")
+        urls.join(scores, "number", "left")
         .withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
         .select("url", "rows", "host", "path", "rule", "score",
                 F.coalesce("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))
