@@ -1,9 +1,9 @@
 """Secret scans: base patterns, and secret values judged by who owns them across the corpus.
 
 Values are what base patterns hold, and other long mixed tokens of high entropy.  Their hashes are counted over the corpus by
-distinct repositories and owners.  A value that one owner alone has, or one repository, is a live-looking credential, and
-becomes a span of the kind `owned`, by whatever pattern it was found; one that several owners have in several repositories
-is a widely copied example.
+distinct repositories and owners.  Owners decide: a value that one owner alone has, in however many repositories, is a
+live-looking credential, and becomes a span of the kind `owned`, by whatever pattern it was found; one that several owners
+have is a widely copied example, be it in one text that they all copied or in many.
 """
 
 from __future__ import annotations
@@ -35,8 +35,7 @@ HEX_RUN = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more is what HE
 #: The method's own candidates: long mixed tokens of high entropy.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.0
-#: A value in more distinct repositories and under more distinct owners than these is a widely copied example.
-MAX_REPOSITORIES = 1
+#: A value under more distinct owners than this is a widely copied example.
 MAX_OWNERS = 1
 
 #: Characters [start, stop) hold the pattern, [first, last) the value in it.
@@ -97,14 +96,14 @@ def value_owners(spans: DataFrame) -> DataFrame:
 
 def find_secrets(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str | None = None, owner: str = "source",
-    max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS,
+    max_owners: int = MAX_OWNERS,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, spans (start, kind, stop, value_hash, repositories, owners, live), by start and kind.
 
     Base spans always stay; `live` tells owner-specific values from widely copied examples.  Each live value, of a base span
     or a candidate, gives a span `owned` over the value alone, once where several patterns hold it; candidates that are not
-    live give none.  `repository` is a column, or else the text itself, so that copies of a file are one repository.  Values
-    leave the scan as hashes.  A null text is empty; a null repository or owner is a value like any other; rows that repeat
+    live give none.  `repository` is a column, or else the text itself, so that copies of a file are one repository; how many
+    hold a value is told, and decides nothing.  Values leave the scan as hashes.  A null text is empty; a null repository or owner is a value like any other; rows that repeat
     are scanned each.
     """
     scanned = stored(
@@ -122,7 +121,7 @@ def find_secrets(
     spans = scanned.where(F.size("raw") > 0).select("row", "repository", "owner", F.explode("raw").alias("s"))
     spans = stored(spans.select("row", "repository", "owner", "s.*"), "spans")
     owners = stored(value_owners(spans), "owners")
-    live = (F.col("repositories") <= max_repositories) | (F.col("owners") <= max_owners)
+    live = F.col("owners") <= max_owners
     facts = ("value_hash", "repositories", "owners", "live")
     own = F.struct(F.col("first").alias("start"), F.lit(3).alias("kind"), F.col("last").alias("stop"), *facts)
     both = F.array_compact(F.array(F.when(F.col("kind") < 3, F.struct("start", "kind", "stop", *facts)), F.when(F.col("live"), own)))
