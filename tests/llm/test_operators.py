@@ -578,11 +578,40 @@ def test_arc_versions():
 
     payload = "<p>é\r\n\r\nx</p>".encode()
     stream = warc.arc_start(2) + warc.arc_record(2, "http://a b/c", 7, payload) + warc.arc_start(1) + warc.arc_record(1, None, None, b"") + b"dns:x 1.2.3.4 19990102030405 text/dns 3\nabc\n"
-    got = list(warc.read_arc_stream(io.BytesIO(stream)))
+    everything = list(warc.read_arc_stream(io.BytesIO(stream)))
+    assert [(r["version"], r["kind"]) for r in everything] == [(2, "filedesc"), (2, "http"), (1, "filedesc"), (1, "http"), (1, "other")]
+    got = [r for r in everything if r["kind"] != "filedesc"]
     assert [(r["version"], r["page_id"], r["url"], r["payload"]) for r in got] == [(2, 7, "http://a%20b/c", payload), (1, None, "-", b""), (1, None, "dns:x", b"abc")]
     assert got[2]["arc_date"] == "19990102030405"
 
 
+def test_damaged_arc(spark, tmp_path):
+    """Garbled lines and lengths cost what stands there, and no more; other types of records come through."""
+    page = lambda i: warc.arc_record(1, f"http://a/{i}", i, b"page %d" % i)
+    dns = b"dns:x 1.2.3.4 19990102030405 text/dns 4\nabc\n\n"
+    whole = warc.arc_start(1) + page(1) + b"garbage line\nand more\n\x00\xff\n" + page(2) + b"http://short 19990102\n" + page(3) + dns + b"http://cut 0.0.0.0 20000101000000 text/html 500\nonly this"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(whole)
+    import gzip
+
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(warc.arc_start(2) + warc.arc_record(2, "http://b", 4, b"page 4")) + gzip.compress(warc.arc_record(2, "http://b", 5, b"page 5")))
+    records = warc.read_arc(spark, f"file://{tmp_path}/in")
+    assert Counter(r["kind"] for r in records.collect()) == {"http": 5, "filedesc": 2, "other": 1, "damaged": 3}
+    assert sorted((r["url"], r["lost_bytes"]) for r in warc.damage(records).collect() if r["url"]) == [("http://cut", 9)]
+    assert sorted(r["lost_bytes"] for r in warc.damage(records).collect()) == [9, 22, 25]
+    back = warc.convert_archives(records, f"file://{tmp_path}/out")
+    assert sorted((r["page_id"], r["record_type"]) for r in back.collect()) == [(i, "response") for i in range(1, 6)]
+    all_ = {(r["record_type"], r["url"]): r for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    assert Counter(k[0] for k in all_) == {"response": 4, "resource": 1, "warcinfo": 1} and all_["resource", "dns:x"]["payload_bytes"] == 4
+    blob = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("part-*") if p.stat().st_size)
+    assert blob.count(b"WARC-Block-Digest: sha1:") == 8 and blob.count(b"Content-Type: text/dns") == 1 and blob.count(b"Content-Type: application/warc-fields") == 2
+    assert b"WARC-Filename: pages.arc" in blob and b"description: converted from ARC version 2" in blob
+    import io
+
+    with pytest.raises(ValueError, match="another digest"):
+        list(warc.read_warc_stream(io.BytesIO(blob.replace(b"page 1", b"page 9"))))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, other = "<html>" + "x" * 2000, "é" * 600
     rows = [
@@ -631,7 +660,7 @@ def test_each_record_is_a_gzip_member(spark, tmp_path):
             data = member.unused_data
             if text:
                 assert text.startswith(b"WARC/1.1") and text.endswith(b"\r\n\r\n") and len(list(warc.read_warc_stream(io.BytesIO(text)))) == 1
-                seen += 1
+                seen += b"WARC-Type: response" in text  # an archive begins with a warcinfo
     assert seen == 20
 
 
@@ -713,3 +742,16 @@ def test_jumps_are_even_stable_and_agree(spark):
 def test_free_names(spark):
     df = spark.createDataFrame([(1, 2)], "_n int, _N_ int")
     assert free_names(df, "_n", "x") == ["_n__", "x"]
+
+
+# ---------------------------------------------------------------- ids of other types
+
+
+def test_ids_that_are_texts(spark):
+    """Near-duplicates and packing take ids as they are: text, and whole numbers beyond 2**53 beside nulls."""
+    texts = {"a": "one two three four", "b": "one two three four", "c": "else " * 30, None: "x"}
+    named = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(named).collect()}
+    assert got["a"] == got["b"] == "a" and got["c"] == "c" and None in got
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(named).collect()} == {"a", "c", None}
+    assert Counter(r["doc_id"] for r in packing.pack(named).collect()) == Counter(list(texts))

@@ -27,8 +27,9 @@ LEAST_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20  # about so much payload goes into one ARC block or WARC file
 
 ARC_RECORD = (
-    "page_id long, url string, ip string, arc_date string, mime string, version int, http_head binary, payload binary"
+    "page_id long, url string, ip string, arc_date string, mime string, version int, kind string, http_head binary, payload binary"
 )
+WARC_TYPES = {"http": "response", "other": "resource", "filedesc": "warcinfo"}
 WARC_RECORD = (
     "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to_id string, url string"
 )
@@ -55,33 +56,62 @@ def arc_record(version: int, url: str | None, page_id: int | None, payload: byte
     return arc_header(version, url or "", "0.0.0.0", ARC_DATE, "text/html", len(content), offset) + content + b"\n"
 
 
+def _arc_fields(line: bytes, version: int) -> dict[str, bytes] | None:
+    """A header line's fields, taken from the right, so that an URL may hold spaces; None of a line that is none."""
+    names = ARC_FIELDS[version].split()
+    parts = line.rsplit(b" ", len(names) - 1)
+    fields = dict(zip(names, parts))  # noqa: B905  (a short line fails the next test)
+    if len(parts) < len(names) or not parts[-1].isdigit() or not re.fullmatch(rb"\d{8,14}", fields["Archive-date"]):
+        return None
+    return fields
+
+
 def read_arc_stream(stream: BinaryIO) -> Iterator[dict]:
     """Records of one or several ARC files in a row.
 
-    A `filedesc:` record's body names the version, which says how many fields the lines that follow have.  Fields are
-    taken from the right, so an URL may hold spaces; the declared length says where the next line is.
+    A `filedesc:` record's body names the version, which says how many fields the lines that follow have; the declared length
+    says where the next line is.  A line that is no header is damage: what follows is passed over up to the next line that
+    is one, and all of it is a record of the kind `damaged`; a record that ends before its length is one too.  Other kinds
+    are `http`, `other` (what is no HTTP response, such as a DNS answer) and `filedesc`.
     """
-    version = 1
+    version, lost = 1, bytearray()
+
+    def record(kind: str, payload: bytes, fields: dict[str, bytes] | None = None, head: bytes = b"") -> dict:
+        told = {k: v.decode("utf-8", "replace") for k, v in (fields or {}).items()}
+        page = re.search(rb"(?im)^" + PAGE_HEADER.encode() + rb":\s*(-?\d+)", head)
+        return {
+            "page_id": int(page[1]) if page else None, "url": told.get("URL"), "ip": told.get("IP-address"), "arc_date": told.get("Archive-date", ARC_DATE),
+            "mime": told.get("Content-type"), "version": version, "kind": kind, "http_head": head, "payload": payload,
+        }
+
     while line := stream.readline():
-        line = line.rstrip(b"\r\n")
-        if not line:
+        bare = line.rstrip(b"\r\n")
+        if not bare and not lost:
             continue
-        if line.startswith(b"filedesc:"):
-            n = int(line.rsplit(b" ", 1)[1])
-            version = int(stream.read(n).split(b" ", 1)[0])
+        # the version block's own line has version 1's fields, or so many more of version 2's
+        fields = _arc_fields(bare, 1 if bare.startswith(b"filedesc:") else version)
+        if fields is None:
+            lost += line
             continue
-        parts = line.rsplit(b" ", len(ARC_FIELDS[version].split()) - 1)
-        fields = dict(zip(ARC_FIELDS[version].split(), parts, strict=True))
-        content = stream.read(int(fields["Archive-length"]))
-        head, gap, payload = content.partition(b"\r\n\r\n")
-        if not content.startswith(b"HTTP/") or not gap:
-            head, gap, payload = b"", b"", content
-        page = re.search(rb"(?im)^" + PAGE_HEADER.encode() + rb":\s*(-?\d+)", head)
-        yield {
-            "page_id": int(page[1]) if page else None, "url": fields["URL"].decode("utf-8", "replace"),
-            "ip": fields["IP-address"].decode("ascii", "replace"), "arc_date": fields["Archive-date"].decode("ascii", "replace"),
-            "mime": fields["Content-type"].decode("ascii", "replace"), "version": version, "http_head": head + gap, "payload": payload,
-        }
+        if lost:
+            yield record("damaged", bytes(lost))
+            lost.clear()
+        length = int(fields["Archive-length"])
+        content = stream.read(length)
+        if len(content) < length:
+            yield record("damaged", content, fields)
+        elif bare.startswith(b"filedesc:"):
+            named = content.split(b" ", 1)[0]
+            version = int(named) if named in (b"1", b"2") else version
+            yield record("filedesc", content, fields)
+        else:
+            head, gap, payload = content.partition(b"\r\n\r\n")
+            if content.startswith(b"HTTP/") and gap:
+                yield record("http", payload, fields, head + gap)
+            else:
+                yield record("other", content, fields)
+    if lost:
+        yield record("damaged", bytes(lost))
 
 
 def _frames(rows: Iterator[dict], columns: list[str], size: str | None) -> Iterator[pd.DataFrame]:
@@ -139,26 +169,40 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def converted(records: DataFrame) -> DataFrame:
-    """ARC records with what WARC asks for besides: record_id, warc_date, payload_bytes, payload_digest."""
+    """ARC records with what WARC asks for besides: record_id, record_type, warc_date, payload_bytes, payload_digest.
+
+    An HTTP response is a `response`, anything else that was fetched a `resource` of its own content type, and an archive's
+    version block a `warcinfo` that tells the archive's name and version.  Damaged records are left out; see `damage`.
+    """
+    records = records.where("kind <> 'damaged'")
+    info = F.concat(F.lit("filename: "), F.regexp_replace("url", "^filedesc://", ""), F.lit("\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC version "), F.col("version").cast("string"), F.lit("\r\n"))
+    records = records.withColumn("payload", F.when(F.col("kind") == "filedesc", info.cast("binary")).otherwise(F.col("payload")))
+    kind = F.coalesce(*[F.when(F.col("kind") == k, t) for k, t in WARC_TYPES.items()])
     name = F.sha1(F.concat_ws("|", F.lit("arc"), "url", "arc_date", F.col("page_id").cast("string"), "payload_digest"))
     parts = [F.substring("_n", 1, 8), F.substring("_n", 9, 4), F.concat(F.lit("5"), F.substring("_n", 14, 3)),
              F.concat(F.lit("8"), F.substring("_n", 18, 3)), F.substring("_n", 21, 12)]
-    date = F.regexp_replace("arc_date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*$", "$1-$2-$3T$4:$5:$6Z")
+    date = F.regexp_replace(F.rpad("arc_date", 14, "0"), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*$", "$1-$2-$3T$4:$5:$6Z")
     return (
         records.withColumn("payload_digest", F.sha1("payload"))
         .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
         .withColumn("_n", name).withColumn("record_id", F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts)))
-        .withColumn("warc_date", date).drop("_n")
+        .withColumn("warc_date", date).withColumn("record_type", kind).drop("_n")
     )
 
 
+def damage(records: DataFrame) -> DataFrame:
+    """What could not be read: url (null of bytes that belong to no header), lost_bytes, and a digest of these."""
+    lost = records.where("kind = 'damaged'")
+    return lost.select("url", F.octet_length("payload").cast("long").alias("lost_bytes"), F.sha1("payload").alias("lost_digest"))
+
+
 def revisits(records: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """page_id, payload_digest and the record it revisits: refers_to_id, refers_to_url, refers_to_date.
 
     Of equal payloads of at least `least_bytes` the one with the largest page_id is the response.  `records` is a stored
     table of ids and digests: no payload moves, and copies of one payload never gather in one task.
     """
-    ids = records.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    ids = records.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
     kept = ids.groupBy("payload_digest").agg(
         F.max(F.struct("page_id", "record_id", "url", "warc_date")).alias("kept"), F.count(F.lit(1)).alias("n")
     ).where("n > 1")
@@ -173,18 +217,20 @@ def warc_bytes() -> Column:
     """A record of the converted columns as WARC 1.1, without the two line ends that close it."""
     again = F.col("refers_to_id").isNotNull()
     body = F.when(again, F.col("http_head")).otherwise(F.concat("http_head", "payload"))
+    http, info = F.col("record_type") == "response", F.col("record_type") == "warcinfo"
     lines = [
-        F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
+        F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise(F.col("record_type"))),
         F.concat(F.lit("WARC-Record-ID: <"), "record_id", F.lit(">")),
         F.concat(F.lit("WARC-Date: "), "warc_date"),
-        F.concat(F.lit("WARC-Target-URI: "), "url"),
-        F.concat(F.lit("WARC-IP-Address: "), "ip"),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"),
+        F.when(info, F.concat(F.lit("WARC-Filename: "), F.regexp_replace("url", "^filedesc://", ""))).otherwise(F.concat(F.lit("WARC-Target-URI: "), "url")),
+        F.when(~info, F.concat(F.lit("WARC-IP-Address: "), "ip")),
+        F.when(~info, F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest")),
+        F.concat(F.lit("WARC-Block-Digest: sha1:"), F.sha1(body)),
         F.when(again, F.lit("WARC-Profile: " + REVISIT_PROFILE)),
         F.concat(F.lit("WARC-Refers-To: <"), "refers_to_id", F.lit(">")),
         F.concat(F.lit("WARC-Refers-To-Target-URI: "), "refers_to_url"),
         F.concat(F.lit("WARC-Refers-To-Date: "), "refers_to_date"),
-        F.lit("Content-Type: application/http;msgtype=response"),
+        F.concat(F.lit("Content-Type: "), F.when(http, "application/http;msgtype=response").when(info, "application/warc-fields").otherwise(F.coalesce("mime", F.lit("application/octet-stream")))),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     head = F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines), F.lit("\r\n\r\n"))  # concat_ws passes over null lines
@@ -222,6 +268,9 @@ def read_warc_stream(stream: BinaryIO) -> Iterator[dict]:
         head, gap, payload = block.partition(b"\r\n\r\n")
         if not gap or not block.startswith(b"HTTP/"):
             head, payload = b"", block
+        expected = fields.get("warc-block-digest", "").partition(":")[2]
+        if expected and expected != hashlib.sha1(block).hexdigest():
+            raise ValueError(f"record {fields.get('warc-record-id')} is damaged: its block has another digest")
         page = re.search(rb"(?im)^" + PAGE_HEADER.encode() + rb":\s*(-?\d+)", head)
         length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
         again = fields["warc-type"] == "revisit"
@@ -251,21 +300,22 @@ def convert_archives(records: DataFrame, path: str, least_bytes: int = LEAST_REV
     """ARC records to WARC files under `path`, and what these say when read back.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id of the response, else null).
+    These are the pages' records; the archives hold the others too (`converted`), which `read_warc` gives.
     Payloads shuffle once, by page_id and digest, so copies of one payload spread over all tasks.  Records without a page_id
-    are always responses, and spread by their place; of records that repeat a page_id, each payload counts by itself.  An
+    are never revisits, and spread by their place; of records that repeat a page_id, each payload counts by itself.  An
     empty table gives no record.
     """
     spark = records.sparkSession
     full = converted(records)
     # what deduplication needs to know, without payloads: the archives are parsed once for it and once to be written
-    facts = stored(full.select("page_id", "record_id", "url", "warc_date", "payload_digest", "payload_bytes"), "records")
+    facts = stored(full.select("page_id", "record_id", "record_type", "url", "warc_date", "payload_digest", "payload_bytes"), "records")
     total = facts.agg(F.sum("payload_bytes")).first()[0] or 0
     archives = max(-(-total // ARCHIVE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.when(F.col("page_id").isNull(), F.concat(F.lit("-"), F.monotonically_increasing_id())).otherwise(F.col("page_id").cast("string"))
     again = revisits(facts, least_bytes).withColumn("place", F.col("page_id").cast("string")).drop("page_id")
     spread = full.withColumn("place", place).repartition(archives, "place", "payload_digest")
     write_warc(spread.join(again, ["place", "payload_digest"], "left"), path)
-    back = stored(read_warc(spark, path), "archived")
+    back = stored(read_warc(spark, path).where("record_type in ('response', 'revisit')"), "archived")
     one = back.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long"))
     two = back.where("refers_to_id is not null")
     response = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
