@@ -2,7 +2,7 @@
 
 import random
 
-from votelens.llm import simhash
+from votelens.llm import common, simhash
 
 from .corpus import sentence
 from .test_operators import brute_fingerprint, union
@@ -44,6 +44,24 @@ def test_crowded_keys_lose_no_similar_pair(spark, monkeypatch):
     assert kept(spark, rows) == want
     monkeypatch.setattr(simhash, "RUN", 8)
     assert kept(spark, rows) == want
+    monkeypatch.setattr(simhash, "SPLIT", 20)  # tokens ranked in parts, and joined by a broadcast
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert kept(spark, rows) == want
+
+
+def test_tokens_in_parts_have_gapless_blocks(spark, monkeypatch):
+    """Blocks of a token of many texts: full but for the last, and labels stay together as they would without parts."""
+    rng = random.Random(9)
+    monkeypatch.setattr(simhash, "SPLIT", 50)
+    monkeypatch.setattr(simhash, "RUN", 16)
+    labels = [rng.getrandbits(64) - (1 << 63) for _ in range(30)]
+    rows = [(t, rng.getrandbits(64) - (1 << 63), 5, 0, n, rng.choice(labels[:1] if t == 2 else labels)) for t, n in ((1, 700), (2, 400), (3, 40)) for _ in range(n)]
+    keys = spark.createDataFrame(rows, "token long, id long, n int, at int, rows long, label long").repartition(5)
+    got = simhash.placed_keys(keys).collect()
+    assert sorted((r.token, r.id, r.label) for r in got) == sorted((r[0], r[1], r[5]) for r in rows)
+    for token, n in ((1, 700), (2, 400), (3, 40)):
+        blocks = [r.block for r in got if r.token == token]
+        assert sorted(blocks) == [k // 16 for k in range(n)]
 
 
 def test_every_text_of_a_group_links(spark):

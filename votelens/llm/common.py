@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,17 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def plain_id(docs: DataFrame, name: str) -> tuple[Column, str]:
+    """An id as Python workers take it, and its type there: whole numbers as long, any other type as it is."""
+    kind = docs.schema[name].dataType.simpleString()
+    return (F.col(name).cast("long"), "bigint") if kind in ("tinyint", "smallint", "int", "bigint") else (F.col(name), kind)
+
+
+def given_back(ids: pd.Series, kind: str) -> pd.Series:
+    """Ids of a pandas frame for Spark: numbers with nulls among them have become floats."""
+    return ids.astype("Int64") if kind == "bigint" else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is.  Plain ASCII text takes the fast built-in path."""
     plain = F.length(text) == F.octet_length(text)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votelens.llm.common import gapless_rank, stored
+from votelens.llm.common import gapless_rank, given_back, plain_id, stored
 
 CAPACITY = 1024
 END = 2  # the id that ends each document
@@ -231,9 +231,10 @@ def tokenise(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, on demand, the ids as little-endian bytes.
 
-    A null text is empty, so its only id is END.  `vocabulary` is a path that every executor has.
+    A null text is empty, so its only id is END.  Documents' ids may be whole numbers or of another type.  `vocabulary` is a path that every executor has.
     """
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    ident, kind = plain_id(docs, doc_id)
+    columns = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(vocabulary or default_vocabulary())
@@ -245,11 +246,12 @@ def tokenise(
                 starts = cut_points(len(ids) // 4, capacity)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids) // 4], strict=True)):
                     own = ids[4 * a : 4 * b]
-                    rows.append((None if pd.isna(key) else int(key), k, a, b - a, zlib.crc32(own), *[own] * with_ids))
+                    rows.append((None if pd.isna(key) else key, k, a, b - a, zlib.crc32(own), *[own] * with_ids))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            out["doc_id"] = given_back(out["doc_id"], kind)
+            yield out
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(work, columns)
+    return docs.select(ident.alias("doc_id"), F.col(text).alias("text")).mapInPandas(work, columns)
 
 
 def pack(

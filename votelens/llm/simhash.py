@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votelens.llm.common import if_small, join_groups, stored
+from votelens.llm.common import given_back, if_small, join_groups, plain_id, stored
 
 MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the [23, 12, 7] Golay code
 RUN = 1024  # fingerprints of one key that are compared in one block
+SPLIT = 1 << 14  # tokens of more texts are ranked in parts
 SMALL = 16  # keys of up to so many rows give all their links
 SKETCH = 512  # bits of a set's short sketch
 SAMPLE, COMMON = 5000, 10_000  # texts that tell common shingles, and at most so many of these
@@ -55,16 +56,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
+    """doc_id and fp, the fingerprint as a signed long, for each row.  Ids may be whole numbers or of another type."""
+    ident, kind = plain_id(docs, doc_id)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = np.fromiter((fingerprint(t, words) for t in frame["text"]), dtype=np.uint64, count=len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": given_back(frame["doc_id"], kind), "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        work, "doc_id long, fp long"
-    )
+    return docs.select(ident.alias("doc_id"), F.col(text).alias("text")).mapInPandas(work, f"doc_id {kind}, fp bigint")
 
 
 # ---------------------------------------------------------------- Golay code
@@ -391,6 +391,7 @@ def text_nodes(docs: DataFrame, words: int, verify_words: int, similarity: float
     """doc_id, fp, id, n, sketch, full (the larger sketch) and prefix (the shingles that are keys, in order), for rows of
     doc_id, id and text."""
     common, counts = common_shingles(docs, verify_words)
+    _, kind = plain_id(docs, "doc_id")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -409,19 +410,42 @@ def text_nodes(docs: DataFrame, words: int, verify_words: int, similarity: float
                 full.append(full_sketch(hashes))
                 prefixes.append(hashes[order[: n - math.ceil(similarity * n - EPSILON) + 1]])
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "fp": np.array(fps, dtype=np.uint64).view(np.int64), "id": frame["id"],
+                "doc_id": given_back(frame["doc_id"], kind), "fp": np.array(fps, dtype=np.uint64).view(np.int64), "id": frame["id"],
                 "n": sizes, "sketch": sketches, "full": full, "prefix": prefixes,
             })
 
-    return docs.mapInPandas(work, "doc_id long, fp long, id long, n int, sketch binary, full binary, prefix array<long>")
+    return docs.mapInPandas(work, f"doc_id {kind}, fp long, id long, n int, sketch binary, full binary, prefix array<long>")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """token, id, n, at (the shingle's place in the prefix): the keys that more than one text has."""
-    keys = nodes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    order = Window.partitionBy("token").orderBy("id")
-    others = (F.lag("id").over(order) != F.col("id")) | (F.lead("id").over(order) != F.col("id"))
-    return keys.withColumn("others", others).where("others").drop("others")
+    """token, id, n, at (the shingle's place in the prefix), rows (of the token): the keys that more than one text has.
+
+    Tokens are counted in partial sums, and those of many texts come back by a broadcast of bounded size, so that no task
+    holds a token that a third of all texts share.
+    """
+    keys = stored(nodes.select("id", "n", F.posexplode("prefix").alias("at", "token")), "tokens")
+    tokens = keys.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("_least"), F.max("id").alias("_most"))
+    shared = stored(tokens.where("_least < _most").select("token", "rows"), "shared_tokens")
+    return join_groups(keys, shared, "token", "rows", keys.count()).dropDuplicates(["token", "id"])
+
+
+def placed_keys(keys: DataFrame) -> DataFrame:
+    """`keys` (with label) and block: blocks of about RUN texts of a token, in the order of their labels.
+
+    A token of many texts is cut by the leading bits of label and id into up to 2**16 parts, each ranked by itself; a part's
+    texts follow those of the parts before it.  Only texts of one part are sorted in one task, so one label or token may
+    hold any number of texts.
+    """
+    cut = (F.shiftrightunsigned(F.col("label"), 52) * 16 + F.shiftrightunsigned(F.col("id"), 60)).cast("int")
+    rows = keys.withColumn("cut", F.when(F.col("rows") > SPLIT, cut).otherwise(F.lit(0)))
+    rows = stored(rows.withColumn("place", F.row_number().over(Window.partitionBy("token", "cut").orderBy("label", "id"))), "placed")
+    before = Window.partitionBy("token").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.where(F.col("rows") > SPLIT).groupBy("token", "cut").agg(F.count(F.lit(1)).alias("size"))
+    offsets = sizes.select("token", "cut", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    place = F.col("place") - 1 + F.coalesce("before", F.lit(0))
+    split = rows.where(F.col("rows") > SPLIT).join(offsets, ["token", "cut"]).withColumn("block", (place / RUN).cast("int")).drop("before")
+    whole = rows.where(F.col("rows") <= SPLIT).withColumn("block", ((F.col("place") - 1) / RUN).cast("int"))
+    return whole.unionByName(split).drop("cut", "place", "rows")
 
 
 def _compared(similarity: float, nearest: bool):
@@ -479,8 +503,7 @@ def candidate_pairs(keys: DataFrame, sketches: DataFrame, labels: DataFrame, sim
     A key is cut into blocks of RUN texts by label; each block meets itself and each other block unless all is one label.
     """
     spark = keys.sparkSession
-    place = F.row_number().over(Window.partitionBy("token").orderBy("label", "id"))
-    rows = stored(keys.join(labels, "id").withColumn("block", ((place - 1) / RUN).cast("int")), "keys")
+    rows = stored(placed_keys(keys.join(labels, "id")), "keys")
     blocks = rows.groupBy("token", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     low = blocks.select("token", F.col("block").alias("low"), F.col("least").alias("l0"), F.col("most").alias("l1"))
     high = blocks.select("token", F.col("block").alias("high"), F.col("least").alias("h0"), F.col("most").alias("h1"))
@@ -536,7 +559,7 @@ def drop_near_duplicates(
     another group, which joins most; then all pairs of different groups that share a key are compared.  A text is known by its
     64-bit hash.  A null doc_id stays only in a group of null doc_ids.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("id"), F.col(text).alias("text"))
+    texts = docs.select(plain_id(docs, doc_id)[0].alias("doc_id"), F.xxhash64(text).alias("id"), F.col(text).alias("text"))
     nodes = stored(text_nodes(texts, words, verify_words, similarity), "nodes")
     ids = nodes.select("id", "fp").dropDuplicates(["id"])
     links = stored(near_links(nodes), "near")
@@ -550,4 +573,4 @@ def drop_near_duplicates(
     grouped = join_groups(nodes.select("fp", "doc_id", "id"), _grouped(nodes, links), "fp", "rows", nodes.count())
     goes = grouped.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_goes"), F.col("id").alias("_id")).distinct()
     goes = if_small(stored(goes, "near_copies"))  # mostly few, and then no text is shuffled
-    return docs.join(goes, docs[doc_id].cast("long").eqNullSafe(goes["_goes"]) & (F.xxhash64(docs[text]) == goes["_id"]), "left_anti")
+    return docs.join(goes, docs[doc_id].eqNullSafe(goes["_goes"]) & (F.xxhash64(docs[text]) == goes["_id"]), "left_anti")
