@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from votelens.llm import decontaminate, exact, packing, simhash, toxicity
-from votelens.llm.common import shared_dir, table
+from votelens.llm.common import shared_dir, table, temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`, each written as Parquet to the shared folder and read again."""
-    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to `documents`, each written as Parquet to the shared folder and read again.
+
+    The stages' files go when the application ends.
+    """
+    path = temporary(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}-{name}")
