@@ -95,6 +95,16 @@ def test_contamination(spark, docs, none, monkeypatch, most):
     assert all(not r["hits"] for r in decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_spans_are_removed(spark):
+    """The milder remedy: a contaminated text loses the words that are hit, a clean one stays as it is."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"Before, {item.upper()} after."), (2, "Clean;  text"), (3, item), (4, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.contamination(docs, bench).join(docs, "doc_id")
+    got = {r["doc_id"]: r["t"] for r in found.select("doc_id", decontaminate.remove_spans(F.col("text"), F.col("n_words"), F.col("hits")).alias("t")).collect()}
+    assert got == {1: "before after", 2: "Clean;  text", 3: "", 4: None}
+
+
 def shuffled(spark):
     executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
