@@ -64,3 +64,22 @@ def test_what_cannot_be_used(spark, tmp_path):
     assert J.read_judgments(spark, f"file://{tmp_path}/none").count() == 0
     with pytest.raises(ValueError, match="json or parquet"):
         J.read_judgments(spark, "x", "csv")
+
+
+@pytest.mark.parametrize("format", ["json", "parquet"])
+def test_files_repeat_no_conversation(spark, tmp_path, format):
+    """The query's own files: texts join as they are written, and equal ones follow one another, so files stay far smaller than the lines."""
+    from votelens.queries import preparation as Q
+
+    talk = "".join(random.Random(c).choice("abcdefghij ") for c in range(3000))
+    (tmp_path / "sf").mkdir()
+    spark.range(4000).selectExpr("id AS event_id", "id % 97 AS user_id", "IF(id % 3 = 0, 'click', 'purchase') AS event_type", "concat('{\"k\":', id % 7, '}') AS props").write.parquet(f"file://{tmp_path}/sf/events.parquet")
+    spark.range(640).selectExpr("id % 160 AS conv_id", "cast(id div 160 AS int) AS turn", "IF(id div 160 = 1, 'assistant', 'user') AS role", f"concat(id, substring('{talk}', cast(id % 900 AS int), 2000)) AS text").write.parquet(f"file://{tmp_path}/sf/conversations.parquet")
+    path = Q._judgment_files(spark, f"file://{tmp_path}/sf", format)
+    files = spark.read.format("binaryFile").load(path)
+    if format == "json":
+        lines = spark.read.text(path).selectExpr("count(*) AS n", "sum(length(value)) AS size").first()
+        assert lines["n"] == 4000 and files.selectExpr("sum(length)").first()[0] < lines["size"] / 20
+    rows = J.good(J.read_judgments(spark, path, format)).selectExpr("pos", "xxhash64(conversation_a, conversation_b) AS h").collect()
+    told = [r.h for r in sorted(rows, key=lambda r: tuple(r.pos))]
+    assert len(rows) > 3800 and sum(a != b for a, b in zip(told, told[1:])) < 600

@@ -11,7 +11,7 @@ from votelens.operators import preparation as P
 from votelens.params import EVIDENCE_TOOLS, MODES, RUBRIC_VERSION
 from votelens.queries.sql import h, statement
 from votelens.sources import judgments, manifest, tables
-from votelens.sources.fixtures import Fixtures
+from votelens.sources.fixtures import Fixtures, with_both
 
 ITEM = ["item_id", "question_id", "judge", "turn", "model_a", "model_b", "question", "response_a", "response_b", "human_gold_vote"]
 
@@ -180,19 +180,35 @@ def peer_votes(spark: SparkSession, sf: str) -> DataFrame:
     return P.peer_votes(raw.select("pos", "turn", "winner", "question_id", "model_a", "model_b", "judge"), P.dedupe_items(P.extract_items(raw)))
 
 
+#: About so many judgments are in a file, however many there are.
+FILE_ROWS = 20_000
+
+
 def _judgment_files(spark: SparkSession, sf: str, format: str) -> str:
-    """Files of raw judgments in the order of their events, some of them broken in one of four ways."""
+    """Files of raw judgments by question and pair of answers, of these in the order of their events, some of them broken in
+    one of four ways.
+
+    Only ids are shuffled, and the texts join them as they are written (Spark drops a sort below a join, so a file's rows are
+    sorted after it).  Equal conversations follow one another, and the files' compression takes them once.
+    """
     f = Fixtures(spark, sf)
-    raw = f.raw_judgments().repartitionByRange(5, "pos").sortWithinPartitions("pos")
+    files = max(5, -(-f.given("events").count() // FILE_ROWS))
+    order = ["question_id", "conv_a", "conv_b", "pos"]
+    judged = f.judged().repartitionByRange(files, *order)
+    bad = F.col("pos") % 97
+    judged = judged.withColumn("judge", F.when(bad != 2, F.col("judge"))).withColumn("winner", F.when(bad == 3, "both").otherwise(F.col("winner")))
     path = tables.scratch(spark, "judgments")
-    fields = F.struct(*[F.when(F.col("pos") % 97 == 2, F.lit(None)).otherwise(F.col(c)).alias(c) if c == "judge" else F.when(F.col("pos") % 97 == 3, "both").otherwise(F.col(c)).alias(c) if c == "winner" else F.col(c) for c in judgments.JUDGMENT.names])
     if format == "parquet":
-        raw.select(fields.alias("r")).select("r.*").write.parquet(path)
+        with_both(judged, f.judged_messages(), "messages", "conversation").sortWithinPartitions(*order).select(*judgments.JUDGMENT.names).write.parquet(path)
         return path
-    whole = F.to_json(fields)
+    plain = [c for c in judgments.JUDGMENT.names if not c.startswith("conversation")]
+    talks = f.judged_messages().select("conv_id", F.to_json("messages").alias("said"))  # written out once, not once a judgment
+    said = [F.coalesce(F.concat(F.lit(f',"conversation_{x}":'), F.col(f"said_{x}")), F.lit("")) for x in "ab"]
+    whole = F.concat(F.regexp_replace(F.to_json(F.struct(*plain)), r"\}$", ""), *said, F.lit("}"))
     cut = F.substring(whole, F.lit(1), F.length(whole) - 7)
     typed = F.regexp_replace(whole, r'"question_id":\d+', '"question_id":"forty"')
-    raw.select(F.when(F.col("pos") % 97 == 0, cut).when(F.col("pos") % 97 == 1, typed).otherwise(whole)).write.text(path, compression="gzip")
+    lines = with_both(judged, talks, "said", "said").sortWithinPartitions(*order).select(F.when(F.col("pos") % 97 == 0, cut).when(F.col("pos") % 97 == 1, typed).otherwise(whole))
+    lines.write.text(path, compression="gzip")
     return path
 
 

@@ -11,6 +11,7 @@ from votelens.params import BOILERPLATE_TEMPLATES, MODES, ORDERS, RUBRIC, RUBRIC
 POSITION_BIASED = ("src3", "src11")
 BOILERPLATE = ("src5", "src17")
 MODEL = "grader-large"
+QUESTIONS = 40
 
 
 class Fixtures:
@@ -34,25 +35,30 @@ class Fixtures:
     def conversation_count(self) -> DataFrame:
         return self.given("conversations").agg(F.count_distinct("conv_id").alias("n_conv"))
 
-    def raw_judgments(self) -> DataFrame:
-        """One judgment per event, with both conversations as arrays of role and content."""
+    def judged(self) -> DataFrame:
+        """One judgment per event, with its conversations' ids (conv_a, conv_b) instead of their texts."""
         e = self.given("events")
         k = F.get_json_object("props", "$.k").cast("long")
         block = F.floor(F.col("event_id") / 160)
         a, b = k % 4, (k % 4 + 1 + block % 3) % 4
         winner = F.when(F.col("event_type").isin("purchase", "signup"), "model_a").when(F.col("event_type").isin("click", "view"), "model_b").otherwise("tie")
-        base = e.crossJoin(F.broadcast(self.conversation_count())).select(
-            F.col("event_id").alias("pos"), (F.col("event_id") % 40).cast("int").alias("question_id"),
+        return e.crossJoin(F.broadcast(self.conversation_count())).select(
+            F.col("event_id").alias("pos"), (F.col("event_id") % QUESTIONS).cast("int").alias("question_id"),
             F.when(F.floor(F.col("event_id") / 40) % 4 == 3, 2).otherwise(1).alias("turn"),
             F.concat(F.lit("expert_"), (F.col("user_id") % 30).cast("string")).alias("judge"),
             F.concat(F.lit("m"), a.cast("string")).alias("model_a"), F.concat(F.lit("m"), b.cast("string")).alias("model_b"),
             winner.alias("winner"),
-            ((F.col("event_id") % 40 * 4 + a) % F.col("n_conv")).alias("conv_a"),
-            ((F.col("event_id") % 40 * 4 + b) % F.col("n_conv")).alias("conv_b"),
+            ((F.col("event_id") % QUESTIONS * 4 + a) % F.col("n_conv")).alias("conv_a"),
+            ((F.col("event_id") % QUESTIONS * 4 + b) % F.col("n_conv")).alias("conv_b"),
         )
-        m = self.messages()
-        one, two = (m.select(F.col("conv_id").alias(f"conv_{x}"), F.col("messages").alias(f"conversation_{x}")) for x in "ab")
-        return base.join(one, "conv_a", "left").join(two, "conv_b", "left").drop("conv_a", "conv_b")
+
+    def judged_messages(self) -> DataFrame:
+        """The conversations that judgments are about: four for each question, however many events there are."""
+        return self.messages().where(F.col("conv_id") < 4 * QUESTIONS)
+
+    def raw_judgments(self) -> DataFrame:
+        """One judgment per event, with both conversations as arrays of role and content."""
+        return with_both(self.judged(), self.judged_messages(), "messages", "conversation").drop("conv_a", "conv_b")
 
     # ------------------------------------------------------------ submissions
 
@@ -255,6 +261,12 @@ class Fixtures:
         )
 
 
+def with_both(judged: DataFrame, talks: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows of `judged` with `column` of both their conversations as `name`_a and `name`_b (and their ids); no row moves."""
+    one, two = (F.broadcast(talks.select(F.col("conv_id").alias(f"conv_{x}"), F.col(column).alias(f"{name}_{x}"))) for x in "ab")
+    return judged.join(one, "conv_a", "left").join(two, "conv_b", "left")
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

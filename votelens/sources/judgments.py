@@ -41,7 +41,7 @@ def read_judgments(spark: SparkSession, path: str | list[str], format: str = "js
         lines = spark.read.text(paths).select(F.col("value").alias("record"), _source_place(F.col("_metadata.file_block_start")).alias("pos")).where(F.trim("record") != "")
         fields = T.StructType([*JUDGMENT.fields, T.StructField(CORRUPT, T.StringType())])
         read = F.from_json("record", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        parsed = lines.withColumn("j", read).select("record", "pos", "j.*")
+        parsed = lines.select("record", "pos", F.inline(F.array(read)))  # a generator's: filters on its fields do not parse a line again
         corrupt = F.col(CORRUPT).isNotNull()
     else:
         raise ValueError(f"format {format}: json or parquet")
