@@ -765,3 +765,24 @@ def test_ids_that_are_texts(spark):
     assert got["a"] == got["b"] == "a" and got["c"] == "c" and None in got
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(named).collect()} == {"a", "c", None}
     assert Counter(r["doc_id"] for r in packing.pack(named).collect()) == Counter(list(texts))
+
+
+def test_toxicity_windows_of_many_texts():
+    """Texts compressed together count as each alone, also beyond AT_ONCE windows, which must not move a caller's places."""
+    import numpy as np
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)).encode() for n in (0, 1, 3, 400, 60_000, 7, 90_000, 200)]
+    found = toxicity.Dictionaries(" ".join(words[:300]).encode(), " ".join(words[300:]).encode())
+    long = toxicity.window_places(len(texts[6]))
+    assert len(long) > toxicity.AT_ONCE
+    before = long.copy()
+    toxicity.compressed_lengths(found.compressors[0], texts[6], long)
+    assert (long == before).all()
+
+    def alone(data):
+        one, two = found.compressors
+        return toxicity.counts(np.array([len(one.compress(data[s : s + n])) - len(two.compress(data[s : s + n])) for s, n in toxicity.window_places(len(data)).astype(int)]))
+
+    assert (found.counts(texts) == np.array([alone(t) for t in texts])).all()
