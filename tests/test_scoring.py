@@ -106,3 +106,18 @@ def test_a_lost_worker_costs_its_wave_alone(spark, tmp_path):
     assert again.count() == n + 18 and S.call_rows(again, "m").select("call_id").distinct().count() == n + 18
     assert {r["calls"] for r in S.failures(again).collect()} == {3} and S.run_traces(again).count() == 60
     assert {r["attempts"] for r in S.call_rows(again, "m").where("item_id = 'i13'").collect()} == set(range(1, 7))
+
+
+def test_a_worker_holds_few_runs_at_a_time(spark):
+    """Rounds leave the worker in frames of bounded size, so its memory does not grow with the batches it is given."""
+    n = 5 * S.REQUESTS // 2
+    requests = spark.range(n).selectExpr("cast(id AS string) AS item_id", "'original' AS order_label", "'single' AS mode", "'v' AS rubric_version", "1 AS pass")
+    sizes = []
+
+    class Requests:  # takes the work as Spark would
+        def mapInPandas(self, work, schema):
+            sizes.extend(len(f) for f in work(iter([requests.toPandas()])))
+
+    S.journal_of(Requests(), lambda: scripted([("emit_verdict", GOOD)]))
+    assert sizes == [S.REQUESTS, S.REQUESTS, S.REQUESTS // 2]
+    assert S.journal_of(requests, lambda: scripted([("emit_verdict", GOOD)])).select("item_id").distinct().count() == n

@@ -171,6 +171,10 @@ def _told(rounds: Iterator[dict[str, Any]]) -> Iterator[dict[str, Any]]:
         yield {**r, "events": json.dumps([first, *said])}
 
 
+#: A worker holds the rounds of so many requests at a time, however many rows a batch has.
+REQUESTS = 256
+
+
 def journal_of(requests: DataFrame, make_model: Callable[[], Model], p: Params = DEFAULT) -> DataFrame:
     """The rounds of each request's run; one model per partition."""
     names = [c.split()[0] for c in JOURNAL.split(", ")]
@@ -178,11 +182,12 @@ def journal_of(requests: DataFrame, make_model: Callable[[], Model], p: Params =
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in frames:
-            rows: list[dict[str, Any]] = []
-            for request in frame.to_dict("records"):
-                key = {k: request[k] for k in (*RUN_KEY, "pass")}
-                rows += [{**key, **r} for r in _told(run(request, model, p))]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(frame), REQUESTS):
+                rows: list[dict[str, Any]] = []
+                for request in frame.iloc[at : at + REQUESTS].to_dict("records"):
+                    key = {k: request[k] for k in (*RUN_KEY, "pass")}
+                    rows += [{**key, **r} for r in _told(run(request, model, p))]
+                yield pd.DataFrame(rows, columns=names)
 
     return requests.mapInPandas(work, JOURNAL)
 
