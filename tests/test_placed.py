@@ -75,3 +75,11 @@ def test_protocol(spark):
     ]
     assert ran(spark, [*[r, call, got] * 4, r, "review"], [r, call, got, r, "review"], mode="verifier") == [[(10, "call over budget")], []]
     assert ran(spark, [r, call, got, r, end], mode="single") == [[(1, "call over budget")]]
+
+def test_a_trace_is_parsed_once(spark):
+    """The breaches' list is no column that a filter of the explosion would compute anew, with the JSON and all below it."""
+    traces = spark.createDataFrame([("i", "original", "agent", "v1", '[{"type":"verdict"}]')], "item_id string, order_label string, mode string, rubric_version string, trace string")
+    breaches = protocol_breaches(traces)
+    with planned_whole(spark):
+        assert sum(text.count("from_json") for _, text, _ in nodes(breaches)) == 1
+    assert sorted((r["pos"], r["rule"]) for r in breaches.collect()) == [(0, "before any round")]

@@ -98,9 +98,14 @@ def protocol_breaches(traces: DataFrame, p: Params = DEFAULT) -> DataFrame:
         return F.concat(s["found"], last)
 
     unreadable = F.array(F.struct(F.lit(0).alias("pos"), F.lit("unreadable").alias("rule")))
-    whole = F.filter("events", lambda e: e["type"].isNotNull())
-    ran = parsed(traces).withColumn("found", F.when(F.col("events").isNull() | (F.size(whole) < F.size("events")), unreadable).otherwise(F.aggregate(whole, start, step, finish)))
-    return ran.select(*RUN_KEY, F.explode("found").alias("f")).select(*RUN_KEY, "f.*")
+
+    def folded(s: Column) -> Column:
+        whole, size = s["whole"], F.size(s["events"])
+        return F.when(s["events"].isNull() | (F.size(whole) < size), unreadable).otherwise(F.aggregate(whole, start, step, finish))
+
+    # a lambda's argument is computed once; exploded as an expression, as Spark would also filter by a column, and compute it anew for that
+    events = F.transform(F.array(F.from_json("trace", TRACE_EVENTS)), lambda e: F.struct(e.alias("events"), F.filter(e, lambda x: x["type"].isNotNull()).alias("whole")))
+    return traces.select(*RUN_KEY, F.explode(F.element_at(F.transform(events, folded), 1)).alias("f")).select(*RUN_KEY, "f.*")
 
 
 def tool_budget(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
