@@ -90,6 +90,38 @@ def test_awkward_rows(spark):
     assert quality.keep_best(docs, model, 0.25).count() == pytest.approx(docs.count() / 4, abs=3) and quality.keep_best(docs, model, 1.0).count() == docs.count()
 
 
+@pytest.mark.parametrize(("n", "bad", "few"), [(10_500, 1 / 7, 4096), (10_500, 1 / 7, 10), (3000, 2 / 3, 10)])
+def test_every_text_is_learnt_from(spark, monkeypatch, n, bad, few):
+    """The table's weights and threshold are those of all its texts in memory, of which one label has more than 6,000."""
+    monkeypatch.setattr(quality, "FEW", few)
+    monkeypatch.setattr(quality, "BUCKET", 50)
+    rng = np.random.default_rng(5)
+    is_good = rng.random(n) > bad
+    x = rng.normal(0, 1, (n, len(quality.FEATURES))).round(2) + is_good[:, None] * rng.normal(0, 0.4, len(quality.FEATURES))
+    x[:, 2] = 0.5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>").selectExpr("doc_id", "xxhash64(doc_id) as h", "x").repartition(5)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(is_good)], "doc_id long, quality int")
+    order = [r["doc_id"] for r in rows.where(~quality.held_out(rows["doc_id"])).orderBy("h").select("doc_id").collect()]
+    good, less = ([i for i in order if is_good[i] == g] for g in (True, False))
+    assert max(len(good), len(less)) > 6000 or n < 10_000
+    model = quality.fit(rows, labels)
+    weights = quality.bradley_terry(x[good], x[less])
+    assert model.weights == pytest.approx(weights, abs=1e-8)
+    scores = np.concatenate([x[good], x[less]]) @ weights
+    assert (model.threshold, model.level) == pytest.approx(quality.quantile_threshold(scores, np.arange(len(scores)) < len(good), np.ones(len(scores))), abs=1e-7)
+
+
+def test_the_threshold_of_a_table(spark):
+    rng = np.random.default_rng(2)
+    for case in range(6):
+        n = int(rng.integers(2, 200))
+        s, g = rng.integers(0, 12, n).astype(float), rng.random(n) < (0.0, 1.0, 0.5, 0.9, 0.5, 0.1)[case]
+        s, g = np.append(s, [3.0, 4.0]), np.append(g, [True, False])
+        one, other = float(rng.integers(1, 4)), float(rng.integers(1, 4))
+        df = spark.createDataFrame(list(zip(s.tolist(), g.tolist())), "s double, good boolean").repartition(3)
+        assert quality.threshold_of(df, one, other) == pytest.approx(quality.quantile_threshold(s, g, np.where(g, one, other)))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 def test_query(spark):
     """Every score, with features and weights computed anew."""

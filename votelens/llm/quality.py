@@ -4,23 +4,27 @@ A document has numbers that tell how it is written (symbols, capitals, repeats,
 whole text.  In the Bradley-Terry model the log-odds that one document is preferred to another are the difference of their
 scores, here linear in these numbers; so each pair of a good and a bad document is one observation of a logistic loss on the
 difference of their features.  The threshold is that quantile of the labelled documents' scores which costs least.
+Both come from every labelled text: pairs are made by a join, sums over them are taken by tasks, and the driver gets sums.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votelens.llm.common import free_names, stored
 
-#: At most so many different texts of each label are learnt from: the bound of what reaches the driver, as features.
-MAX_GOOD, MAX_BAD = 6000, 6000
 PAIRS = 4  # each text of the label with more texts is paired with so many of the other
 RIDGE = 1.0
+#: Of the label with fewer texts, so many are broadcast to be paired; of more, each is in few enough pairs for a shuffle.
+FEW = 4096
+BUCKET = 20_000  # about so many texts are ranked in a task
 KEEP_SCORE = 0.7  # the score at the threshold
 
 FEATURES = (
@@ -91,28 +95,43 @@ def preference_pairs(n_good: int, n_bad: int, pairs: int = PAIRS) -> tuple[np.nd
     return (at, less) if n_good >= n_bad else (less, at)
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], scale: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights by Newton's method: the loss of a pair is log(1 + exp(-(difference of features) . weights)).
 
-    Features are scaled to unit deviation first, which is undone in the weights.
+    `sums` gives the slope and the curve (`slope_and_curve`) over all pairs.  Features are scaled, which is undone in the weights.
     """
-    spread = np.concatenate([good, bad]).std(axis=0)
-    scale = np.where(spread > 1e-9, spread, np.inf)
-    one, other = preference_pairs(len(good), len(bad))
-    gaps = (good[one] - bad[other]) / scale
-    w = np.zeros(gaps.shape[1])
+    w = np.zeros(len(scale))
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(gaps @ w, -30, 30)))
-        curve = (gaps * (p * (1 - p))[:, None]).T @ gaps + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, gaps.T @ (1 - p) - ridge * w)
+        slope, curve = sums(w)
+        step = np.linalg.solve(curve + ridge * np.eye(len(w)), slope - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return w / scale
 
 
+def slope_and_curve(gaps: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(gaps @ w, -30, 30)))
+    return gaps.T @ (1 - p), (gaps * (p * (1 - p))[:, None]).T @ gaps
+
+
+def unit(spread: np.ndarray) -> np.ndarray:
+    """What features are divided by to have unit deviation; one that is always the same counts nothing."""
+    return np.where(spread > 1e-9, spread, np.inf)
+
+
+def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """The weights for features in memory; `weights_of` finds the same for a table."""
+    scale = unit(np.concatenate([good, bad]).std(axis=0))
+    one, other = preference_pairs(len(good), len(bad))
+    gaps = (good[one] - bad[other]) / scale
+    return newton(lambda w: slope_and_curve(gaps, w), scale, ridge)
+
+
 def quantile_threshold(scores: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """(threshold, level): the quantile at which the rejected good and the kept bad documents weigh least, the middle of equals."""
+    """(threshold, level): the quantile at which the rejected good and the kept bad documents weigh least, the middle of equals.
+
+    For scores in memory; `threshold_of` finds the same for a table."""
     order = np.argsort(scores, kind="stable")
     s, g, w = scores[order], good[order], weight[order]
     cost = np.concatenate([[0], np.cumsum(w * g)]) + np.concatenate([np.cumsum((w * ~g)[::-1])[::-1], [0]])
@@ -137,32 +156,104 @@ def with_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return stored(rows, "quality")
 
 
-def fit(
-    rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", max_good: int = MAX_GOOD, max_bad: int = MAX_BAD,
-) -> Model:
-    """Learns from rows of `with_features` that are labelled and not held out.
+def ranked(known: DataFrame, texts: int) -> DataFrame:
+    """Adds `rank`: the place of each text among its label's in the order of h, from 0.  Ranges of h, a hash, hold about equally many."""
+    bits = min(16, max(5, math.ceil(math.log2(texts / BUCKET))))
+    cut = known.withColumn("cut", F.shiftright("h", 64 - bits))
+    before = Window.partitionBy("label").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("label", "cut").agg(F.count(F.lit(1)).alias("m")).select("label", "cut", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("label", "cut").orderBy("h")) - 1
+    return cut.withColumn("inside", inside).join(F.broadcast(offsets), ["label", "cut"]).withColumn("rank", F.col("before") + F.col("inside"))
+
+
+def pair_gaps(known: DataFrame, n_good: int, n_bad: int, pairs: int = PAIRS) -> DataFrame:
+    """gap: the features of the preferred text less the other's, of each of the pairs that `preference_pairs` makes of all texts."""
+    most, least = (1, 0) if n_good >= n_bad else (0, 1)
+    n = min(n_good, n_bad)
+    rows = ranked(known, n_good + n_bad)
+    shifts = F.explode(F.array(*[F.lit(k * (n // pairs + 1)) for k in range(pairs)]))
+    many = rows.where(F.col("label") == most).select("x", "rank", shifts.alias("shift")).select("x", ((F.col("rank") + F.col("shift")) % n).alias("place"))
+    few = rows.where(F.col("label") == least).select(F.col("x").alias("other"), F.col("rank").alias("place"))
+    sign = 1.0 if most == 1 else -1.0
+    return many.join(F.broadcast(few) if n <= FEW else few, "place").select(F.zip_with("x", "other", lambda a, b: (a - b) * F.lit(sign)).alias("gap"))
+
+
+def weights_of(known: DataFrame, n_good: int, n_bad: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights learnt from all texts of `known` (label, h, x): each step of Newton's method is a pass over the stored pairs."""
+    size = len(FEATURES)
+    spread = known.agg(*[F.stddev_pop(F.element_at("x", i + 1)).alias(f"d{i}") for i in range(size)]).first()
+    scale = unit(np.array(list(spread), dtype=np.float64))
+    gaps = stored(pair_gaps(known, n_good, n_bad), "pairs")
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slope, curve = np.zeros(size), np.zeros((size, size))
+            for batch in batches:
+                s, c = slope_and_curve(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) / scale, w)
+                slope, curve = slope + s, curve + c
+            yield pa.RecordBatch.from_arrays([pa.array([[*slope, *curve.ravel()]], pa.list_(pa.float64()))], names=["s"])
+
+        found = np.array([r["s"] for r in gaps.mapInArrow(part, "s array<double>").collect()]).sum(axis=0)  # a row a task
+        return found[:size], found[size:].reshape(size, size)
+
+    return newton(sums, scale, ridge)
+
+
+def threshold_of(scores: DataFrame, good_weight: float, bad_weight: float) -> tuple[float, float]:
+    """`quantile_threshold` of all rows of `scores` (s, good), where those of a kind weigh the same; rows of equal scores are one.
+
+    Scores are dealt by range, and running counts go on from one range to the next; the driver gets a row for each range.
+    """
+    equal = scores.groupBy("s").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    dealt = stored(equal.repartitionByRange("s").select("s", "g", "b", F.spark_partition_id().alias("part")), "scores")
+    ranges = sorted(dealt.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("s").alias("s")).collect(), key=lambda r: r["part"])
+    ahead, g, b = {}, 0, 0
+    for r in ranges:
+        ahead[r["part"]] = (g, b)
+        g, b = g + r["g"], b + r["b"]
+    table = dealt.sparkSession.createDataFrame([(k, *v) for k, v in ahead.items()], "part int, g0 long, b0 long")
+    running = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    below = dealt.join(F.broadcast(table), "part").select(
+        "part", "s", (F.col("g0") + F.sum("g").over(running)).alias("g"), (F.col("b0") + F.sum("b").over(running)).alias("b"),
+    )
+    # a cut right above each score, and one below all
+    cuts = below.withColumn("cost", F.col("g") * F.lit(good_weight) + (F.lit(b) - F.col("b")) * F.lit(bad_weight))
+    none = b * bad_weight
+    least = min(none, cuts.agg(F.min("cost")).first()[0])
+    best = cuts.where(F.col("cost") <= F.lit(least + 1e-9))
+    ties = sorted((r["part"], r["count"]) for r in best.groupBy("part").count().collect())
+    left = (sum(n for _, n in ties) + (none <= least + 1e-9)) // 2 - (none <= least + 1e-9)
+    if left < 0:
+        return ranges[0]["s"] - 1, 0.0
+    for part, n in ties:
+        if left < n:
+            break
+        left -= n
+    place = F.row_number().over(Window.partitionBy("part").orderBy("s")) - 1
+    at = best.where(F.col("part") == part).withColumn("place", place).where(F.col("place") == left).first()
+    above = dealt.where(F.col("s") > F.lit(at["s"])).agg(F.min("s")).first()[0]
+    weight = good_weight * at["g"] + bad_weight * at["b"]
+    return at["s"] + 1 if above is None else (at["s"] + above) / 2, weight / (good_weight * g + bad_weight * b)
+
+
+def fit(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
+    """Learns from all rows of `with_features` that are labelled and not held out.
 
-    Of each label the first `max_good` and `max_bad` different texts in the order of a hash of the text are taken; the
-    threshold weighs them for all that have their label.  A text that has both labels is in both.  Without texts of both
-    labels every document gets the same score, which tells the label that there is.  Labels other than 0 and 1 are none.
+    Each different text of a label counts once for the weights; the threshold weighs the texts for all rows that have their
+    label.  A text that has both labels is in both.  Without texts of both labels every document gets the same score, which
+    tells the label that there is.  Labels other than 0 and 1 are none.
     """
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = rows.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").groupBy("label", "h").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
     known = stored(known, "labelled")
-    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-
-    def taken(value: int, most: int) -> np.ndarray:
-        found = known.where(F.col("label") == value).orderBy("h").limit(most).collect()
-        return np.array([r["x"] for r in found], dtype=np.float64).reshape(-1, len(FEATURES))
-
-    good, bad = taken(1, max_good), taken(0, max_bad)
-    if not len(good) or not len(bad):
-        return Model((0.0,) * len(FEATURES), -1.0 if len(good) else 1.0, 0.0 if len(good) else 1.0)
-    weights = bradley_terry(good, bad)
-    is_good = np.arange(len(good) + len(bad)) < len(good)
-    weight = np.where(is_good, total[1] / len(good), total[0] / len(bad))
-    threshold, level = quantile_threshold(np.concatenate([good, bad]) @ weights, is_good, weight)
-    return Model(tuple(map(float, weights)), threshold, level)
+    total = {r["label"]: (r["texts"], r["n"]) for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).collect()}
+    if len(total) < 2:
+        return Model((0.0,) * len(FEATURES), -1.0 if 1 in total else 1.0, 0.0 if 1 in total else 1.0)
+    (n_good, good_rows), (n_bad, bad_rows) = total[1], total[0]
+    model = Model(tuple(map(float, weights_of(known, n_good, n_bad))), 0.0, 0.0)
+    scores = known.select(model.raw(F.col("x")).alias("s"), (F.col("label") == 1).alias("good"))
+    threshold, level = threshold_of(scores, good_rows / n_good, bad_rows / n_bad)
+    return Model(model.weights, threshold, level)
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
