@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from votelens.operators import scoring as S
 from votelens.params import RUBRIC
 
+from .plans import exchanges, planned_whole
+
 GOOD = {"dimension_scores": dict.fromkeys(RUBRIC, 4), "verdict": "accept", "confidence": 0.8, "reason": "fine"}
 REQUEST = {
     "item_id": "i1", "order_label": "original", "mode": "agent", "rubric_version": "v", "annotator_id": "ann", "response_a": "long a", "response_b": "long b",
@@ -121,3 +123,20 @@ def test_a_worker_holds_few_runs_at_a_time(spark):
     S.journal_of(Requests(), lambda: scripted([("emit_verdict", GOOD)]))
     assert sizes == [S.REQUESTS, S.REQUESTS, S.REQUESTS // 2]
     assert S.journal_of(requests, lambda: scripted([("emit_verdict", GOOD)])).select("item_id").distinct().count() == n
+
+
+def test_requests_are_made_once_for_all_waves(spark, tmp_path):
+    """What there is to do is found once, not anew for each wave; and a run's rounds are gathered in one shuffle."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    work = requests(spark, 60)
+    counting = work.mapInPandas(counted, work.schema)
+    journal = S.grade_all(counting, lambda: scripted([("emit_verdict", GOOD)]), f"file://{tmp_path}/journal", waves=6)
+    assert made.value == 60 and S.graded(journal).count() == 60
+    with planned_whole(spark):
+        assert len(exchanges(S.run_traces(journal))) == 1

@@ -21,7 +21,7 @@ from votelens.operators.grading import validate_reviews, validate_verdicts
 from votelens.operators.preparation import evidence_error
 from votelens.params import DEFAULT, RUBRIC, Params
 from votelens.schemas import RUN_KEY
-from votelens.sources.tables import exists
+from votelens.sources.tables import exists, scratch
 
 # ---------------------------------------------------------------- what a caller supplies
 
@@ -163,12 +163,15 @@ JOURNAL = (
 )
 
 
-def _told(rounds: Iterator[dict[str, Any]]) -> Iterator[dict[str, Any]]:
-    """Rounds as the journal has them: events as JSON, after the round's own, without the full texts that only the model saw."""
+def _told(rounds: Iterator[dict[str, Any]]) -> Iterator[tuple[Any, ...]]:
+    """Rounds as the journal has them, from `round` on: events as JSON, after the round's own, without the full texts that only the model saw."""
     for r in rounds:
         first = {"type": "api_round", "tokens_in": r["tokens_in"], "tokens_out": r["tokens_out"], "latency_ms": r["latency_ms"]}
-        said = [{k: v for k, v in e.items() if k != "text"} for e in r["events"]]
-        yield {**r, "events": json.dumps([first, *said])}
+        said = [{k: v for k, v in e.items() if k != "text"} if "text" in e else e for e in r["events"]]
+        yield (
+            r["round"], r["tokens_in"], r["tokens_out"], r["latency_ms"], json.dumps([first, *said]), r["n_tool_calls"], r["budget_exhausted"], r["error"], r["outcome"],
+            r["payload"],
+        )
 
 
 #: A worker holds the rounds of so many requests at a time, however many rows a batch has.
@@ -183,10 +186,10 @@ def journal_of(requests: DataFrame, make_model: Callable[[], Model], p: Params =
         model = make_model()
         for frame in frames:
             for at in range(0, len(frame), REQUESTS):
-                rows: list[dict[str, Any]] = []
+                rows: list[tuple[Any, ...]] = []
                 for request in frame.iloc[at : at + REQUESTS].to_dict("records"):
-                    key = {k: request[k] for k in (*RUN_KEY, "pass")}
-                    rows += [{**key, **r} for r in _told(run(request, model, p))]
+                    key = (*(request[k] for k in RUN_KEY), request["pass"])
+                    rows += [key + told for told in _told(run(request, model, p))]
                 yield pd.DataFrame(rows, columns=names)
 
     return requests.mapInPandas(work, JOURNAL)
@@ -197,6 +200,11 @@ def read_journal(requests: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(JOURNAL).parquet(path) if exists(spark, path) else spark.createDataFrame([], JOURNAL)
 
 
+#: Each core gets about so many tasks of a wave, so that none waits long for the last.
+TURNS = 4
+WAVE = "_wave"
+
+
 def grade_all(
     requests: DataFrame, make_model: Callable[[], Model], path: str, p: Params = DEFAULT, waves: int = 8, tasks: int | None = None, again: bool = False,
 ) -> DataFrame:
@@ -204,17 +212,22 @@ def grade_all(
 
     Work goes in `waves` (by a hash of the key), each a job that adds its rounds to the journal when it ends; so what is
     lost with the driver is one wave, and with an executor its unfinished tasks, and no run that is in the journal is called
-    again.  `tasks` bounds how many clients run at a time.  With `again`, failed runs are tried anew, as a further pass.
+    again.  What there is to do is found once and stored by wave: neither the requests nor the journal are read for each.
+    `tasks` bounds how many clients run at a time.  With `again`, failed runs are tried anew, as a further pass.
     Requests have the run's key and what the model needs; for evidence, the columns of `evidence.evidence_bundle`.
     """
-    at = F.pmod(F.xxhash64(*RUN_KEY), F.lit(waves))
-    for wave in range(waves):
-        known = read_journal(requests, path).where(at == wave).where("outcome is not null")
-        ended = known.groupBy(*RUN_KEY).agg(F.max("pass").alias("pass"), F.max_by("outcome", "pass").alias("ended"))
-        todo = requests.where(at == wave).join(ended, [*RUN_KEY], "left")
-        todo = todo.where(F.col("ended").isNull() | ((F.col("ended") == "failed") & F.lit(again))).drop("ended")
-        todo = todo.withColumn("pass", (F.coalesce("pass", F.lit(0)) + 1).cast("int"))
-        journal_of(todo.repartition(tasks) if tasks else todo, make_model, p).write.mode("append").parquet(path)
+    spark = requests.sparkSession
+    known = read_journal(requests, path).where("outcome is not null")
+    ended = known.groupBy(*RUN_KEY).agg(F.max(F.struct("pass", F.col("outcome").alias("ended"))).alias("last")).select(*RUN_KEY, "last.*")
+    todo = requests.join(ended, [*RUN_KEY], "left")
+    todo = todo.where(F.col("ended").isNull() | ((F.col("ended") == "failed") & F.lit(again))).drop("ended")
+    todo = todo.withColumn("pass", (F.coalesce("pass", F.lit(0)) + 1).cast("int")).withColumn(WAVE, F.pmod(F.xxhash64(*RUN_KEY), F.lit(waves)).cast("int"))
+    at = scratch(spark, "requests")
+    todo.write.partitionBy(WAVE).parquet(at)
+    left = spark.read.schema(todo.schema).parquet(at)
+    for wave, n in sorted(tuple(r) for r in left.groupBy(WAVE).count().collect()):  # at most a row for each wave
+        dealt = tasks or min(TURNS * spark.sparkContext.defaultParallelism, -(-n // REQUESTS))
+        journal_of(left.where(F.col(WAVE) == wave).drop(WAVE).repartition(dealt, *RUN_KEY), make_model, p).write.mode("append").parquet(path)
     return read_journal(requests, path)
 
 
@@ -242,10 +255,10 @@ def _run_window():
 
 
 def _last_pass(journal: DataFrame) -> DataFrame:
-    """A row per run: its last pass's rounds together.  A run has at most its budget and its tries of them."""
-    one = F.struct("round", "events", "tokens_in", "tokens_out", "latency_ms", "n_tool_calls", "budget_exhausted", "error", "outcome", "payload")
-    runs = journal.groupBy(*RUN_KEY, "pass").agg(F.array_sort(F.collect_list(one)).alias("rounds"))
-    last = runs.groupBy(*RUN_KEY).agg(F.max_by("rounds", "pass").alias("rounds"))
+    """A row per run: its last pass's rounds together, gathered in one shuffle.  A pass has at most its budget and its tries of them."""
+    one = F.struct("pass", "round", "events", "tokens_in", "tokens_out", "latency_ms", "n_tool_calls", "budget_exhausted", "error", "outcome", "payload")
+    runs = journal.groupBy(*RUN_KEY).agg(F.array_sort(F.collect_list(one)).alias("rounds"))
+    last = runs.withColumn("rounds", F.filter("rounds", lambda r: r["pass"] == F.element_at("rounds", -1)["pass"]))
     return last.withColumn("end", F.element_at("rounds", -1)).where(F.col("end")["outcome"].isNotNull())
 
 
