@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from votelens.llm import common, simhash
 
 from .corpus import sentence
@@ -104,3 +106,32 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, a), (5, a2), (None, c), (7, d), (7, b), (3, b2)]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r["doc_id"], r["text"]) for r in got} == {(5, a2), (None, c), (7, d), (3, b2)}
+
+
+def test_runs_go_on_over_any_number_of_frames(spark):
+    """A frame may be part of one run of texts that share a key, as the last one of a partition often is."""
+    rng = random.Random(13)
+    base = [sentence(rng, 120).split() for _ in range(4)]
+    rows = [(i, " ".join(edited(rng, base[i % 4], 2 + i // 16))) for i in range(48)]
+    want = brute_kept(rows)
+    assert 4 < len(want) < 44
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "3", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert kept(spark, rows) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_frames_of_one_run_are_compared(spark):
+    """The same pairs, however the sorted rows are cut into frames."""
+    columns = ["id", "n", "at", "label", "block", "low", "high", "token", "sketch"]
+    rows = [(i, 100, 0, i, 0, 0, 0, token, bytes(simhash.SKETCH // 8)) for token, ids in ((1, (1, 2, 3)), (2, (4, 5)), (3, (6, 7, 8, 9))) for i in ids]
+    for nearest, want in ((False, {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7), (6, 8), (6, 9), (7, 8), (7, 9), (8, 9)}), (True, {(1, 2), (2, 3), (4, 5), (6, 7), (7, 8), (8, 9)})):
+        for size in (1, 2, 3, 5, 8, 9):
+            frames = [pd.DataFrame(rows[at : at + size], columns=columns) for at in range(0, len(rows), size)]
+            found = pd.concat(list(simhash._compared(0.8, nearest)(iter(frames))))
+            assert set(zip(found["a"].tolist(), found["b"].tolist(), strict=True)) == want

@@ -489,7 +489,8 @@ def _compared(similarity: float, nearest: bool):
             run = frame[["token", "low", "high"]].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)]))
             last = starts[-1]  # may go on in the next frame; a run has at most two blocks
-            yield pairs(frame[:last], np.repeat(starts[1:], np.diff(starts)))
+            if last:  # else all rows are of one run
+                yield pairs(frame[:last], np.repeat(starts[1:], np.diff(starts)))
             held = frame[last:]
         if held is not None:
             yield pairs(held.reset_index(drop=True), np.full(len(held), len(held)))
